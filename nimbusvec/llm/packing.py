@@ -11,13 +11,13 @@ that found no partner among thousands is unlikely to find one later.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,23 +35,39 @@ FAN_IN = 8
 CARRY = 2048
 #: Pieces that a first-level task packs together, at most.
 LEAF_ROWS = 200_000
-#: Words whose ids a worker remembers; beyond that it starts anew.
+#: Words of a generation of those whose ids a worker remembers.
 WORDS = 400_000
 
-# The tokenizer file's own rule for cutting text; every cut ends in one token marked as a word's end.
-_CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # Characters of one code point each, whose lower case and normal form stay so in every version of Unicode.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-įı-žƀ-ǃ]*+")
+# The tokenizer file's rule for cutting text, its classes of letters and numbers written out for plain lower-case
+# text; every cut ends in one token that is marked as a word's end.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-įı-žƀ-ǃ", "0-9²³¹¼-¾"
+_CUTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+
+# Byte-level models spell printable bytes as themselves and the others as the letters from U+0100 on, in order.
+_ITSELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _ITSELF)} | {32: 32}
 
 
 class _Words:
-    """Lower-case word without white space -> its ids as little-endian unsigned 32-bit bytes."""
+    """Lower-case word without white space -> its ids as little-endian unsigned 32-bit bytes.
+
+    Two generations: when the young one is full it becomes the old one, whose words move back
+    as they are met again, so common words are never tokenised anew.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.of: dict[str, bytes] = {}  # exactly a dict: set.difference() then looks keys up instead of walking them
+        self.of: dict[str, bytes] = {}  # exactly dicts: set.difference() then looks keys up instead of walking them
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for text that is normal, cut and spelt in byte letters already
+        with open(path) as f:
+            file = json.load(f)
+        file |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(file))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -59,16 +75,33 @@ class _Words:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Add words, all of them in one call of the tokenizer."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        cuts = np.cumsum([len(_CUTS.findall(w)) for w in words])
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != cuts[-1] or not len(ids) or ends[-1] != len(ids):  # not cut as expected: one by one
-            self.of.update((w, self.ids(w)) for w in words)
+    def know(self, words: list[str]) -> None:
+        """Have the ids of all the words, tokenising the cuts that are new in one call."""
+        if len(self.of) > WORDS:
+            self.of, self.old = {}, self.of
+        of, old = self.of, self.old
+        new = set(words).difference(of)
+        if old:
+            unknown = new.difference(old)
+            of.update((w, old[w]) for w in new.difference(unknown))
+            new = unknown
+        if not new:
             return
-        raw, stops = ids.tobytes(), (4 * ends[cuts - 1]).tolist()
-        self.of.update(zip(words, (raw[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+        joined = {w: _CUTS.findall(w) for w in new if not w.isalpha()}
+        cuts = {w for w in new if w not in joined}
+        cuts.update(*joined.values())
+        fresh = list(cuts.difference(of))
+        of.update(zip(fresh, self._tokenized(fresh), strict=True))
+        of.update((w, b"".join(map(of.__getitem__, parts))) for w, parts in joined.items())
+
+    def _tokenized(self, cuts: list[str]) -> list[bytes]:
+        spelt = " ".join(cuts).encode().decode("latin1").translate(_BYTE_LETTERS)
+        ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(stops) != len(cuts) or 4 * len(ids) != (stops[-1] if stops else 0):  # not cut as expected: one by one
+            return [self.ids(c) for c in cuts]
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 _words: dict[str, _Words] = {}
@@ -87,10 +120,7 @@ def token_bytes(text: str | None, path: str) -> bytes:
     if "<|" in text or not _PLAIN.fullmatch(text):
         return known.ids(text)
     words = text.lower().split()
-    if len(known.of) > WORDS:
-        known.of.clear()
-    if new := list(set(words).difference(known.of)):
-        known.learn(new)
+    known.know(words)
     return b"".join(map(known.of.__getitem__, words))
 
 
