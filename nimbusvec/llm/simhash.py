@@ -8,7 +8,8 @@ many units (0 skips a part, 1 asks for equality, 2 allows one difference) is cho
 dynamic programming on the candidate counts that each choice would make, estimated by
 second-moment sketches of all fingerprints. A probe is an equal-key group: the part's bits,
 with one of them masked for two units. Groups too large for one task are dealt out anew by
-a second pigeonhole over their remaining bits. Every candidate is verified by its distance.
+a second pigeonhole over their remaining bits, and those still too large are cut into blocks
+that meet pair by pair. Every candidate is verified by its distance.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ SHINGLE = 3
 BITS = 64
 DISTANCE = 3
 PARTS = 4
-#: Most fingerprints of a group that one task compares at once; larger groups are split by further bits.
+#: Fingerprints of a group that one task compares at once. Larger groups are split by further bits, so many times
+#: over; those that stay large are compared block against block.
 GROUP = 8192
+SPLITS = 2
 #: Distances that cost as much as one key row that is made, shuffled and sorted.
 PAIRS_PER_ROW = 400
 SKETCH = 1024
@@ -273,13 +276,13 @@ def _verifier(distance: int):
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
-            mask, key, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
+            mask, key, block, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
             starts = np.concatenate([[0], new])
             ends = np.concatenate([new, [len(fp)]])
             if not last:  # the last group may go on
                 cut = starts[-1]
-                held, rows = [(mask[cut:], key[cut:], fp[cut:])], len(fp) - cut
+                held, rows = [(mask[cut:], key[cut:], block[cut:], fp[cut:])], len(fp) - cut
                 starts, ends, fp = starts[:-1], ends[:-1], fp[:cut]
             if len(fp):
                 a, b = close_pairs(fp.view(np.uint64), starts, ends, distance)
@@ -288,7 +291,7 @@ def _verifier(distance: int):
 
         for batch in batches:
             if batch.num_rows:
-                held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+                held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)))
                 rows += batch.num_rows
                 if rows >= 1 << 16:
                     yield from done(False)
@@ -298,30 +301,37 @@ def _verifier(distance: int):
     return run
 
 
-def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, group: int = GROUP) -> DataFrame:
+def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, group: int = GROUP, splits: int = SPLITS) -> DataFrame:
     """Edges (u, v) between distinct fingerprints, a spanning forest of each probed group.
 
     fps: distinct fingerprints, column fp, in a stored table. Every pair within the distance
     is joined by a path of such edges.
     """
-    n = fps.count()
-    masks = probe_masks(fps, n, distance, parts)
-    keys, ready = _keyed(fps, masks), None
-    while True:
+    masks = probe_masks(fps, fps.count(), distance, parts)
+    keys, ready = _keyed(fps, masks), []
+    for depth in range(splits + 1):
         counts = keys.groupBy("mask", "key").agg(F.count("*").alias("n"))
-        splits = {m: split_mask(m, distance) for m in masks if m != (1 << BITS) - 1}
-        # groups of so many set bits that at most a group's size of values fits are never split
-        hot, _ = stored(counts.where((F.col("n") > group) & F.col("mask").isin([_signed(m) for m in splits])).select("mask", "key"), "hot")
+        hot, _ = stored(counts.where(F.col("n") > group), "hot")
+        whole = F.lit(0).cast("long").alias("block")
         if hot.isEmpty():
-            ready = keys if ready is None else ready.unionByName(keys)
+            ready.append(keys.select("mask", "key", whole, "fp"))
             break
-        cool = keys.join(hot, ["mask", "key"], "left_anti")
-        ready = cool if ready is None else ready.unionByName(cool)
-        longer = F.create_map(*(x for m, to in splits.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(t)) for t in to)))))
-        wide = keys.join(hot, ["mask", "key"], "left_semi").select("fp", F.explode(longer[F.col("mask")]).alias("mask"))
+        ready.append(keys.join(hot, ["mask", "key"], "left_anti").select("mask", "key", whole, "fp"))
+        large = keys.join(hot, ["mask", "key"])
+        if depth == splits:  # alike in too many bits to be split by them: block against block
+            blocks = F.ceil(F.col("n") / group).cast("long")
+            large = large.withColumn("own", F.pmod(F.xxhash64("fp"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            ready.append(large.select("mask", "key", (F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other") + 1).alias("block"), "fp"))
+            break
+        to = {m: split_mask(m, distance) for m in masks}
+        longer = F.create_map(*(x for m, ms in to.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(t)) for t in ms)))))
+        wide = large.select("fp", F.explode(longer[F.col("mask")]).alias("mask"))
         keys, _ = stored(wide.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "split")
-        masks = sorted({t for to in splits.values() for t in to})
-    dealt = ready.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        masks = sorted({t for ms in to.values() for t in ms})
+    every = ready[0]
+    for r in ready[1:]:
+        every = every.unionByName(r)
+    dealt = every.repartition("mask", "key", "block").sortWithinPartitions("mask", "key", "block", "fp")
     return dealt.mapInArrow(_verifier(distance), "u long, v long")
 
 
