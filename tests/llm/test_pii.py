@@ -1,0 +1,108 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from nimbusvec.llm import pii
+from tests.llm.common import NASTY, docs, nasty
+
+
+def out(spark, texts, **more):
+    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace(docs(spark, texts), **more).collect()}
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+@pytest.mark.parametrize(
+    ("entity", "form"),
+    [
+        ("jane.doe77@mail.example.com", r"[a-z]{4}\.[a-z]{3}\d\d@[a-z]{4}\.[a-z]{7}\.com"),
+        ("+1 (017) 555-7713", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+        ("+49 30 1234567", r"\+4\d \d\d \d{7}"),
+        ("555-123-4567", r"5\d\d-\d{3}-\d{4}"),
+        ("97.51.17.173", r"(\d{1,3})(\.\d{1,3}){3}"),
+        ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+        ("4952935900253052", r"4\d{15}"),
+        ("4111 1111 1111 1111", r"4\d{3} \d{4} \d{4} \d{4}"),
+        ("04dbebab91ab85687d33eeaaf9ac699e1188f962", r"[0-9a-f]{40}"),
+        ("Mr. Robert Smith", r"Mr\. \w+ \w+"),
+        ("Frau Müller", r"Frau \w+"),
+        ("Mary Jones", r"\w+ \w+"),
+        ("Ольга Петрова", r"[А-Яа-я]+ [А-Яа-я]+"),
+    ],
+)
+def test_form_is_kept_and_mentions_agree(spark, entity, form):
+    got = out(spark, [f"before {entity}, after {entity}.", f"{entity}", f"nothing here but 12 words", None])
+    inside = re.fullmatch(rf"before ({form}), after ({form})\.", got[0][0])
+    assert inside, got[0][0]
+    new = got[1][0]
+    assert got[0] == (f"before {new}, after {new}.", 2) and new != entity and got[1][1] == 1
+    assert got[2] == ("nothing here but 12 words", 0) and got[3] == (None, 0)
+
+
+def test_types_hold(spark):
+    got = out(spark, ["4111111111111111", "97.51.17.173", "Mrs Linda Gray", "Иван Сидоров", "4111111111111112"])
+    assert luhn(got[0][0]) and all(0 < int(x) < 256 for x in got[1][0].split("."))
+    women = [n.lower() for n in pii.FIRST[("latin", "f")]]
+    assert got[2][0].split()[1].lower() in women and got[2][0].startswith("Mrs ")
+    assert got[3][0].split()[0] in pii.FIRST[("cyrillic", "m")]
+
+
+def test_coreference_across_writings(spark):
+    got = out(spark, ["call 555-123-4567", "call (555) 123-4567 now", "JANE@A.COM jane@a.com Jane@a.com"])
+    digits = [re.sub(r"\D", "", got[i][0]) for i in (0, 1)]
+    assert digits[0] == digits[1] != "5551234567"
+    a, b, c = got[2][0].split()
+    assert a == b.upper() and c == b.capitalize()
+
+
+def test_replacements_are_distinct_and_new(spark):
+    texts = [f"{a}.{b}.7.9 and +1 (5{a:02d}) 555-{b:04d}" for a in range(1, 40) for b in range(1, 12)]
+    got = out(spark, texts)
+    ips, phones = {g[0].split(" and ")[0] for g in got.values()}, {g[0].split(" and ")[1] for g in got.values()}
+    assert len(ips) == len(phones) == len(texts)
+    assert not ips & {t.split(" and ")[0] for t in texts} and not phones & {t.split(" and ")[1] for t in texts}
+
+
+def test_collisions_are_drawn_anew(spark, monkeypatch):
+    real = pii._digest
+    monkeypatch.setattr(pii, "_digest", lambda key, kind, canon, draw: F.when(draw == 0, F.sha2(F.lit("same"), 512)).otherwise(real(key, kind, canon, draw)))
+    got = out(spark, [f"10.0.0.{i}" for i in range(1, 30)])
+    assert len({g[0] for g in got.values()}) == 29
+
+
+def test_key_matters_and_runs_agree(spark):
+    a, b, c = (out(spark, ["x@y.com 555-123-4567"], key=k)[0][0] for k in ("one", "one", "two"))
+    assert a == b != c
+
+
+@pytest.mark.parametrize("text", ["no 1234 here", "3.14159 and 2024-01-02", "version 1.2.3", "12345678901", "a@b", "Robert", "deadbeef", "1.2.3.4.5", "x" * 1000 + "@", "100-200-300"])
+def test_clean_texts_stay(spark, text):
+    assert out(spark, [text])[0] == (text, 0)
+
+
+def test_nasty_rows(spark):
+    df = nasty(spark)
+    got = pii.replace(df)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i, t) for i, t, _ in NASTY), key=repr)
+    assert pii.replace(docs(spark, [])).collect() == []
+    twice = pii.replace(docs(spark, [(1, "a@b.com", "s"), (1, "a@b.com", "s"), (None, "a@b.com a@b.com", "s")])).collect()
+    assert len({w for r in twice for w in r.text.split()}) == 1
+
+
+def test_query_leaves_nothing_it_knows(spark):
+    from nimbusvec.llm.queries import op6_pii
+
+    d = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in op6_pii(spark, d).collect()}
+    find = re.compile(r"[\w.+-]+@mail\d\.example\.com|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.])|\+1 \(\d{3}\) 555-\d{4}|(?<!\w)\d{16}(?!\w)|(?<!\w)[0-9a-f]{40}(?!\w)")
+    n = 0
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+        old = find.findall(r.text)
+        n += len(old)
+        assert not any(x in got[r.doc_id].text for x in old)
+        assert got[r.doc_id].n_entities >= len(old) and (old or got[r.doc_id].n_entities or got[r.doc_id].text == r.text)
+        assert len(got[r.doc_id].text.split()) == len(r.text.split())
+    assert n > 20
