@@ -28,7 +28,7 @@ from nimbusvec.llm.shared import bound_batches, column, own_name, stored
 
 #: Share of a class's covariance that is replaced by the pooled one, and of that by its mean variance.
 TO_POOLED, TO_SPHERE = 0.1, 0.02
-#: Scores are tempered on at most so many training rows, those of the smallest hashes.
+#: Scores are tempered on at most so many training rows, of hashes below a share.
 TEMPER_ROWS = 20_000
 THRESHOLD = 0.7
 
@@ -148,11 +148,11 @@ def _sums(rows: DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
 
 
 def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_sphere: float = TO_SPHERE, temper_rows: int = TEMPER_ROWS) -> Model:
-    """The model for rows (x, y): x the statistics, y 0 or 1; other labels and nulls are ignored.
+    """The model for rows (id, x, y): x the statistics, y 0 or 1; other labels and nulls are ignored.
 
     A class without rows gets the pooled moments, so that without any labels every score is a half.
     """
-    known = rows.where("x is not null and y in (0, 1)")
+    known = rows.where("x is not null and y in (0, 1)").select("id", "x", "y")
     sums = _sums(known)
     d = len(STATISTICS)
     n = sum(s[0] for s in sums)
@@ -171,8 +171,11 @@ def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_sphere: float = TO_SPH
         model.factors.append(factor)
         model.offsets.append(math.log((count + 1) / (n + 2)) - float(np.log(np.diag(factor)).sum()))
     if all(s[0] for s in sums):
-        sample = known.orderBy(F.xxhash64("x"), "y").limit(temper_rows).select("x", "y").toPandas()
-        _temper(model, np.stack(sample.x), sample.y.to_numpy(float))
+        # rows whose hash falls below a share chosen for about so many, ten times that at most: tasks send no others
+        share = math.ceil(min(1.0, temper_rows / n) * (1 << 30))
+        sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).limit(10 * temper_rows).select("x", "y").toPandas()
+        if len(sample):
+            _temper(model, np.stack(sample.x), sample.y.to_numpy(float))
     return model
 
 
@@ -209,7 +212,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _training(stats: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select(F.col("doc_id"), F.col("quality").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
-    return stats.select("doc_id", "x").join(known, "doc_id").select("x", "y")
+    return stats.select("doc_id", "x").join(known, "doc_id").select(F.col("doc_id").alias("id"), "x", "y")
 
 
 def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
