@@ -1,7 +1,8 @@
 """PII surrogates: detected entities get keyed replacements of their own kind and form.
 
 Entities are e-mail addresses, IPv4 addresses, phone, card, account and social security
-numbers, long hexadecimal secrets and names of people after a title or of a listed first name. The replacement of an
+numbers, long hexadecimal secrets, access keys and passwords, and names of people after a title or of
+a listed first name. The replacement of an
 entity depends on a key and on its canonical form (digits of a number, lower case of an
 address or name), so that every mention of it, however written, gets the same one in its
 own writing: separators, case and length stay, card numbers keep a valid check digit, names
@@ -37,11 +38,12 @@ KINDS = {
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "key": r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=password=)[^\s\"']{6,64}+",
     "person": rf"(?<!\p{{L}})(?:{_TITLED}|{_NAMED})(?!\p{{L}})",
 }
 _ALL = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity needs; texts without it are left as they are.
-_HINT = r"@|\d{3}|\d\.\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
+_HINT = r"@|AKIA|password=|\d{3}|\d\.\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
 KEY = "surrogates-1"
 #: Draws after which a colliding replacement is an error.
 ROUNDS = 32
@@ -52,12 +54,12 @@ def _kind(token: Column) -> Column:
     for name, pattern in KINDS.items():
         test = token.rlike(f"^(?:{pattern})$")
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    return out.otherwise(F.lit("card"))
+    return out.otherwise(F.lit("key"))  # what follows password= is recognised by that alone
 
 
 def _canon(kind: Column, token: Column) -> Column:
     name = F.regexp_replace(token, "^(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? ", "")
-    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(token, r"\D", "")).when(kind == "ip", token).when(kind == "person", F.concat(_gender(token), F.lit(":"), F.lower(name))).otherwise(F.lower(token))
+    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(token, r"\D", "")).when(kind.isin("ip", "key"), token).when(kind == "person", F.concat(_gender(token), F.lit(":"), F.lower(name))).otherwise(F.lower(token))
 
 
 def _gender(token: Column) -> Column:
@@ -106,6 +108,8 @@ def _surrogate(key: str) -> Column:
     front = F.expr("substring(canon, 1, length(canon) - length(regexp_extract(canon, '(\\\\.[^.]+)$', 1)))")
     email = F.concat(F.array_join(F.transform(_chars(front), letter), ""), ending)
     ip = F.concat_ws(".", *((F.pmod(_nibble(h, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)))
+    prefix = F.when(canon.startswith("AKIA"), F.lit("akia")).otherwise(F.lit(""))
+    other = F.concat(prefix, F.array_join(F.transform(_chars(F.expr("substring(canon, 1 + if(startswith(canon, 'AKIA'), 4, 0))")), letter), ""))
     hexes = F.array_join(F.transform(places, lambda i: F.substring(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
     latin = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     first = None
@@ -116,7 +120,7 @@ def _surrogate(key: str) -> Column:
     syllable = lambda i: F.when(latin == "latin", F.element_at(F.array(*(F.lit(s) for s in _SYLLABLES["latin"])), F.pmod(_nibble(h, F.lit(i)), F.lit(16)) + 1)).otherwise(F.element_at(F.array(*(F.lit(s) for s in _SYLLABLES["cyrillic"])), F.pmod(_nibble(h, F.lit(i)), F.lit(16)) + 1))
     last = F.initcap(F.concat(*(syllable(i) for i in range(1, 5))))
     person = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lower(F.when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)))
-    return F.when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "person", person).otherwise(email)
+    return F.when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "key", other).when(kind == "person", person).otherwise(email)
 
 
 def _written(kind: Column, token: Column, surrogate: Column) -> Column:
@@ -129,7 +133,7 @@ def _written(kind: Column, token: Column, surrogate: Column) -> Column:
     cased = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(token.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(surrogate.substr(i, F.lit(1)))).otherwise(surrogate.substr(i, F.lit(1)))), "")
     title = F.regexp_extract(token, "^((?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? )", 1)
     person = F.concat(title, F.initcap(F.expr("substring(surrogate, 3)")))
-    return F.when(kind.isin("phone", "ssn", "card"), into).when(kind.isin("email", "secret"), cased).when(kind == "person", person).otherwise(surrogate)
+    return F.when(kind.isin("phone", "ssn", "card"), into).when(kind.isin("email", "secret", "key"), cased).when(kind == "person", person).otherwise(surrogate)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
