@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbusvec.llm.shared import WORD, column, own_name, stored
+from nimbusvec.llm.shared import WORD, column, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -62,33 +62,40 @@ def _up_to(sums: DataFrame, by: str, need: str) -> DataFrame:
     return run.groupBy("source").agg(F.max(F.struct(by, (F.col(need) - F.col("before")).alias("left"))).alias("m")).select("source", f"m.{by}", F.col("m.left").alias("left_" + by))
 
 
-def repeated(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """sizes (doc_id, source, size and others, a stored table): plus source_size, target and times, how often the mix takes each row."""
-    rows = sizes.withColumn("place", _place(F.col("doc_id"), seed))
+def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """One row for each source of sizes (doc_id, source, size; a stored table): source_key, source_size, target, whole, below, upto.
+
+    times() reads off it how often the mix takes a document.
+    """
+    rows = sizes.select(_key(F.col("source")).alias("source"), "size", _place(F.col("doc_id"), seed).alias("place"))
     rows = rows.withColumn("b1", F.shiftright("place", 48 - STEP_BITS)).withColumn("b2", F.shiftright("place", 48 - 2 * STEP_BITS))
-    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(per_source, weights, epochs)
-    plan = plan.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
-    plan, _ = stored(plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "plan")
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))  # joins as a value, null included
-    plan = plan.withColumn("source", key)
-    keyed = rows.withColumn("source", key)
-    first = keyed.groupBy("source", "b1").agg(F.sum("size").alias("size")).join(plan.select("source", "need"), "source")
+    made = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
+    made = made.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
+    made, _ = stored(made.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("source", _key(F.col("source"))), "plan")
+    first = rows.groupBy("source", "b1").agg(F.sum("size").alias("size")).join(made.select("source", "need"), "source")
     cut1, _ = stored(_up_to(first, "b1", "need"), "cut1")
-    second = keyed.join(cut1, ["source", "b1"]).groupBy("source", "b2", "left_b1").agg(F.sum("size").alias("size"))
+    second = rows.join(cut1, ["source", "b1"]).groupBy("source", "b2", "left_b1").agg(F.sum("size").alias("size"))
     cut2, _ = stored(_up_to(second, "b2", "left_b1"), "cut2")
-    # rows of the same place are taken together; a bucket holds one in 2 ** 24 of a source's rows
-    third = keyed.join(cut2, ["source", "b2"]).groupBy("source", "place", "left_b2").agg(F.sum("size").alias("size"))
+    # rows of one place are taken together; a bucket holds about one in 2 ** 24 of a source's rows
+    third = rows.join(cut2, ["source", "b2"]).groupBy("source", "place", "left_b2").agg(F.sum("size").alias("size"))
     w = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     last = third.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") + F.col("size") / 2 <= F.col("left_b2"))
-    cut3 = last.groupBy("source").agg(F.max("place").alias("to_place"))
-    cuts = plan.join(cut2.select("source", "b2"), "source", "left").join(cut3, "source", "left")
-    cuts, _ = stored(cuts.withColumn("below", F.coalesce(F.shiftleft("b2", 48 - 2 * STEP_BITS), F.lit(0))).drop("b2", "need"), "cuts")
-    out = keyed.drop("b1", "b2").join(cuts, "source")
-    more = (F.col("place") < F.col("below")) | (F.col("place") <= F.coalesce("to_place", F.lit(-1)))
-    out = out.withColumn("times", F.least(F.col("whole") + more.cast("long"), F.lit(epochs).cast("long")))
-    back = F.when(F.col("source") == "null", F.lit(None).cast("string")).otherwise(F.expr("substring(source, 2)"))
-    return out.withColumn("source", back).drop("place", "below", "to_place", "whole")
+    cut3 = last.groupBy("source").agg(F.max("place").alias("upto"))
+    out = made.join(cut2.select("source", "b2"), "source", "left").join(cut3, "source", "left")
+    below = F.coalesce(F.shiftleft("b2", 48 - 2 * STEP_BITS), F.lit(0))
+    return stored(out.select(F.col("source").alias("source_key"), "source_size", "target", "whole", below.alias("below"), F.coalesce("upto", F.lit(-1)).alias("upto")), "cuts")[0]
+
+
+def _key(source: Column) -> Column:
+    """A source as a join key, null included."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+
+
+def times(doc_id: Column, epochs: int, seed: str) -> Column:
+    """How often the mix takes a document, on rows joined with plan()."""
+    place = _place(doc_id, seed)
+    more = (place < F.col("below")) | (place <= F.col("upto"))
+    return F.least(F.col("whole") + more.cast("long"), F.lit(epochs).cast("long"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -101,14 +108,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     repeated rows of one doc_id stay together. Other columns are not read; an empty table
     gives an empty one.
     """
-    sizes, _ = stored(docs.select(column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"), words(column(text)).alias("size")), "sizes")
-    return repeated(sizes, weights, epochs, seed).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    sizes = _sizes(docs, doc_id, text, source)
+    out = sizes.withColumn("source_key", _key(F.col("source"))).join(plan(sizes, weights, epochs, seed), "source_key")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times(F.col("doc_id"), epochs, seed)).alias("taken"))
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return stored(docs.select(column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"), words(column(text)).alias("size")), "sizes")[0]
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """docs, columns unchanged, each row as often as the mix takes it. Rows without words are dropped: they add nothing."""
-    row = own_name(docs, "_row")
-    rows, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    sizes, _ = stored(rows.select(column(doc_id).alias("doc_id"), column(source).cast("string").alias("source"), words(column(text)).alias("size"), F.col(row).alias("row")), "sizes")
-    times = repeated(sizes, weights, epochs, seed).where("times > 0 and size > 0").select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_time")).drop("_time")
-    return rows.join(times, row).select(*(column(c) for c in docs.columns))
+    cuts = plan(_sizes(docs, doc_id, text, source), weights, epochs, seed)
+    kept = docs.where(column(text).rlike(WORD)).select(F.struct(*(column(c) for c in docs.columns)).alias("doc"), _key(column(source).cast("string")).alias("source_key"), column(doc_id).alias("doc_id"))
+    taken = kept.join(cuts, "source_key").withColumn("times", times(F.col("doc_id"), epochs, seed)).where("times > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).select(*(F.col("doc")[c].alias(c) for c in docs.columns))
