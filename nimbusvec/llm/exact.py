@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import WHITE, bound_batches, column, own_name, stored
+from nimbusvec.llm.shared import WHITE, bound_batches, column, drop, new_path, own_name, stored
 
 #: Most bytes of texts that a task remembers for folding.
-FOLD_BYTES = 32 << 20
+FOLD_BYTES = 8 << 20
 #: A bucket with more bytes of distinct texts than this is split.
 BUCKET_BYTES = 64 << 20
 #: The directory has at most 2 to this many slots, which bounds what the driver holds.
@@ -92,7 +92,7 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, old = held.popitem(last=False)
         gone.append(holder(old))
         gone_bytes += len(old[0])
-        if gone_bytes > FOLD_BYTES // 4 or len(gone) >= 4096 or not held:
+        if gone_bytes > FOLD_BYTES or len(gone) >= 4096 or not held:
             yield rows(gone)
             gone, gone_bytes = [], 0
 
@@ -186,12 +186,16 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     raw = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(row).alias("row"), F.char_length(raw).cast("long").alias("points"), raw.cast("binary").alias("raw"))
-    log, _ = stored(rows.mapInArrow(_fold, _ENTRY), "entries")
-    holders = log.where("norm is not null")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "entries")
+    rows.mapInArrow(_fold, _ENTRY).withColumn("held", F.col("norm").isNotNull()).write.option("compression", "zstd").partitionBy("held").parquet(path)
+    log = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
+    holders = log.where("held")
     buckets = directory(holders.select("key", "norm"))
     dealt = holders.withColumn("bucket", _slot(buckets)).repartition("bucket" if len(buckets) >= 4096 else F.shiftright("key", 63 - 12)).sortWithinPartitions("key", "holder")
     index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_own, _INDEX), "index")
-    return log.where("norm is null").select("doc_id", "row", "holder", F.col("sha").alias("text_sha256")).join(index, "holder").drop("holder")
+    drop(spark, f"{path}/held=true")  # the bytes aren't needed any more
+    bare = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
+    return bare.select("doc_id", "row", "holder", F.col("sha").alias("text_sha256")).join(index, "holder").drop("holder")
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ CARRY = 2048
 #: Pieces that a first-level task packs together, at most.
 LEAF_ROWS = 200_000
 #: Words of a generation of those whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 200_000
 
 # Characters of one code point each, whose lower case and normal form stay so in every version of Unicode.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-įı-žƀ-ǃ]*+")

@@ -19,7 +19,7 @@ WHITE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Most bytes of one Arrow batch sent to Python, so that very long texts don't pile up in one batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
 
