@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ def _parser() -> argparse.ArgumentParser:
     m.add_argument("--queries")
     m.add_argument("--batches", type=int, default=4)
     m.add_argument("--batch", type=int, default=64)
+    m.add_argument("--seconds", type=float, help="run for so long instead of for a number of batches")
     m.add_argument("--read-ratio", type=float, default=0.5)
     m.add_argument("--report")
     s = sub.add_parser("search", help="search an index for the vectors of a file")
@@ -91,11 +92,19 @@ def search(spark: SparkSession, a: argparse.Namespace) -> dict:
     return {"results": [r.asDict() for r in found.orderBy("qid", "rank").limit(100).collect()]}
 
 
+def _steps(batches: int, seconds: float | None, usual: list[float]) -> Iterator[int]:
+    """Numbers of batches; against a deadline, none is begun that would probably end after it, going by the usual latency."""
+    start, k = time.perf_counter(), 0
+    while k < batches if seconds is None else time.perf_counter() - start + usual[0] < seconds:
+        yield k
+        k += 1
+
+
 def bench(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Batches of searches and of inserts, in the proportion of read_ratio; latencies are of whole batches."""
     index = VectorIndex.load(spark, a.index) if a.index else VectorIndex.build(synthetic(spark, 4 * a.batch, a.dim), _params(a, a.dim))
-    dim, samples, reads, start = index.dimension, [], 0, time.perf_counter()
-    for k in range(a.batches):
+    dim, samples, reads, start, usual = index.dimension, [], 0, time.perf_counter(), [0.0]
+    for k in _steps(a.batches, a.seconds, usual):
         fresh = synthetic(spark, a.batch, dim, first_id=10**9 + k * a.batch, first_seed=10**6 + k * a.batch)
         begun = time.perf_counter_ns()
         read = reads < a.read_ratio * (k + 1)
@@ -107,6 +116,7 @@ def bench(spark: SparkSession, a: argparse.Namespace) -> dict:
             index = index.insert(fresh)
             index.count()
         took = time.perf_counter_ns() - begun
+        usual[0] = usual[0] * 7 / 8 + took / 8e9 if usual[0] else took / 1e9
         samples.append(("query" if read else "insert", 0, took, took, {"cpu.batch": took}))
     seconds = time.perf_counter() - start
     table = spark.createDataFrame(samples, breakdown.SAMPLES)

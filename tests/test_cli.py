@@ -16,6 +16,15 @@ def test_build_and_search(spark, tmp_path):
     assert vector_files.read_ground_truth(spark, found, 120).count() == 120
 
 
+def test_no_batch_begins_that_would_end_late():
+    usual = [0.0]
+    steps = cli._steps(0, 60.0, usual)
+    assert next(steps) == 0
+    usual[0] = 100.0
+    assert list(steps) == []
+    assert list(cli._steps(3, None, usual)) == [0, 1, 2]
+
+
 def test_bench(spark, tmp_path):
     out = cli.main(["bench", "--dim", "8", "--batch", "16", "--batches", "2", "--report", str(tmp_path / "r.json")], spark)
     assert out["meta"]["throughput"] > 0 and "query_breakdown" in out and "insert_breakdown" in out
