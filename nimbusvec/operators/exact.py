@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +42,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     """An Arrow list column of equal lengths as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and (column.null_count or len(pc.unique(pc.list_value_length(column))) > 1):
+        raise ValueError("a vector is null or of another dimension than the others")
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 

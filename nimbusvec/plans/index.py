@@ -23,7 +23,7 @@ from nimbusvec.functions import rabitq
 
 from nimbusvec.functions.layout import aligned, node_size, pack_pointer
 from nimbusvec.functions.proximity import ESTIMATE_SLACK, Graph, beam_search, build_graph, exact_score, insert_rows, reached
-from nimbusvec.operators.exact import query_blocks, top_k
+from nimbusvec.operators.exact import matrix, query_blocks, top_k
 from nimbusvec.schema import NODES, RESULTS, SHARDS, Params, check_dim
 
 #: Rows of a shard beyond which building asks for more shards.
@@ -49,8 +49,20 @@ def _unpack_codes(row: dict, dim: int, bits: int) -> rabitq.Codes:
 
 
 def centroid(vectors: DataFrame) -> DataFrame:
-    """(pos, value): the mean of all vectors, by position from 0."""
-    return vectors.select(F.posexplode("vec").alias("pos", "v")).groupBy("pos").agg(F.avg(F.col("v").cast("double")).alias("value"))
+    """(pos, value): the mean of all vectors, by position from 0. Tasks send their sums, not their vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                part = matrix(b.column(0))
+                total = part.sum(0) if total is None else total + part.sum(0)
+                n += len(part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), n))], ["pos", "s", "n"])
+
+    sums = vectors.select("vec").where("vec is not null").mapInArrow(run, "pos int, s double, n long")
+    return sums.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 
 def mean_vector(vectors: DataFrame, dim: int) -> np.ndarray:
@@ -86,15 +98,17 @@ class VectorIndex:
 
     @staticmethod
     def build(vectors: DataFrame, params: Params, mean: np.ndarray | None = None) -> VectorIndex:
-        """An index of vectors (id, vec). Of rows with one id the vector of the smallest components stays."""
+        """An index of vectors (id, vec), by one shuffle. Of rows with one id the vector of the smallest components stays."""
         spark = vectors.sparkSession
-        clean = check_dim(vectors.select("id", "vec"), params.dim).groupBy("id").agg(F.min("vec").alias("vec"))
+        clean = check_dim(vectors.select("id", "vec"), params.dim)
         mean = mean_vector(clean, params.dim) if mean is None else mean
         codec = rabitq.make_codec(mean, params.bits, params.seed)
         sent = spark.sparkContext.broadcast((params, codec))
 
         def make(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
             p, c = sent.value
+            if g.id.duplicated().any():
+                g = g.assign(parts=g.vec.map(tuple)).sort_values(["id", "parts"]).drop_duplicates("id")
             g = g.sort_values("id")
             v = np.stack(g.vec).astype(float)
             graph = build_graph(g.id.to_numpy(), v, p.degree, p.beam_width_construction, p.build_alpha, p.seed + int(key[0]), p.rounds, metric=p.metric)
