@@ -29,12 +29,12 @@ from nimbusvec.llm.simhash import forest
 THRESHOLD = 0.9
 #: Standard errors of the estimate that a pair must be below the threshold by, to go unrecomputed.
 SIGMAS = 4.0
-#: The quantiser is fitted on at most so many distinct vectors, of hashes below a share.
-SAMPLE = 16_384
-#: Distinct vectors for each cell, and the most cells.
-PER_CELL, MAX_CELLS = 400, 4096
+#: The quantiser is fitted on about so many bytes of distinct vectors at most, those of hashes below a share.
+SAMPLE_BYTES = 64 << 20
+#: Distinct vectors for each cell, rows of the sample for each cell, and the most cells.
+PER_CELL, PER_FIT, MAX_CELLS = 400, 16, 16_384
 #: Cells that a vector is filed under.
-NEAREST = 4
+NEAREST = 6
 #: Most rows of a block.
 BLOCK = 2048
 SEED = 20_240_601
@@ -151,18 +151,20 @@ def links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
 
 def _links_of(nodes: DataFrame, dim: int, n: int, threshold: float, sigmas: float, nearest: int, per_cell: int, block: int) -> DataFrame:
     """(node, links, parent) found in each cell, for the nodes of one length."""
-    k = min(MAX_CELLS, 1 << max(0, math.ceil(math.log2(max(n / per_cell, 1)))))
+    most = max(PER_FIT, SAMPLE_BYTES // (8 * dim))
+    k = min(MAX_CELLS, max(1, 2 * most // PER_FIT), 1 << max(0, math.ceil(math.log2(max(n / per_cell, 1)))))
     # rows whose hash falls below a share chosen for about so many: tasks send no others
-    share = math.ceil(min(1.0, min(SAMPLE, 16 * k) / n) * (1 << 30))
-    sample = np.array([r.x for r in nodes.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).orderBy("h", "node").limit(2 * SAMPLE).select("x").collect()], float).reshape(-1, dim)
+    share = math.ceil(min(1.0, min(most, PER_FIT * k) / n) * (1 << 30))
+    sample = np.array([r.x for r in nodes.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < share).orderBy("h", "node").limit(2 * most).select("x").collect()], float).reshape(-1, dim)
     if not len(sample):  # few rows, and none of them fell below
         sample = np.array([r.x for r in nodes.orderBy("h", "node").limit(k).select("x").collect()], float).reshape(-1, dim)
     cells = fit_cells(sample / np.linalg.norm(sample, axis=1, keepdims=True), k)
-    turn = rotation(dim)
-    take = min(nearest, len(cells))
+    turn, take = rotation(dim), min(nearest, len(cells))
+    sent = nodes.sparkSession.sparkContext.broadcast(cells)
 
     def file(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each node under each of its nearest cells."""
+        cells = sent.value
         for b in batches:
             if not b.num_rows:
                 continue
