@@ -2,9 +2,9 @@
 
 An archive is a folder of two tables. ``payloads`` holds the bytes of each distinct payload
 under its SHA-256; ``headers`` holds, for each record, its header block byte for byte and the
-SHA-256 of its payload. Joining the two gives the original records back. Writing verifies
-that payloads of one digest are equal (their SHA-1 and length as well), and reading hashes
-the bytes again before it hands them out.
+SHA-256 of its payload. Joining the two gives the original records back. Writing groups
+payloads by digest and bytes, copies of a task first; reading hashes the stored bytes again
+and holds them against both their SHA-256 and the SHA-1 in the record's header.
 """
 
 from __future__ import annotations
