@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbusvec.functions.distance import Metric, distance, to_many
+from nimbusvec.functions.distance import Metric, distance
 from nimbusvec.schema import RESULTS
 
 #: Most bytes of queries that one pass over the vectors sends to every task.
@@ -47,38 +47,54 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def nearest_of(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: Metric | str, without_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of v for each query: query row, id and distance, by query and nearness, ties by id.
+
+    One matrix product finds what may be among them, up to its rounding; only those pairs get
+    their distance from the components' differences, which decides.
+    """
+    size_q, size_v = (q * q).sum(1), (v * v).sum(1)
+    l2 = Metric(metric) is Metric.L2
+    out: list[tuple[np.ndarray, ...]] = []
+    step = max(1, (1 << 22) // max(1, len(v)))
+    for i in range(0, len(q), step):
+        own = slice(i, i + step)
+        near = size_q[own, None] + size_v[None] - 2 * (q[own] @ v.T) if l2 else 1.0 - q[own] @ v.T
+        if without_self:
+            near[qids[own, None] == ids[None]] = np.inf
+        edge = np.partition(near, k - 1, axis=1)[:, k - 1] if near.shape[1] > k else np.full(len(near), np.inf)
+        slack = 1e-9 * (1.0 + size_q[own] + size_v.max(initial=0.0))
+        row, at = np.nonzero((near <= (edge + slack)[:, None]) & np.isfinite(near))
+        a, b = q[own][row], v[at]
+        d = ((a - b) ** 2).sum(1) if l2 else 1.0 - (a * b).sum(1)
+        order = np.lexsort((ids[at], d, row))
+        row, at, d = row[order], at[order], d[order]
+        first = np.searchsorted(row, np.arange(len(near)))
+        kept = np.arange(len(row)) - first[row] < k
+        out.append((row[kept] + i, ids[at[kept]], d[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _block(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric: Metric | str, without_self: bool) -> DataFrame:
     sent = vectors.sparkSession.sparkContext.broadcast((qids, q))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = sent.value
-        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
             if not b.num_rows:
                 continue
             ids, v = b.column(0).to_numpy(), matrix(b.column(1))
             if v.shape[1] != q.shape[1]:
                 raise ValueError("queries and vectors differ in dimension")
-            d = to_many(metric, q, v)
-            if without_self:
-                d[qids[:, None] == ids[None]] = np.inf
-            # only what may enter a query's best: its k nearest of the batch
-            if d.shape[1] > k:
-                near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                edge = np.take_along_axis(d, near, 1).max(1)
-                ties = (d <= edge[:, None]).sum(1) > k
-                near_d, near_i = np.take_along_axis(d, near, 1), ids[near]
-                for row in np.flatnonzero(ties):  # equal distances at the edge: the smaller ids
-                    at = np.flatnonzero(d[row] <= edge[row])
-                    at = at[np.lexsort((ids[at], d[row, at]))][:k]
-                    near_d[row], near_i[row] = d[row, at], ids[at]
-            else:
-                near_d, near_i = d, np.broadcast_to(ids, d.shape)
-            all_d, all_i = np.concatenate([best_d, near_d], 1), np.concatenate([best_i, near_i], 1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        row, slot = np.nonzero(np.isfinite(best_d))
-        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(best_i[row, slot]), pa.array(best_d[row, slot])], ["qid", "id", "distance"])
+            found = nearest_of(q, qids, v, ids, k, metric, without_self)
+            row, i, d = (np.concatenate(c) for c in zip(best, found, strict=True))
+            order = np.lexsort((i, d, row))
+            row, i, d = row[order], i[order], d[order]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            best = (row[kept], i[kept], d[kept])
+        row, i, d = best
+        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(i), pa.array(d)], ["qid", "id", "distance"])
 
     return vectors.select("id", "vec").mapInArrow(run, "qid long, id long, distance double")
 

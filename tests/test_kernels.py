@@ -5,6 +5,7 @@ from nimbusvec.functions import rabitq
 from nimbusvec.functions.distance import to_many, to_own
 from nimbusvec.functions.proximity import Graph, beam_search, build_graph, exact_score, insert_rows, medoid_of, prune, random_neighbours, reached
 from nimbusvec.operators import cluster
+from nimbusvec.operators.exact import nearest_of
 from nimbusvec.sources.synthetic import vectors_of
 
 
@@ -25,6 +26,21 @@ def test_distances():
     assert (to_many("l2", a, a).diagonal() == 0).all()
 
 
+def test_nearest_of_is_brute_force():
+    rng = np.random.default_rng(0)
+    for metric in ("l2", "ip"):
+        v = np.concatenate([points(200), np.repeat(points(3, seed=5), 20, axis=0), points(5) * 1e6])
+        ids = rng.permutation(len(v))
+        q = np.concatenate([v[:20], v[200:260:7]])
+        row, got, d = nearest_of(q, np.full(len(q), -1), v, ids, 12, metric, False)
+        full = to_many(metric, q, v)
+        for r in range(len(q)):
+            want = np.lexsort((ids, full[r]))[:12]
+            assert got[row == r].tolist() == ids[want].tolist() and np.allclose(d[row == r], full[r][want])
+    row, got, _ = nearest_of(v[:4], ids[:4], v, ids, 3, "l2", True)
+    assert not (got == ids[:4][row]).any()
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 300])
 def test_graph_invariants_and_full_beam(n):
     v = points(n)
