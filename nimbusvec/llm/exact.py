@@ -19,15 +19,17 @@ from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nimbusvec.llm.shared import WHITE, bound_batches, column, drop, new_path, own_name, stored
 
 #: Most bytes of texts that a task remembers for folding.
 FOLD_BYTES = 8 << 20
-#: A bucket with more bytes of distinct texts than this is split.
-BUCKET_BYTES = 64 << 20
+#: A bucket with more bytes of distinct texts than this is split, unless the directory would be too deep.
+BUCKET_BYTES = 4 << 20
+#: Bytes of texts that an owner task reads, if there are more tasks than shuffle partitions.
+OWNER_BYTES = 256 << 20
 #: The directory has at most 2 to this many slots, which bounds what the driver holds.
 MAX_DEPTH = 20
 #: Prefix bits of the first histogram.
@@ -118,32 +120,33 @@ def double_directory(weights: dict[int, int], depth: int, limit: int) -> dict[tu
     return done | open_
 
 
-def directory(holders: DataFrame, limit: int = BUCKET_BYTES, max_depth: int = MAX_DEPTH) -> dict[tuple[int, int], int]:
-    """The directory for all holders. The driver sees at most 2 ** max_depth sums, never a fingerprint."""
+def buckets_of(holders: DataFrame, limit: int | None = None, max_depth: int = MAX_DEPTH) -> dict[tuple[int, int], int]:
+    """The buckets for all holders. The driver sees at most 2 ** max_depth sums, never a fingerprint."""
     depth = min(FIRST_DEPTH, max_depth)
     while True:
         sums = holders.groupBy(F.shiftright("key", 63 - depth).alias("p")).agg(F.sum(F.length("norm") + 64).alias("w"))
-        buckets = double_directory({r.p: r.w for r in sums.collect()}, depth, limit)
-        if depth == max_depth or not any(d == depth and w > limit for (d, _), w in buckets.items()):
+        weights = {r.p: r.w for r in sums.collect()}
+        # a corpus of any size has few enough buckets for a directory of bounded depth
+        most = max(BUCKET_BYTES if limit is None else limit, sum(weights.values()) >> (max_depth - 2))
+        buckets = double_directory(weights, depth, most)
+        if depth == max_depth or not any(d == depth and w > most for (d, _), w in buckets.items()):
             return buckets
         depth = min(max_depth, depth + 4)
 
 
-def _slot(buckets: dict[tuple[int, int], int]):
-    """The bucket of a key, as a column: the start of its key range, read off the directory."""
-    if len(buckets) == 1:
-        return F.lit(0).cast("long")
-    by_depth: dict[int, list[int]] = {}
-    for d, p in buckets:
-        by_depth.setdefault(d, []).append(p)
-    out = None
-    for d, prefixes in sorted(by_depth.items()):
-        start = F.shiftleft(F.shiftright("key", 63 - d), 63 - d)
-        if len(by_depth) == 1:
-            return start
-        test = F.shiftright("key", 63 - d).isin(prefixes)
-        out = F.when(test, start) if out is None else out.when(test, start)
-    return out
+def directory(spark: SparkSession, buckets: dict[tuple[int, int], int], owners: int = 1) -> tuple[DataFrame, int]:
+    """The directory (slot, owner), one row for each of its 2 ** depth slots, and its depth.
+
+    Slots of one bucket have one owner, and an owner's slots are a range of keys; the ranges are
+    of about equal bytes.
+    """
+    depth = max(d for d, _ in buckets)
+    each, before, rows = max(1, -(-sum(buckets.values()) // owners)), 0, []
+    for (d, p), w in sorted(buckets.items(), key=lambda b: b[0][1] << (depth - b[0][0])):
+        rows.append((p << (depth - d), 1 << (depth - d), min(owners - 1, (before + w // 2) // each)))
+        before += w
+    table = spark.createDataFrame(rows, "first long, slots long, owner int")
+    return table.select("owner", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot")), depth
 
 
 def _own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +193,12 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     rows.mapInArrow(_fold, _ENTRY).withColumn("held", F.col("norm").isNotNull()).write.option("compression", "zstd").partitionBy("held").parquet(path)
     log = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
     holders = log.where("held")
-    buckets = directory(holders.select("key", "norm"))
-    dealt = holders.withColumn("bucket", _slot(buckets)).repartition("bucket" if len(buckets) >= 4096 else F.shiftright("key", 63 - 12)).sortWithinPartitions("key", "holder")
+    buckets = buckets_of(holders.select("key", "norm"))
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()) // OWNER_BYTES)
+    slots, depth = directory(spark, buckets, owners)
+    # at most 2 ** MAX_DEPTH rows of two numbers
+    placed = holders.withColumn("slot", F.shiftright("key", 63 - depth)).join(F.broadcast(slots), "slot")
+    dealt = placed.repartitionById(owners, F.col("owner")).sortWithinPartitions("key", "holder")
     index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_own, _INDEX), "index")
     drop(spark, f"{path}/held=true")  # the bytes aren't needed any more
     bare = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
