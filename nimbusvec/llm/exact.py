@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import WHITE, bound_batches, column, drop, new_path, own_name, stored
+from nimbusvec.llm.shared import WHITE, bound_batches, column, drop, own_name, stored
 
 #: Most bytes of texts that a task remembers for folding.
 FOLD_BYTES = 8 << 20
@@ -189,10 +189,9 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     bound_batches(docs.sparkSession)
     raw = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(row).alias("row"), F.char_length(raw).cast("long").alias("points"), raw.cast("binary").alias("raw"))
-    spark, path = docs.sparkSession, new_path(docs.sparkSession, "entries")
-    rows.mapInArrow(_fold, _ENTRY).withColumn("held", F.col("norm").isNotNull()).write.option("compression", "zstd").partitionBy("held").parquet(path)
-    log = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
-    holders = log.where("held")
+    spark = docs.sparkSession
+    log, path = stored(rows.mapInArrow(_fold, _ENTRY), "entries")
+    holders = log.where("norm is not null")
     buckets = buckets_of(holders.select("key", "norm"))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()) // OWNER_BYTES)
     slots, depth = directory(spark, buckets, owners)
@@ -200,8 +199,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     placed = holders.withColumn("slot", F.shiftright("key", 63 - depth)).join(F.broadcast(slots), "slot")
     dealt = placed.repartitionById(owners, F.col("owner")).sortWithinPartitions("key", "holder")
     index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_own, _INDEX), "index")
-    drop(spark, f"{path}/held=true")  # the bytes aren't needed any more
-    bare = spark.read.schema(f"{_ENTRY}, held boolean").parquet(path)
+    bare, _ = stored(log.where("norm is null").select("doc_id", "row", "holder", "sha"), "bare")
+    drop(spark, path)  # the texts aren't needed any more
     return bare.select("doc_id", "row", "holder", F.col("sha").alias("text_sha256")).join(index, "holder").drop("holder")
 
 
