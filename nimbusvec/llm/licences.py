@@ -70,6 +70,8 @@ NAMES = {
 OPENINGS = ("licensed under", "released under", "distributed under", "this work is licensed under", "this file is licensed under", "this software is licensed under")
 #: Equivalent spellings, as pattern and what it becomes, on lower-case text of letters, digits and single spaces.
 SPELLINGS = ((r"\blicence(s|d)?\b", "license$1"), (r"\b(un|sub)licenced?\b", "$1license"), (r"\bcopyright owner(s?)\b", "copyright holder$1"), (r"\bmerchantibility\b", "merchantability"), (r"\bnon infringement\b", "noninfringement"), (r"\bv(?:ersion)? ?(\d)", "version $1"))
+#: Known texts up to which their digests, about a hundred bytes each, are sent to every task.
+BROADCAST_ROWS = 50_000
 COPYRIGHT = r"^\W*(?:copyright\b(?! (?:holder|owner|notice))|\(c\)|©|all rights reserved\W*$).*"
 
 
@@ -103,6 +105,11 @@ def known(spark: SparkSession, texts: dict[str, str], kind: str) -> DataFrame:
     return table.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("canon")).alias("chars")).withColumn("kind", F.lit(kind))
 
 
+def _sent(table: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """A table of known digests, sent to every task if its rows are few enough; else Spark decides."""
+    return F.broadcast(table) if len(texts) <= BROADCAST_ROWS else table
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licences: dict[str, str] | None = None, lines: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, canonical_sha256, licence, notices.
 
@@ -120,10 +127,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", licences:
     short = F.array_distinct(F.filter("lines", lambda x: F.length(x).between(low, high)))
     facts, _ = stored(canon.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("canonical_sha256"), F.transform(short, lambda x: F.sha2(x, 256)).alias("short")), "canonical")
     # a row's lines follow from its id and digest, so repeated rows need no number of their own
-    named = facts.select("doc_id", "canonical_sha256", F.explode("short").alias("digest")).join(table.select("digest", "licence"), "digest")
+    named = facts.select("doc_id", "canonical_sha256", F.explode("short").alias("digest")).join(_sent(table.select("digest", "licence"), single), "digest")
     per_doc = named.groupBy("doc_id", "canonical_sha256").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     per_doc = per_doc.select(key.alias("k"), "canonical_sha256", "notices")
     out = facts.drop("short").withColumn("k", key).join(per_doc, ["k", "canonical_sha256"], "left")
-    out = out.join(texts.select(F.col("digest").alias("canonical_sha256"), "licence"), "canonical_sha256", "left")
+    out = out.join(_sent(texts.select(F.col("digest").alias("canonical_sha256"), "licence"), whole), "canonical_sha256", "left")
     return out.select("doc_id", "canonical_sha256", "licence", F.coalesce("notices", F.lit("")).alias("notices"))
