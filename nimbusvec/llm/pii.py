@@ -7,7 +7,8 @@ entity depends on a key and on its canonical form (digits of a number, lower cas
 address or name), so that every mention of it, however written, gets the same one in its
 own writing: separators, case and length stay, card numbers keep a valid check digit, names
 their gender and script. Replacements are checked over the whole corpus: one that two
-entities share, or that occurs as an entity itself, is drawn anew. DataFrame functions only.
+entities share, or that occurs as an entity itself, is drawn anew, and after some draws in
+a wider form, so that the forms never run out. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ _ALL = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity needs; texts without it are left as they are.
 _HINT = r"@|AKIA|password=|\d{3}|\d\.\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
 KEY = "surrogates-1"
-#: Draws after which a colliding replacement is an error.
-ROUNDS = 32
+#: Draws in an entity's own form; each later one is of a wider form.
+DRAWS = 8
 
 
 def _kind(token: Column) -> Column:
@@ -88,28 +89,39 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """The canonical replacement of columns kind, canon and draw."""
+    """The canonical replacement of columns kind, canon and draw.
+
+    From DRAWS draws on it has with each draw a digit, letter or syllable more, or octets above
+    255; a password then has letters for its signs too. A password or address without letters
+    and digits, which has no other of its own form, is widened from the first draw on.
+    """
     kind, canon = F.col("kind"), F.col("canon")
+    bare = ~F.when(kind == "email", F.regexp_replace(canon, r"\.[^.]+$", "")).when(kind == "key", canon).otherwise("0").rlike(r"[0-9\p{L}]")
+    level = F.when(bare, F.col("draw") + 1).otherwise(F.greatest(F.col("draw") - (DRAWS - 1), F.lit(0)))
     h = _digest(key, kind, canon, F.col("draw"))
     digit = lambda i: F.pmod(_nibble(h, i), F.lit(10)).cast("string")
-    places = F.sequence(F.lit(0), F.greatest(F.length(canon), F.lit(1)) - 1)
+    places = F.sequence(F.lit(0), F.greatest(F.length(canon), F.lit(1)) - 1 + level)
     number = F.array_join(F.transform(places, digit), "")
     # the country code of a phone number and the brand of a card stay
     kept = F.when(kind == "ssn", F.lit(0)).otherwise(F.lit(1))
-    number = F.concat(F.substring(canon, F.lit(1), kept), F.substring(number, kept + 1, F.length(canon)))
+    number = F.concat(F.substring(canon, F.lit(1), kept), F.substring(number, kept + 1, F.length(number)))
     body = F.expr("substring(canon, 1, length(canon) - 1)")
     check = lambda digits: F.pmod(F.lit(10) - F.pmod(_luhn_sum(digits), F.lit(10)), F.lit(10)).cast("string")
     valid = check(body) == F.expr("substring(canon, length(canon), 1)")
-    drawn = F.substring(number, F.lit(1), F.length(canon) - 1)
+    drawn = F.substring(number, F.lit(1), F.length(canon) - 1 + level)
     # shorten first, as check() reads its argument more than once
     card = F.when(valid, F.concat(drawn, check(drawn))).otherwise(number)
-    letter = lambda c, i: F.when(c.rlike("[0-9]"), digit(i)).when(c.rlike(r"\p{L}"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(_nibble(h, i), F.lit(26)) + 1, F.lit(1))).otherwise(c)
+    drawn_letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(_nibble(h, i), F.lit(26)) + 1, F.lit(1))
+    letter = lambda c, i: F.when(c.rlike("[0-9]"), digit(i)).when(c.rlike(r"\p{L}") | ((kind == "key") & (level > 0)), drawn_letter(i)).otherwise(c)
+    # from the far end of the digest, where short entities take nothing
+    more = lambda n: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: drawn_letter(63 - i)), "")
     ending = F.regexp_extract(canon, r"(\.[^.]+)$", 1)
     front = F.expr("substring(canon, 1, length(canon) - length(regexp_extract(canon, '(\\\\.[^.]+)$', 1)))")
-    email = F.concat(F.array_join(F.transform(_chars(front), letter), ""), ending)
-    ip = F.concat_ws(".", *((F.pmod(_nibble(h, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4)))
+    email = F.concat(more(level), F.array_join(F.transform(_chars(front), letter), ""), ending)
+    wide = F.concat_ws(".", *((F.pmod(_nibble(h, F.lit(2 * i)) * 256 + _nibble(h, F.lit(2 * i + 1)), F.lit(744)) + 256).cast("string") for i in range(4)))
+    ip = F.when(level > 0, wide).otherwise(F.concat_ws(".", *((F.pmod(_nibble(h, F.lit(i)), F.lit(223 if i == 0 else 254)) + 1).cast("string") for i in range(4))))
     prefix = F.when(canon.startswith("AKIA"), F.lit("akia")).otherwise(F.lit(""))
-    other = F.concat(prefix, F.array_join(F.transform(_chars(F.expr("substring(canon, 1 + if(startswith(canon, 'AKIA'), 4, 0))")), letter), ""))
+    other = F.concat(prefix, more(F.greatest(level - 1, F.lit(0))), F.array_join(F.transform(_chars(F.expr("substring(canon, 1 + if(startswith(canon, 'AKIA'), 4, 0))")), letter), ""))
     hexes = F.array_join(F.transform(places, lambda i: F.substring(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
     latin = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     first = None
@@ -117,30 +129,33 @@ def _surrogate(key: str) -> Column:
         pick = F.element_at(F.array(*(F.lit(n) for n in names)), (F.pmod(_nibble(h, F.lit(0)), F.lit(len(names))) + 1).cast("int"))
         test = (latin == script) & canon.startswith(gender + ":")
         first = F.when(test, pick) if first is None else first.when(test, pick)
-    syllable = lambda i: F.when(latin == "latin", F.element_at(F.array(*(F.lit(s) for s in _SYLLABLES["latin"])), F.pmod(_nibble(h, F.lit(i)), F.lit(16)) + 1)).otherwise(F.element_at(F.array(*(F.lit(s) for s in _SYLLABLES["cyrillic"])), F.pmod(_nibble(h, F.lit(i)), F.lit(16)) + 1))
-    last = F.initcap(F.concat(*(syllable(i) for i in range(1, 5))))
+    syllable = lambda i: F.element_at(F.when(latin == "latin", F.array(*(F.lit(s) for s in _SYLLABLES["latin"]))).otherwise(F.array(*(F.lit(s) for s in _SYLLABLES["cyrillic"]))), F.pmod(_nibble(h, i), F.lit(16)) + 1)
+    last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), level + 4), syllable), ""))
     person = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lower(F.when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)))
     return F.when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "key", other).when(kind == "person", person).otherwise(email)
 
 
 def _written(kind: Column, token: Column, surrogate: Column) -> Column:
     """The surrogate in the writing of the token: its separators, its case, its title."""
-    into = F.aggregate(
+    # what a wider form has more goes behind the digits, and before letters
+    digits = F.aggregate(
         _chars(token),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["out"], surrogate.substr(a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-    )["out"]
-    cased = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(token.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(surrogate.substr(i, F.lit(1)))).otherwise(surrogate.substr(i, F.lit(1)))), "")
+        lambda a: F.concat(a["out"], surrogate.substr(a["at"], F.length(surrogate))),
+    )
+    more = F.greatest(F.length(surrogate) - F.length(token), F.lit(0))
+    cased = F.concat(surrogate.substr(F.lit(1), more), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(token.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(surrogate.substr(more + i, F.lit(1)))).otherwise(surrogate.substr(more + i, F.lit(1)))), ""))
     title = F.regexp_extract(token, "^((?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? )", 1)
     person = F.concat(title, F.initcap(F.expr("substring(surrogate, 3)")))
-    return F.when(kind.isin("phone", "ssn", "card"), into).when(kind.isin("email", "secret", "key"), cased).when(kind == "person", person).otherwise(surrogate)
+    return F.when(kind.isin("phone", "ssn", "card"), digits).when(kind.isin("email", "secret", "key"), cased).when(kind == "person", person).otherwise(surrogate)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """entities (kind, canon), each once: plus surrogate, different for each and none of them an entity itself."""
     spark = entities.sparkSession
     now, path = stored(entities.withColumn("draw", F.lit(0)).withColumn("surrogate", _surrogate(key)), "draw")
-    for _ in range(ROUNDS):
+    while True:
         taken = now.select("kind", F.col("canon").alias("surrogate"), F.lit("").alias("canon"))
         # of those that share a replacement the first keeps it; one that is an entity goes to nobody
         owner = now.select("kind", "surrogate", "canon").unionByName(taken).groupBy("kind", "surrogate").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
@@ -151,7 +166,6 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         after, after_path = stored(then.withColumn("surrogate", _surrogate(key)), "draw")
         drop(spark, path, lost_path)
         now, path = after, after_path
-    raise ValueError("too many entities of one kind and length for distinct replacements")
 
 
 def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:

@@ -81,6 +81,27 @@ def test_collisions_are_drawn_anew(spark, monkeypatch):
     assert len({g[0] for g in got.values()}) == 29
 
 
+def test_entities_without_letters_or_digits(spark):
+    masked = ["password=******", "password=........", "password=" + "•" * 64, "-@-.com", "_%@-.com"]
+    got = out(spark, [*masked, "password=a.....", "password=******"])
+    news = [got[i][0] for i in range(len(masked))]
+    assert all(re.fullmatch(r"password=[a-z]+", x) and len(x) == len(m) for x, m in zip(news[:3], masked, strict=False))
+    assert all(x != m and re.fullmatch(r"[a-z]+[-_%]+@-\.com", x) for x, m in zip(news[3:], masked[3:], strict=True))
+    assert len(set(news)) == len(masked) and got[6] == got[0] and all(g[1] == 1 for g in got.values())
+
+
+def test_forms_that_run_out_widen(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DRAWS", 2)
+    monkeypatch.setattr(pii, "_SYLLABLES", {"latin": ("ba",) * 15 + ("del",), "cyrillic": ("ба",) * 16})
+    names = [f"Mr {a}{b}son" for a in "ABCDEFGH" for b in "aeiou"]
+    rest = [f"{a}@x.com" for a in "0123456789abcdefghijklmnopqrstuvwxyz"] + [f"password={c}....." for c in "0123456789"]
+    phones = [f"+1{i:04d}" for i in range(0, 10_000, 1)]
+    got = out(spark, [*names, *rest, *phones])
+    news, olds = [g[0] for g in got.values()], {*names, *rest, *phones}
+    assert len(set(news)) == len(news) == len(olds) and not olds & set(news)
+    assert all(re.fullmatch(r"\+1\d{5,}", x) for x in news[-len(phones) :])
+
+
 def test_key_matters_and_runs_agree(spark):
     a, b, c = (out(spark, ["x@y.com 555-123-4567"], key=k)[0][0] for k in ("one", "one", "two"))
     assert a == b != c
