@@ -44,7 +44,7 @@ KINDS = {
 }
 _ALL = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What any entity needs; texts without it are left as they are.
-_HINT = r"@|AKIA|password=|\d{3}|\d\.\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
+_HINT = r"@|AKIA|password=|\d{3}|\d\.\d|\+\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
 KEY = "surrogates-1"
 #: Draws in an entity's own form; each later one is of a wider form.
 DRAWS = 8

@@ -43,6 +43,18 @@ def test_form_is_kept_and_mentions_agree(spark):
     assert got[2 * n] == ("nothing here but 12 words", 0) and got[2 * n + 1] == (None, 0)
 
 
+def test_every_kind_implies_the_hint(spark):
+    # each alternative of KINDS in the shortest and barest writings that it takes, alone in its text
+    alone = [
+        "a@b.c", "1.2.3.4", "(12)123 4567", "123-123-4567", "+1 (12)123 4567", "+49 30 12 34 56 78", "+7-12-34-56-78", "+1 22 33", "+12233", "123-45-6789", "1234 1234 1234 1", "1234567890123",
+        "ab" * 16, "AB" * 16, "AKIA" + "Z" * 16, "password=abcdef", "password=******",
+        *(f"{t}{dot} Xy" for ts in pii.TITLES.values() for t in ts for dot in ("", ".")), *(f"{n} Xy" for ns in pii.FIRST.values() for n in ns),
+    ]
+    got = out(spark, [*alone, "+49 30 12 34 56 78 or 555-123-4567"])
+    assert [alone[i] for i in range(len(alone)) if got[i][1] != 1 or got[i][0] == alone[i]] == []
+    assert got[len(alone)][0].split(" or ")[0] == got[alone.index("+49 30 12 34 56 78")][0]
+
+
 def test_passwords(spark):
     got = out(spark, ["password=e3b3ed3cc8548923d6 and password=e3b3ed3cc8548923d6", "password=short and password", "password=Ab1.Cd2"])
     a, b = got[0][0].split(" and ")
