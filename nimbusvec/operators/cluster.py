@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,25 @@ def farthest_first(points: np.ndarray, k: int, seed: int = 1234, metric: str = "
     return np.array(chosen)
 
 
+def farthest_table(vectors: DataFrame, k: int, seed: int = 1234, metric: str = "l2") -> DataFrame:
+    """(place, id): k starts of a whole table: the first by seeded hash, then always the farthest from all chosen, ties to the smaller id; a pass for each."""
+    spark, rows = vectors.sparkSession, vectors.select("id", "vec")
+    first = rows.agg(F.min_by(F.struct("id", "vec"), F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("r")).first().r
+    chosen = [first] if first else []
+    while chosen and len(chosen) < k:
+        near = F.least(*(distance(metric, F.col("vec"), _fixed(r.vec)) for r in chosen), F.lit(float("inf")))
+        left = rows.where(~F.col("id").isin([r.id for r in chosen]))
+        far = left.agg(F.max_by(F.struct("id", "vec"), F.struct(near, -F.col("id"))).alias("r")).first().r
+        if far is None:
+            break
+        chosen.append(far)
+    return spark.createDataFrame([(i, r.id) for i, r in enumerate(chosen)], "place int, id long")
+
+
+def _fixed(vec) -> Column:
+    return F.array(*(F.lit(float(x)) for x in vec))
+
+
 def lloyd(points: np.ndarray, k: int, seed: int = 1234, rounds: int = 1000, tolerance: float = 1e-3, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
     """Centroids and each point's cluster; an empty cluster keeps its centroid; ends when the centroids hardly move."""
     centres = points[farthest_first(points, k, seed, metric)].copy()
@@ -89,20 +108,76 @@ def balanced(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2", s
     return centres, own
 
 
-def odd_clusters(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
-    """k clusters from 2k, whose closest pairs are merged greedily."""
-    centres, own = lloyd(points, 2 * k, seed, metric=metric)
+def _nth(rows: DataFrame, n: int) -> Row:
+    """The n-th (from 1) of rows (gap, id) in their order, found in its part of a dealing by range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, "gap", "id").withColumn("part", F.spark_partition_id()).persist()
+    for r in dealt.groupBy("part").count().orderBy("part").collect():
+        if n <= r["count"]:
+            own = dealt.where(F.col("part") == r.part)
+            found = own.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("gap", "id"))).where(F.col("at") == n).first()
+            dealt.unpersist()
+            return found
+        n -= r["count"]
+    raise ValueError("fewer rows")
+
+
+def balanced_table(vectors: DataFrame, centres: np.ndarray, metric: str = "l2") -> DataFrame:
+    """(id, cluster) of every vector, to the nearest of a few centres whose cluster has room; sizes differ by at most one.
+
+    What a cluster has beyond its share goes where room is left, first those that lose least by
+    the move; at most one move for each cluster. ids are taken to be distinct.
+    """
+    k = len(centres)
+    d = F.array(*(distance(metric, F.col("vec"), _fixed(c)) for c in centres))
+    rows = vectors.select("id", d.alias("d")).persist()
+    own = rows.withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
+    found = {r.cluster: r["count"] for r in own.groupBy("cluster").count().collect()}
+    sizes = np.array([found.get(c, 0) for c in range(k)])
+    share = np.full(k, sizes.sum() // k)
+    share[np.argsort(-sizes, kind="stable")[: sizes.sum() % k]] += 1
+    over = sizes - share
+    while over.any():
+        a, b = int(over.argmax()), int(over.argmin())
+        n = int(min(over[a], -over[b]))
+        gap = F.col("d")[b] - F.col("d")[a]
+        last = _nth(own.where(F.col("cluster") == a).select(gap.alias("gap"), "id"), n)
+        goes = (F.col("cluster") == a) & (F.struct(gap.alias("gap"), "id") <= F.struct(F.lit(last.gap).alias("gap"), F.lit(last.id).cast("long").alias("id")))
+        own = own.withColumn("cluster", F.when(goes, F.lit(b)).otherwise(F.col("cluster")))
+        over[a], over[b] = over[a] - n, over[b] + n
+    return own.select("id", "cluster")
+
+
+def _merged(centres: np.ndarray, own: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """k centres from more, whose closest pairs are merged greedily, and the new number of each old one."""
+    centres, sizes, to = centres.copy(), np.bincount(own, minlength=len(centres)), np.arange(len(centres))
     left = list(range(len(centres)))
     while len(left) > k:
         d = to_many(metric, centres[left], centres[left])
         np.fill_diagonal(d, np.inf)
         a, b = np.unravel_index(np.argmin(d), d.shape)
         a, b = left[min(a, b)], left[max(a, b)]
-        na, nb = max(1, (own == a).sum()), max(1, (own == b).sum())
+        na, nb = max(1, sizes[a]), max(1, sizes[b])
         centres[a] = (na * centres[a] + nb * centres[b]) / (na + nb)
-        own[own == b] = a
+        sizes[a], sizes[b] = sizes[a] + sizes[b], 0
+        to[to == b] = a
         left.remove(b)
-    return centres[left], np.searchsorted(left, own)
+    return centres[left], np.searchsorted(left, to)
+
+
+def odd_clusters(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
+    """k clusters from 2k, whose closest pairs are merged greedily."""
+    centres, own = lloyd(points, 2 * k, seed, metric=metric)
+    centres, to = _merged(centres, own, k, metric)
+    return centres, to[own]
+
+
+def odd_table(vectors: DataFrame, points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2") -> DataFrame:
+    """(id, cluster) of every vector in the clusters that odd_clusters finds on a sample (points)."""
+    centres, own = lloyd(points, 2 * k, seed, metric=metric)
+    to = _merged(centres, own, k, metric)[1]
+    table = vectors.sparkSession.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(centres)], "cluster int, vec array<double>")
+    return assign(vectors, table, metric).select("id", F.element_at(F.array(*(F.lit(int(x)) for x in to)), F.col("cluster") + 1).alias("cluster"))
 
 
 def ranked(vectors: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:

@@ -270,7 +270,7 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    """Up to SAMPLE_ROWS rows of the smallest hashes, for the forms that run in memory."""
+    """Up to SAMPLE_ROWS rows of the smallest hashes, for fitting in memory; every row of the table is assigned."""
     rows = _vectors(spark, d).orderBy(F.xxhash64("id"), "id").limit(cluster.SAMPLE_ROWS).collect()
     return np.array([r.id for r in rows]), np.array([r.vec for r in rows], float)
 
@@ -281,17 +281,18 @@ def _clusters(spark: SparkSession, ids: np.ndarray, own: np.ndarray) -> DataFram
 
 def balanced_kmeans(spark: SparkSession, d: str) -> DataFrame:
     ids, v = _sample(spark, d)
-    return _clusters(spark, ids, cluster.balanced(v, 5)[1])
+    centres, own = cluster.balanced(v, 5)
+    if len(ids) < cluster.SAMPLE_ROWS:  # the whole table
+        return _clusters(spark, ids, own)
+    return cluster.balanced_table(_vectors(spark, d), centres)
 
 
 def odd_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    ids, v = _sample(spark, d)
-    return _clusters(spark, ids, cluster.odd_clusters(v, 3)[1])
+    return cluster.odd_table(_vectors(spark, d), _sample(spark, d)[1], 3)
 
 
 def farthest_first(spark: SparkSession, d: str) -> DataFrame:
-    ids, v = _sample(spark, d)
-    return spark.createDataFrame([(k, int(ids[r])) for k, r in enumerate(cluster.farthest_first(v, 8))], "place int, id long")
+    return cluster.farthest_table(_vectors(spark, d), 8)
 
 
 def _clients(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from nimbusvec import queries as q
+from nimbusvec.operators import cluster
 from tests.helpers import DATA, same, sql
 
 ORACLES = q.oracle_sql()
@@ -34,3 +36,20 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 100
+
+
+def test_clusters_of_a_sample_take_every_row(spark, monkeypatch):
+    v = q._vectors(spark, DATA).toPandas().set_index("id").vec.map(lambda x: np.array(x, float))
+    whole = q.odd_kmeans(spark, DATA).toPandas()
+    monkeypatch.setattr(cluster, "SAMPLE_ROWS", 100)
+    assert len(v) > 100
+    balanced, odd = q.balanced_kmeans(spark, DATA).toPandas(), q.odd_kmeans(spark, DATA).toPandas()
+    for got in (balanced, odd, whole):
+        assert sorted(got.id) == sorted(v.index) and set(got.cluster) == set(range(got.cluster.nunique()))
+    sizes = balanced.groupby("cluster").size()
+    assert len(sizes) == 5 and sizes.max() - sizes.min() <= 1
+    starts = q.farthest_first(spark, DATA).toPandas().sort_values("place").id.tolist()
+    assert len(starts) == 8
+    for n in range(1, 8):
+        near = np.min([[((x - v[s]) ** 2).sum() for x in v] for s in starts[:n]], axis=0)
+        assert starts[n] == v.index[near.argmax()] or np.isclose(near.max(), near[v.index.get_loc(starts[n])])
