@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nimbusvec.functions import breakdown
 from nimbusvec.operators.exact import recall
-from nimbusvec.plans.index import VectorIndex, default_shards, self_recall
+from nimbusvec.plans.index import VectorIndex, self_recall
 from nimbusvec.schema import Params
 from nimbusvec.sources import index_files, vector_files
 from nimbusvec.sources.synthetic import synthetic
@@ -56,7 +56,7 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _params(a: argparse.Namespace, dim: int, shards: int = 1) -> Params:
+def _params(a: argparse.Namespace, dim: int, shards: int | None = None) -> Params:
     return Params(dim=dim, degree=a.degree, beam_width=a.beam_width, beam_width_construction=a.beam_width_construction, alpha=a.alpha, bits=a.bits, metric=a.metric, shards=shards, seed=a.seed)
 
 
@@ -69,7 +69,7 @@ def build(spark: SparkSession, a: argparse.Namespace) -> dict:
     n = min(n, a.max_vectors or n)
     v = vector_files.read_vectors(spark, a.data, a.max_vectors)
     start = time.perf_counter()
-    index = VectorIndex.build(v, _params(a, dim, a.shards or default_shards(n)))
+    index = VectorIndex.build(v, _params(a, dim, a.shards or None))
     index.save(a.output)
     index = VectorIndex.load(spark, a.output)
     out = {"num_vectors": n, "dim": dim, "build_sec": time.perf_counter() - start, **index.degree_stats().first().asDict()}

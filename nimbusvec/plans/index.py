@@ -4,7 +4,7 @@ An index is one row for each shard, holding that shard's graph and codes as pack
 rows are immutable, and every change makes a new version. Shards are built and searched
 independently, one task each, and their answers merged by distance, so a search over many
 shards is a union of graph searches. With one shard it is a search of one global graph.
-Shards are bounded in rows (SHARD_ROWS), queries are sent in blocks of bounded bytes.
+Unless their number is given, shards are bounded in rows (about SHARD_ROWS), queries are sent in blocks of bounded bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from nimbusvec.functions.proximity import ESTIMATE_SLACK, Graph, beam_search, bu
 from nimbusvec.operators.exact import matrix, query_blocks, top_k
 from nimbusvec.schema import NODES, RESULTS, SHARDS, Params, check_dim
 
-#: Rows of a shard beyond which building asks for more shards.
+#: Rows of a shard beyond which building and inserting ask for more shards.
 SHARD_ROWS = 100_000
 
 
@@ -85,6 +85,11 @@ def default_shards(n: int) -> int:
     return max(1, -(-n // SHARD_ROWS))
 
 
+def _counted(params: Params, n: int) -> Params:
+    """params with as many shards as n rows ask for, where none are given."""
+    return params if params.shards else replace(params, shards=default_shards(n), more_shards=True)
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An index version. shards: table of SHARDS rows; codec: rotation, centroid and scale of its codes."""
@@ -101,6 +106,7 @@ class VectorIndex:
         """An index of vectors (id, vec), by one shuffle. Of rows with one id the vector of the smallest components stays."""
         spark = vectors.sparkSession
         clean = check_dim(vectors.select("id", "vec"), params.dim)
+        params = params if params.shards else _counted(params, clean.count())
         mean = mean_vector(clean, params.dim) if mean is None else mean
         codec = rabitq.make_codec(mean, params.bits, params.seed)
         sent = spark.sparkContext.broadcast((params, codec))
@@ -119,6 +125,7 @@ class VectorIndex:
 
     @staticmethod
     def empty(spark: SparkSession, params: Params) -> VectorIndex:
+        params = _counted(params, 0)
         return VectorIndex(params, spark.createDataFrame([], SHARDS), rabitq.make_codec(np.zeros(params.dim), params.bits, params.seed))
 
     # ---- search ----
@@ -198,10 +205,16 @@ class VectorIndex:
     # ---- maintenance ----
 
     def insert(self, vectors: DataFrame) -> VectorIndex:
-        """The next version, with vectors (id, vec) added; ids that the index has, and repeats, are left out."""
+        """The next version, with vectors (id, vec) added; ids that the index has, and repeats, are left out.
+
+        An index whose shards were not given is built anew on more of them where the rows ask for more.
+        """
         p, spark = self.params, self.shards.sparkSession
         known = self.nodes().select("id")
         new = check_dim(vectors.select("id", "vec"), p.dim).groupBy("id").agg(F.min("vec").alias("vec")).join(known, "id", "left_anti")
+        if p.more_shards and default_shards(n := self.count() + new.count()) > p.shards:
+            rows = self.nodes().select("id", "vec").unionByName(new)
+            return replace(VectorIndex.build(rows, replace(p, shards=default_shards(n))), version=self.version + 1)
         new = new.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int"))
         sent = spark.sparkContext.broadcast((p, self.codec))
 

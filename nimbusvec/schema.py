@@ -19,7 +19,7 @@ SHARDS = "shard int, n long, ids binary, vectors binary, neighbors binary, medoi
 
 @dataclass(frozen=True)
 class Params:
-    """What an index is built and searched with."""
+    """What an index is built and searched with. shards None: as many as the rows ask for, when built and when inserts add to them."""
 
     dim: int
     degree: int = 32
@@ -29,14 +29,16 @@ class Params:
     build_alpha: float = 1.0
     bits: int = 4
     metric: str = "l2"
-    shards: int = 1
+    shards: int | None = None
     seed: int = 1234
     rounds: int = 2
     keep_all_if_small: bool = True
+    #: Set by a build whose shards were not given: inserts may ask for more.
+    more_shards: bool = False
 
     def __post_init__(self) -> None:
         Metric(self.metric)
-        if self.dim < 1 or self.shards < 1 or self.beam_width < 1 or self.beam_width_construction < 1:
+        if self.dim < 1 or (self.shards is not None and self.shards < 1) or self.beam_width < 1 or self.beam_width_construction < 1:
             raise ValueError("dim, shards and beam widths must be at least 1")
         if not 1 <= self.degree <= MAX_DEGREE:
             raise ValueError(f"degree must be from 1 to {MAX_DEGREE}")
@@ -48,7 +50,7 @@ class Params:
         return {
             "data_file": data_file, "output_prefix": prefix, "distance": self.metric, "num_vectors": n, "dim": self.dim, "R": self.degree,
             "beam_width": self.beam_width, "beam_width_construction": self.beam_width_construction, "alpha": self.alpha, "rabitq_bits": self.bits,
-            "num_memory_nodes": self.shards, "medoid": {"memory_node": medoid_shard, "offset": medoid_offset},
+            "num_memory_nodes": self.shards or 1, "medoid": {"memory_node": medoid_shard, "offset": medoid_offset},
             "node_size": node_size(self.dim, self.degree, self.bits), "rabitq_size": code_bytes(self.dim, self.bits) + 8,
         }
 

@@ -53,7 +53,7 @@ def write_shards(nodes: DataFrame, params: Params, prefix: str) -> dict:
     Pointers take the neighbours' own places, so placement is joined to the edges first.
     """
     size = node_size(params.dim, params.degree, params.bits)
-    at = place(nodes, params.shards, size).persist()
+    at = place(nodes, params.shards or 1, size).persist()
     pointer = F.shiftleft(F.col("shard").cast("long"), OFFSET_BITS).bitwiseOR(F.col("offset"))
     edges = nodes.select("id", F.posexplode("neighbors").alias("pos", "dst")).join(at.select(F.col("id").alias("dst"), pointer.alias("to")), "dst")
     lists = edges.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda p: p["to"]).alias("pointers"))
@@ -63,7 +63,7 @@ def write_shards(nodes: DataFrame, params: Params, prefix: str) -> dict:
     n = nodes.count()
     meta = params.meta(n, med.shard if med else 0, med.offset if med else 0, prefix=prefix)
     pointer_of_medoid = (med.shard << OFFSET_BITS) | med.offset if med else 0
-    shards, dim, degree = params.shards, params.dim, params.degree
+    shards, dim, degree = params.shards or 1, params.dim, params.degree
 
     def write(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("offset")
@@ -92,7 +92,7 @@ def write_shards(nodes: DataFrame, params: Params, prefix: str) -> dict:
 def read_shards(spark: SparkSession, prefix: str, params: Params) -> DataFrame:
     """Nodes, as NODES, of shard files; a missing or short file is an error."""
     size, dim, degree = node_size(params.dim, params.degree, params.bits), params.dim, params.degree
-    step, shards, wide = aligned(size), params.shards, code_bytes(params.dim, params.bits)
+    step, shards, wide = aligned(size), params.shards or 1, code_bytes(params.dim, params.bits)
     schema = NODES.replace("neighbors array<long>", "pointers array<long>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +145,7 @@ def load_meta(prefix: str, expect: Params | None = None) -> tuple[dict, Codec]:
         raise ValueError("the rotation file is incomplete")
     if dim != meta["dim"] or meta["rabitq_size"] != code_bytes(dim, meta["rabitq_bits"]) + 8:
         raise ValueError("rotation file and metadata disagree")
-    if expect and (expect.dim, expect.bits, expect.shards) != (dim, meta["rabitq_bits"], meta["num_memory_nodes"]):
+    if expect and (expect.dim, expect.bits, expect.shards or meta["num_memory_nodes"]) != (dim, meta["rabitq_bits"], meta["num_memory_nodes"]):
         raise ValueError("the index has other parameters than expected")
     turn = np.frombuffer(raw, "<f4", dim * dim, 4).reshape(dim, dim).T.astype(float)
     centre = np.frombuffer(raw, "<f4", dim, 4 + 4 * dim * dim).astype(float)

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nimbusvec.functions import breakdown as B
 from nimbusvec.operators import exact, routing
+from nimbusvec.plans import index
 from nimbusvec.plans.index import VectorIndex, medoid, self_recall
 from nimbusvec.schema import Params
 from nimbusvec.sources import config, index_files, vector_files
@@ -58,6 +60,21 @@ def test_empty_index_single_node_and_growth(spark):
     assert grown.nodes().where("is_medoid").count() == 1
 
 
+def test_shards_follow_the_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(index, "SHARD_ROWS", 25)
+    v = synthetic(spark, 90, 8)
+    sizes = lambda i: [r.n for r in i.shards.select("n").collect()]
+    i = VectorIndex.build(v.where("id < 40"), SMALL)
+    assert i.params.shards == 2 == len(sizes(i))
+    i.save(str(tmp_path / "i"))
+    grown = VectorIndex.load(spark, str(tmp_path / "i"), SMALL).insert(v)
+    assert grown.params.shards == 4 == len(sizes(grown)) and sum(sizes(grown)) == 90 and grown.version == 1
+    assert pairs(grown.search(asked(v), 5, beam_width=90)) == pairs(exact.knn(v, asked(v), 5))
+    assert VectorIndex.empty(spark, SMALL).insert(v).params.shards == 4
+    given = VectorIndex.build(v, replace(SMALL, shards=1)).insert(synthetic(spark, 10, 8, first_id=1000))
+    assert given.params.shards == 1 and sizes(given) == [100]
+
+
 def test_repeated_ids_and_wrong_dimensions(spark):
     v = synthetic(spark, 30, 8)
     i = VectorIndex.build(v.unionByName(v), SMALL)
