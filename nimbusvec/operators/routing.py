@@ -46,7 +46,9 @@ def route_batches(queries: DataFrame, clients: DataFrame, limit: DataFrame, batc
 
     Batches are independent: each is one group, and the order within it is the order of qid.
     """
-    rows = clients.join(limit, "client").orderBy("client").limit(4096).collect()
+    rows = clients.join(limit, "client").orderBy("client").limit(4097).collect()
+    if len(rows) > 4096:
+        raise ValueError("more than 4096 clients")
     names = np.array([r.client for r in rows])
     centres = np.array([r.vec for r in rows], float)
     room = np.array([r.capacity for r in rows])

@@ -181,6 +181,14 @@ def test_medoid_and_routing(spark):
     assert sent.count() == 40 and sent.where("client = 0").count() <= 5
 
 
+def test_batches_refuse_more_clients_than_they_take(spark):
+    clients = spark.range(4097).selectExpr("cast(id as int) client", "array(cast(id as double)) vec")
+    with pytest.raises(ValueError, match="4096"):
+        routing.route_batches(asked(table(spark, [[0.0]])), clients, clients.selectExpr("client", "1 capacity"))
+    few = clients.where("client < 4096")
+    assert routing.route_batches(asked(table(spark, [[4095.0]])), few, few.selectExpr("client", "1 capacity")).first().client == 4095
+
+
 def test_config_files():
     s = config.service("# c\nservers = a b\nclients = c\ndim = 12 ; x\nR = 9\nbeam-width=20\nip-dist = yes\nsearch-mode = rabitq_gpu\nrouting = off\n")
     assert s.servers == ["a", "b"] and s.params.dim == 12 and s.params.degree == 9 and s.params.metric == "ip" and s.params.shards == 2 and s.mode == "quantized" and not s.routing
