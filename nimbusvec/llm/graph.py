@@ -3,7 +3,8 @@
 Each round rewires every node to the smallest node of its neighbourhood: first its larger
 neighbours (large star), then its smaller ones (small star). The edges converge to one star
 for each component, centred on its smallest node, in O(log^2 n) rounds; nothing but two
-checksums reaches the driver, and each round is a table in the shared folder.
+checksums reaches the driver, and each round is a table in the shared folder. A node with many
+neighbours, such as the centre of a large star, is dealt to several tasks by its degree.
 """
 
 from __future__ import annotations
@@ -11,18 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import drop, stored
+from nimbusvec.llm.shared import drop, spread_join, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """n: the number of edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread_join(both.where("v > u"), least, ["u"], "n", total=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """n: the number of edges at most."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = spread_join(edges, least, ["u"], "n", total=n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _sum(now)
     while before[0]:
         # after a large star every edge still points from the larger node to the smaller
-        then, new = stored(_small_star(_large_star(now)), "edges")
+        then, new = stored(_small_star(_large_star(now, before[0]), before[0]), "edges")
         drop(spark, path)
         now, path, after = then, new, _sum(then)
         if after == before:

@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of one Arrow batch sent to Python, so that very long texts don't pile up in one batch.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
+#: A key that more than one in so many rows have is dealt to several tasks.
+HEAVY = 1024
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -73,3 +75,22 @@ def own_name(df: DataFrame, wish: str) -> str:
 def column(name: str) -> Column:
     """The column of exactly that name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """rows joined with facts, which has one row for each key, however many rows one key has.
+
+    Column n of facts says how many of the rows have its key; null and 0 count as few. A key of
+    more than one row in HEAVY is cut into as many shares as it has such parts: its rows are
+    dealt to the shares in turn and its fact gets a copy for each. At most HEAVY keys can have
+    that many rows, so the table of their shares, which every task gets, is bounded. total: all
+    rows, or more; without it n is summed up first, for which facts should be a stored table.
+    """
+    if total is None:
+        total = facts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    share, shares = own_name(rows, own_name(facts, "_share")), own_name(rows, own_name(facts, "_shares"))
+    parts = F.greatest(F.ceil(F.coalesce(F.col(n), F.lit(0)) * HEAVY / F.lit(max(1, total))), F.lit(1)).cast("int")
+    heavy = F.broadcast(facts.where(F.col(n) * HEAVY > total).select(*on, parts.alias(shares)))
+    dealt = rows.join(heavy, on, "left").withColumn(share, F.pmod(F.monotonically_increasing_id(), F.coalesce(shares, F.lit(1))).cast("int")).drop(shares)
+    copies = facts.withColumn(share, F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, [*on, share], how).drop(share)
