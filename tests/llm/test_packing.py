@@ -72,14 +72,14 @@ def checked(rows, texts, capacity):
 def test_packing_across_levels(spark, parts, fan_in):
     rng = random.Random(parts)
     texts = {i: " ".join(rng.choices(["alpha", "beta", "x", "gamma,"], k=rng.choice([0, 3, 30, 90, 300]))) for i in range(400)}
-    rows = packing.pack(docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(parts), PATH, capacity=128, fan_in=fan_in).collect()
+    rows = packing.pack(docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(parts), PATH, capacity=128, fan_in=fan_in, task_rows=parts * 10).collect()
     n = checked(rows, texts, 128)
     assert n <= 1.05 * -(-sum(r.length for r in rows) // 128) + 1
 
 
 def test_bins_of_many_tasks_meet(spark):
     texts = {i: "x " * 30 for i in range(64)}  # 31 ids each: no task can fill a bin of 1000 alone
-    rows = packing.pack(docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(32), PATH, capacity=1000, fan_in=4).collect()
+    rows = packing.pack(docs(spark, [(i, t, "s") for i, t in texts.items()]).repartition(32), PATH, capacity=1000, fan_in=4, task_rows=40).collect()
     assert checked(rows, texts, 1000) == 2
 
 
@@ -92,7 +92,42 @@ def test_nasty_rows(spark):
     assert packing.pack(docs(spark, []), PATH).collect() == []
 
 
-def test_only_a_bounded_number_goes_up():
-    fill = np.array([10, 90, 99, 100, 50, 60])
-    assert packing.passed_on(fill, 100, 1, 10).tolist() == [0, 1, 4, 5]
-    assert packing.passed_on(fill, 100, 1, 2).tolist() == [0, 4]
+def lengths(spark, sizes, at):
+    spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "k long, length long").repartition(6).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def sequences(rows, capacity):
+    """Number of sequences, after gaps, overlaps and overfull ones have been ruled out."""
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        b.sort()
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= capacity
+    return len(bins)
+
+
+def test_residues_of_all_tasks_meet(spark, tmp_path):
+    # large pieces come first, small ones after them, so that no stretch of the table can be packed well on its own
+    sizes = [1100] * 6000 + [900] * 6000 + [2048] * 5
+    rows = packing.packed(lengths(spark, sizes, str(tmp_path / "a")), task_rows=1000, fan_in=3).collect()
+    assert len(rows) == len(sizes) and sequences(rows, 2048) <= 1.01 * 6005
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(1, 400, 3000), rng.integers(700, 2000, 6000)])
+    rows = packing.packed(lengths(spark, sizes, str(tmp_path / "b")), task_rows=500, fan_in=4).collect()
+    assert len(rows) == len(sizes) and sequences(rows, 2048) <= 1.01 * len(packing.best_fit(sizes)[2])
+
+
+def test_what_nothing_fits_with_ends_the_tree(spark, tmp_path, monkeypatch):
+    made = []
+    real = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, label: made.append(label) or real(df, label))
+    rows = packing.packed(lengths(spark, [1500] * 3000, str(tmp_path / "a")), task_rows=250).collect()
+    assert sequences(rows, 2048) == len(rows) == 3000 and made == ["level0"]
+
+
+def test_a_batch_of_texts_is_as_its_texts():
+    texts = ["a b  a", None, "", " \n", "Über <|endoftext|> x", "x " * 70_000 + "end", "a\x1cb", "b a b"]
+    got = packing.batch_ids(texts, PATH)
+    assert [g.tolist() + [0] for g in got] == [plain_ids(t) for t in texts]
