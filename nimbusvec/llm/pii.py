@@ -1,76 +1,159 @@
 """PII surrogates: detected entities get keyed replacements of their own kind and form.
 
-Entities are e-mail addresses, IPv4 addresses, phone, card, account and social security
-numbers, long hexadecimal secrets, access keys and passwords, and names of people after a title or of
-a listed first name. The replacement of an
-entity depends on a key and on its canonical form (digits of a number, lower case of an
-address or name), so that every mention of it, however written, gets the same one in its
-own writing: separators, case and length stay, card numbers keep a valid check digit, names
-their gender and script. Replacements are checked over the whole corpus: one that two
-entities share, or that occurs as an entity itself, is drawn anew, and after some draws in
-a wider form, so that the forms never run out. DataFrame functions only.
+Entities are e-mail and IP addresses (versions 4 and 6), phone, card and social security
+numbers, IBANs, long hexadecimal secrets, access keys and passwords, and names of people: after
+a title, with a listed first name, after words that announce a name, or before a Chinese form
+of address. The replacement of an entity follows from a secret key (HMAC-SHA-512) and its
+canonical form (digits of a number, lower case of an address or name), so that every mention of
+it, however written, gets the same one in its own writing: separators, case and length stay,
+card numbers and IBANs keep valid check digits, letters their script, names their gender and
+script. Replacements are checked over the whole corpus: one that two entities share, or that
+occurs as an entity itself, is drawn anew, and after some draws in a wider form, so that the
+forms never run out. A text is searched once, by a pattern of those kinds whose hints it has:
+the matches are set between marks, one place for each kind, and the parts between the marks
+are what the new text is woven from. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import hashlib
+from itertools import groupby, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import column, drop, own_name, stored
+from nimbusvec.llm.shared import column, drop, own_name, spread_join, stored
 
-# Patterns of the kinds, the first that fits holds.
-_UP, _LOW = r"[\p{Lu}]", r"[\p{Ll}]"
-TITLES = {"m": ("Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа")}
-# First names by script and gender.
+# Titles by gender; first names by script and gender (n: either), for Chinese given names; surnames; forms of address.
+TITLES = {
+    "m": ("Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"),
+    "n": ("Dr", "Prof", "Professor", "Доктор"),
+}
 FIRST = {
-    ("latin", "m"): ("James", "Robert", "Michael", "David", "Thomas", "Daniel", "Paul", "Martin", "Stefan", "Carlos", "Pierre", "Miguel"),
-    ("latin", "f"): ("Mary", "Linda", "Susan", "Karen", "Laura", "Julia", "Sophie", "Claudia", "Carmen", "Helena", "Nicole", "Monique"),
+    ("latin", "m"): (
+        "James", "Robert", "Michael", "David", "Thomas", "Daniel", "Paul", "Martin", "Stefan", "Carlos", "Pierre", "Miguel", "John", "William", "Richard", "Joseph", "Charles", "Christopher", "Matthew", "Anthony", "Steven", "Andrew",
+        "Kevin", "Brian", "George", "Edward", "Peter", "Hans", "Klaus", "Jürgen", "Wolfgang", "José", "Juan", "Luis", "Javier", "Jean", "François", "Giovanni", "Marco", "Mohammed", "Ahmed", "Ali", "Raj", "Hiroshi", "Kenji", "Ming",
+    ),
+    ("latin", "f"): (
+        "Mary", "Linda", "Susan", "Karen", "Laura", "Julia", "Sophie", "Claudia", "Carmen", "Helena", "Nicole", "Monique", "Patricia", "Jennifer", "Elizabeth", "Barbara", "Jessica", "Sarah", "Lisa", "Nancy", "Sandra", "Ashley",
+        "Emily", "Anna", "Alice", "Emma", "Petra", "Sabine", "Ursula", "Heike", "María", "Ana", "Lucía", "Isabel", "Marie", "Camille", "Giulia", "Francesca", "Fatima", "Aisha", "Priya", "Yuki", "Sakura", "Ling",
+    ),
+    ("latin", "n"): ("Alex", "Robin", "Sam", "Kim", "Jordan", "Taylor", "Casey", "Morgan", "Wei", "Andrea"),
     ("cyrillic", "m"): ("Иван", "Сергей", "Алексей", "Дмитрий", "Николай", "Павел", "Михаил", "Андрей"),
     ("cyrillic", "f"): ("Мария", "Елена", "Ольга", "Наталья", "Ирина", "Светлана", "Татьяна", "Галина"),
-}
-_SYLLABLES = {"latin": ("ba", "del", "mor", "ken", "lin", "ros", "tan", "vel", "wes", "har", "sto", "fer", "gal", "nor", "pel", "zan"), "cyrillic": ("ба", "дел", "мор", "кен", "лин", "рос", "тан", "вел", "вес", "хар", "сто", "фер", "гал", "нор", "пел", "зан")}
+    ("cyrillic", "n"): ("Саша", "Женя", "Валя", "Шура"),
+    ("han", "m"): ("伟", "强", "磊", "军", "杰", "涛", "明", "超"),
+    ("han", "f"): ("芳", "娜", "静", "敏", "丽", "艳", "霞", "玲"),
+    ("han", "n"): ("文", "华", "平", "林", "宁", "瑞", "安", "海"),
+}
+SURNAMES = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗"
+ADDRESSES = {"m": ("先生",), "f": ("女士", "小姐")}
+# What announces a name.
+CUES = ("My name is ", "my name is ", "Name: ", "name: ", "Signed, ", "Sincerely, ", "Regards, ", "regards, ", "Attn: ", "Contact: ", "Author: ", "author: ", "Dear ")
+_SYLLABLES = {
+    "latin": ("ba", "del", "mor", "ken", "lin", "ros", "tan", "vel", "wes", "har", "sto", "fer", "gal", "nor", "pel", "zan"),
+    "cyrillic": ("ба", "дел", "мор", "кен", "лин", "рос", "тан", "вел", "вес", "хар", "сто", "фер", "гал", "нор", "пел", "зан"),
+    "han": tuple(SURNAMES[:16]),
+}
+# The letters that letters of a script are replaced by; those of other scripts become Latin ones.
+ALPHABETS = {r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщъыьэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"\p{IsHan}": "安北川东方光海河江京林明南平山石天田西新阳永元月云中州子", r"\p{L}": "abcdefghijklmnopqrstuvwxyz"}
+
 
-_TITLED = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? " + f"{_UP}{_LOW}+(?: {_UP}{_LOW}+)?"
-_NAMED = "(?:" + "|".join(n for ns in FIRST.values() for n in ns) + f") {_UP}{_LOW}+"
+def _any(words: tuple[str, ...]) -> str:
+    """One of the words, tried by their first letter."""
+    return "(?:" + "|".join(a + "(?:" + "|".join(w[1:] for w in ws) + ")" for a, ws in groupby(sorted(words, key=lambda w: (w[0], -len(w), w)), key=lambda w: w[0])) + ")"
+
+
+_NAMES = tuple(n for (script, _), ns in FIRST.items() if script != "han" for n in ns)
+_TITLES = tuple(t for ts in TITLES.values() for t in ts)
+_ADDRESS = "(?:" + "|".join(a for x in ADDRESSES.values() for a in x) + ")"
+_CAP = r"\p{Lu}(?:\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)?|['’]\p{Lu}\p{Ll}+)"
+_CUED = "(?<=" + "|".join(CUES) + rf"){_CAP} {_CAP}(?: {_CAP})?"
+_HEX = "[0-9A-Fa-f]{1,4}"
+# Patterns of the kinds, the first that fits holds. A look at the first character comes first, as it is cheap.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
-    "ip": r"(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{N}]|\.\d)",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\d{13,19}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
-    "key": r"(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=password=)[^\s\"']{6,64}+",
-    "person": rf"(?<!\p{{L}})(?:{_TITLED}|{_NAMED})(?!\p{{L}})",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,255}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
+    "ip": r"(?=\d)(?<![\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{N}]|\.\d)",
+    "phone": r"(?=[\d+(])(?<![\p{L}\p{N}])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5})(?![\p{L}\p{N}])",
+    "ssn": r"(?=\d)(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
+    "card": r"(?=\d)(?<![\p{L}\p{N}])(?:\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{13,19})(?![\p{L}\p{N}])",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}}))(?![\p{{L}}\p{{N}}:])",
+    "iban": r"(?=[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11})(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "secret": r"(?=[0-9a-fA-F])(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "key": r"(?=A)(?<![\p{L}\p{N}])AKIA[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<=password=)[^\s\"']{6,64}+",
+    "person": rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_any(_TITLES)}\.? {_CAP}(?: {_CAP})?|{_any(_NAMES)} {_CAP}|{_CUED})(?!\p{{L}})|[{SURNAMES}]\p{{IsHan}}{{0,2}}?{_ADDRESS}",
 }
-_ALL = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What any entity needs; texts without it are left as they are.
-_HINT = r"@|AKIA|password=|\d{3}|\d\.\d|\+\d|(?<!\p{L})(?:" + "|".join([*(t for ts in TITLES.values() for t in ts), *(n for ns in FIRST.values() for n in ns)]) + r")[. ]|[0-9a-f]{32}|[0-9A-F]{32}"
-KEY = "surrogates-1"
+#: What a text needs for any entity of some kinds; a text is searched for those kinds alone whose hint it has.
+HINTS = (
+    (("email",), "@"),
+    (("ip", "phone", "ssn", "card"), r"\d{3}|\d\.\d|\+\d"),
+    (("ipv6", "iban", "secret", "key"), r"::|(?:[0-9A-Fa-f]{1,4}:){7}|[A-Z]{2}\d\d[ A-Z0-9]{11}|AKIA|password=|[0-9a-f]{32}|[0-9A-F]{32}"),
+    (("person",), rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_any(_TITLES)}[. ]|{_any(_NAMES)} )|(?:{'|'.join(CUES)})\p{{Lu}}|{_ADDRESS}"),
+)
+# Marks around a match and between the places of kinds, noncharacters; texts that hold one are escaped by further ones.
+_MARK, _PLACE = "\ufdd0", "\ufdd1"
+_ESCAPES = (("\ufdd2", "\ufdd2\ufdd5"), (_MARK, "\ufdd2\ufdd3"), (_PLACE, "\ufdd2\ufdd4"))
 #: Draws in an entity's own form; each later one is of a wider form.
 DRAWS = 8
 
 
+def _escaped(text: Column) -> Column:
+    for char, escape in _ESCAPES:
+        text = F.when(text.contains(char), F.replace(text, F.lit(char), F.lit(escape))).otherwise(text)
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    out = text
+    for char, escape in reversed(_ESCAPES):
+        out = F.replace(out, F.lit(escape), F.lit(char))
+    return F.when(text.contains(_ESCAPES[0][0]), out).otherwise(text)
+
+
+def found(docs: DataFrame, text: str, parts: str) -> DataFrame:
+    """docs with text cut at its entities: what stands between them at even places of parts, and at the odd ones each with _PLACE before it as often as its kind has others before it, and after it."""
+    plain, flags = own_name(docs, "plain"), own_name(docs, "flags")
+    has = [F.col(plain).contains(h) if len(h) == 1 else F.col(plain).rlike(h) for _, h in HINTS]
+    flagged = docs.withColumn(plain, _escaped(column(text))).withColumn(flags, F.concat(*(h.cast("int").cast("string") for h in has)))
+    marked = F.when(F.col(flags) == "0" * len(HINTS), F.col(plain))
+    for on in product((False, True), repeat=len(HINTS)):
+        kinds = [k for k in KINDS if any(take and k in ks for (ks, _), take in zip(HINTS, on, strict=True))]
+        if kinds:
+            places = (f"${kinds.index(k) + 1}" if k in kinds else "" for k in KINDS)
+            search = F.regexp_replace(F.col(plain), F.lit("|".join(f"({KINDS[k]})" for k in kinds)), F.lit(_MARK + _PLACE.join(places) + _MARK))
+            marked = marked.when(F.col(flags) == "".join("01"[take] for take in on), search)
+    return flagged.withColumn(parts, F.split(marked, _MARK, -1)).drop(plain, flags)
+
+
 def _kind(token: Column) -> Column:
-    out = None
-    for name, pattern in KINDS.items():
-        test = token.rlike(f"^(?:{pattern})$")
-        out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
-    return out.otherwise(F.lit("key"))  # what follows password= is recognised by that alone
+    """Of a place of found(): the marks before the entity say its kind."""
+    return F.element_at(F.array(*(F.lit(k) for k in KINDS)), F.length(F.regexp_extract(token, f"^{_PLACE}*", 0)) + 1)
 
 
-def _canon(kind: Column, token: Column) -> Column:
-    name = F.regexp_replace(token, "^(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? ", "")
-    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(token, r"\D", "")).when(kind.isin("ip", "key"), token).when(kind == "person", F.concat(_gender(token), F.lit(":"), F.lower(name))).otherwise(F.lower(token))
+def _without_title(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, rf"^{_any(_TITLES)}\.? ", ""), f"{_ADDRESS}$", "")
 
 
 def _gender(token: Column) -> Column:
-    men = "^(?:" + "|".join([*TITLES["m"], *(n for (_, g), ns in FIRST.items() if g == "m" for n in ns)]) + r")\b"
-    return F.when(token.rlike(rf"(?U){men}"), F.lit("m")).otherwise(F.lit("f"))
+    """m, f or n of a name: its title's or form of address's, else its first name's."""
+    first = _without_title(token)
+    says = lambda g: token.rlike(rf"(?U)^{_any(TITLES[g])}\b|(?:{'|'.join(ADDRESSES[g])})$")
+    listed = lambda g: first.rlike(rf"(?U)^{_any(FIRST['latin', g] + FIRST['cyrillic', g])}\b")
+    return F.when(says("m"), "m").when(says("f"), "f").when(listed("m"), "m").when(listed("f"), "f").otherwise("n")
+
+
+def _canon(kind: Column, token: Column) -> Column:
+    name = F.concat(_gender(token), F.lit(":"), F.lower(_without_title(token)))
+    return F.when(kind.isin("phone", "ssn", "card"), F.regexp_replace(token, r"\D", "")).when(kind.isin("ip", "key"), token).when(kind == "person", name).when(kind == "iban", F.replace(token, F.lit(" "))).otherwise(F.lower(token))
 
 
 def _digest(key: str, kind: Column, canon: Column, draw: Column) -> Column:
-    """128 hex digits that follow from key, entity and draw."""
-    return F.sha2(F.concat_ws("\n", F.lit(key), kind, canon, draw.cast("string")), 512)
+    """128 hex digits: the HMAC-SHA-512 of entity and draw."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (bytes(b ^ mask for b in raw) for mask in (0x36, 0x5C))
+    message = F.concat_ws("\n", kind, canon, draw.cast("string")).cast("binary")
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 512))), 512)
 
 
 def _nibble(digest: Column, i: Column) -> Column:
@@ -88,6 +171,12 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(back), F.lit(1))), F.lit(0), lambda a, i: a + F.coalesce(F.element_at(F.when(i % 2 == 1, F.array(*(F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)))).otherwise(F.array(*(F.lit(x) for x in range(10)))), back.substr(i, F.lit(1)).cast("int") + 1), F.lit(0)))
 
 
+def _remainder97(body: Column) -> Column:
+    """An IBAN's letters and digits, read as one number, modulo 97."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(body), F.lit(0), step)
+
+
 def _surrogate(key: str) -> Column:
     """The canonical replacement of columns kind, canon and draw.
 
@@ -112,7 +201,13 @@ def _surrogate(key: str) -> Column:
     # shorten first, as check() reads its argument more than once
     card = F.when(valid, F.concat(drawn, check(drawn))).otherwise(number)
     drawn_letter = lambda i: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(_nibble(h, i), F.lit(26)) + 1, F.lit(1))
-    letter = lambda c, i: F.when(c.rlike("[0-9]"), digit(i)).when(c.rlike(r"\p{L}") | ((kind == "key") & (level > 0)), drawn_letter(i)).otherwise(c)
+
+    def letter(c: Column, i: Column) -> Column:
+        out = F.when(c.rlike("[0-9]"), digit(i))
+        for script, letters in ALPHABETS.items():
+            out = out.when(c.rlike(script), F.substring(F.lit(letters), F.pmod(_nibble(h, i), F.lit(len(letters))) + 1, F.lit(1)))
+        return out.when((kind == "key") & (level > 0), drawn_letter(i)).otherwise(c)
+
     # from the far end of the digest, where short entities take nothing
     more = lambda n: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: drawn_letter(63 - i)), "")
     ending = F.regexp_extract(canon, r"(\.[^.]+)$", 1)
@@ -123,36 +218,50 @@ def _surrogate(key: str) -> Column:
     prefix = F.when(canon.startswith("AKIA"), F.lit("akia")).otherwise(F.lit(""))
     other = F.concat(prefix, more(F.greatest(level - 1, F.lit(0))), F.array_join(F.transform(_chars(F.expr("substring(canon, 1 + if(startswith(canon, 'AKIA'), 4, 0))")), letter), ""))
     hexes = F.array_join(F.transform(places, lambda i: F.substring(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
-    latin = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    first = None
-    for (script, gender), names in FIRST.items():
-        pick = F.element_at(F.array(*(F.lit(n) for n in names)), (F.pmod(_nibble(h, F.lit(0)), F.lit(len(names))) + 1).cast("int"))
-        test = (latin == script) & canon.startswith(gender + ":")
-        first = F.when(test, pick) if first is None else first.when(test, pick)
-    syllable = lambda i: F.element_at(F.when(latin == "latin", F.array(*(F.lit(s) for s in _SYLLABLES["latin"]))).otherwise(F.array(*(F.lit(s) for s in _SYLLABLES["cyrillic"]))), F.pmod(_nibble(h, i), F.lit(16)) + 1)
-    last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), level + 4), syllable), ""))
-    person = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lower(F.when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)))
-    return F.when(kind == "card", card).when(kind.isin("phone", "ssn"), number).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "key", other).when(kind == "person", person).otherwise(email)
+    hex_at = lambda i: F.substring(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))
+    ipv6 = F.concat(F.array_join(F.transform(_chars(canon), lambda c, i: F.when(c == ":", c).otherwise(hex_at(i))), ""), F.array_join(F.transform(F.filter(F.sequence(F.lit(0), level), lambda i: i > 0), lambda i: hex_at(127 - i)), ""))
+    account = F.transform(_chars(F.substring(canon, F.lit(5), F.length(canon))), lambda c, i: F.when(c.rlike("[0-9]"), digit(i)).otherwise(F.upper(drawn_letter(i))))
+    account = F.concat(F.array_join(account, ""), F.array_join(F.transform(F.filter(F.sequence(F.lit(0), level), lambda i: i > 0), lambda i: digit(63 - i)), ""))
+    country = F.substring(canon, F.lit(1), F.lit(2))
+    iban = F.concat(country, F.lpad((F.lit(98) - _remainder97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    script = F.when(canon.rlike(r"\p{IsHan}"), F.lit("han")).when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+    own = lambda table, i: F.element_at(F.array(*(F.lit(x) for x in table)), F.pmod(_nibble(h, i), F.lit(len(table))) + 1)
+
+    def by_script(test, pick) -> Column:
+        """What pick makes of the table that test leaves for a script and gender."""
+        out = None
+        for (name, gender), table in FIRST.items():
+            if test(name):
+                fits = (script == name) & canon.startswith(gender + ":")
+                out = F.when(fits, pick(table)) if out is None else out.when(fits, pick(table))
+        return out
+
+    first = by_script(lambda name: name != "han", lambda table: own(table, F.lit(0)))
+    syllables = lambda name: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), level + 4), lambda i: own(_SYLLABLES[name], i)), ""))
+    last = F.when(script == "latin", syllables("latin")).otherwise(syllables("cyrillic"))
+    given = by_script(lambda name: name == "han", lambda table: F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.length(canon) - 3 + level), lambda i: i > 0), lambda i: own(table, i)), ""))
+    name = F.when(script == "han", F.concat(own(_SYLLABLES["han"], F.lit(0)), given)).when(canon.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
+    person = F.concat(F.substring(canon, F.lit(1), F.lit(2)), F.lower(name))
+    return F.when(kind == "card", card).when(kind == "ipv6", ipv6).when(kind == "iban", iban).when(kind.isin("phone", "ssn"), number).when(kind == "ip", ip).when(kind == "secret", hexes).when(kind == "key", other).when(kind == "person", person).otherwise(email)
 
 
 def _written(kind: Column, token: Column, surrogate: Column) -> Column:
     """The surrogate in the writing of the token: its separators, its case, its title."""
     # what a wider form has more goes behind the digits, and before letters
-    digits = F.aggregate(
-        _chars(token),
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["out"], surrogate.substr(a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))),
-        lambda a: F.concat(a["out"], surrogate.substr(a["at"], F.length(surrogate))),
-    )
+    def placed(at: str) -> Column:
+        """The surrogate's characters one by one where the token has one that fits."""
+        step = lambda a, c: F.when(c.rlike(at), F.struct(F.concat(a["out"], surrogate.substr(a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at")))
+        return F.aggregate(_chars(token), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda a: F.concat(a["out"], surrogate.substr(a["at"], F.length(surrogate))))
+
     more = F.greatest(F.length(surrogate) - F.length(token), F.lit(0))
     cased = F.concat(surrogate.substr(F.lit(1), more), F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(token), F.lit(1))), lambda i: F.when(token.substr(i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(surrogate.substr(more + i, F.lit(1)))).otherwise(surrogate.substr(more + i, F.lit(1)))), ""))
-    title = F.regexp_extract(token, "^((?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? )", 1)
-    person = F.concat(title, F.initcap(F.expr("substring(surrogate, 3)")))
-    return F.when(kind.isin("phone", "ssn", "card"), digits).when(kind.isin("email", "secret", "key"), cased).when(kind == "person", person).otherwise(surrogate)
+    person = F.concat(F.regexp_extract(token, rf"^({_any(_TITLES)}\.? )", 1), F.initcap(F.substring(surrogate, F.lit(3), F.length(surrogate))), F.regexp_extract(token, f"({_ADDRESS})$", 1))
+    ipv6 = F.when(token.rlike("[A-F]"), F.upper(surrogate)).otherwise(surrogate)
+    return F.when(kind.isin("phone", "ssn", "card"), placed("[0-9]")).when(kind == "iban", placed("[^ ]")).when(kind.isin("email", "secret", "key"), cased).when(kind == "person", person).when(kind == "ipv6", ipv6).otherwise(surrogate)
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """entities (kind, canon), each once: plus surrogate, different for each and none of them an entity itself."""
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """entities (kind, canon), each once, other columns go along: plus surrogate, different for each and none of them an entity itself."""
     spark = entities.sparkSession
     now, path = stored(entities.withColumn("draw", F.lit(0)).withColumn("surrogate", _surrogate(key)), "draw")
     while True:
@@ -162,30 +271,31 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         lost, lost_path = stored(now.join(owner.where("n > 1"), ["kind", "surrogate"]).where("canon <> owner").select("kind", "canon", F.lit(1).alias("again")), "lost")
         if lost.isEmpty():
             return now
-        then = now.join(lost, ["kind", "canon"], "left").select("kind", "canon", (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
+        then = now.join(lost, ["kind", "canon"], "left").select(*entities.columns, (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
         after, after_path = stored(then.withColumn("surrogate", _surrogate(key)), "draw")
         drop(spark, path, lost_path)
         now, path = after, after_path
 
 
-def replace(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, text with the entities replaced, n_entities.
 
-    A null text stays null and an empty one empty, with no entities. Repeated rows get the
-    same text each. A text without entities comes back unchanged. Other columns are not read;
-    an empty table gives an empty one.
+    key is the secret that replacements follow from; who has it can rebuild them. A null text
+    stays null and an empty one empty, with no entities; a text is searched whole, however long.
+    Repeated rows get the same text each. A text without entities comes back unchanged. Other
+    columns are not read; an empty table gives an empty one.
     """
+    if not key:
+        raise ValueError("a key is needed, or anyone could rebuild the replacements")
     own = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("text"))
-    row = own_name(own, "row")
-    hinted = F.col("text").rlike(_HINT)
-    found = F.when(hinted, F.regexp_extract_all("text", F.lit(_ALL), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows, _ = stored(own.withColumn(row, F.monotonically_increasing_id()).withColumn("found", F.coalesce(found, F.array().cast("array<string>"))), "rows")
-    tokens = rows.where(F.size("found") > 0).select(row, F.posexplode("found").alias("at", "token"))
-    tokens = tokens.withColumn("kind", _kind(F.col("token"))).withColumn("canon", _canon(F.col("kind"), F.col("token")))
-    tokens, _ = stored(tokens, "tokens")
-    mapping = surrogates(tokens.select("kind", "canon").distinct(), key).select("kind", "canon", "surrogate")
-    put = tokens.join(mapping, ["kind", "canon"]).select(row, "at", _written(F.col("kind"), F.col("token"), F.col("surrogate")).alias("new"))
-    news = put.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda p: p["new"]).alias("new"))
-    with_some = rows.where(F.size("found") > 0).join(news, row).withColumn("gap", F.split("text", _ALL, -1))
-    woven = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gap") - 1), lambda i: F.array(F.get("gap", i), F.coalesce(F.get("new", i), F.lit(""))))), "")
-    return with_some.select("doc_id", woven.alias("text"), F.size("found").alias("n_entities")).unionByName(rows.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).alias("n_entities")))
+    rows, _ = stored(found(own.withColumn("row", F.monotonically_increasing_id()), "text", "parts").select("row", "doc_id", "parts"), "rows")
+    some = F.size("parts") > 1  # null for a null text
+    tokens = rows.where(some).select("row", F.posexplode("parts").alias("at", "place")).where(F.col("at") % 2 == 1).withColumn("kind", _kind(F.col("place")))
+    tokens = tokens.withColumn("token", _unescaped(F.replace(F.col("place"), F.lit(_PLACE)))).withColumn("canon", _canon(F.col("kind"), F.col("token")))
+    tokens, _ = stored(tokens.drop("place"), "tokens")
+    mapping = surrogates(tokens.groupBy("kind", "canon").agg(F.count("*").alias("n")), key).select("kind", "canon", "surrogate", "n")
+    put = spread_join(tokens, mapping, ["kind", "canon"], "n").select("row", "at", _written(F.col("kind"), F.col("token"), F.col("surrogate")).alias("new"))
+    news = put.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda p: p["new"]).alias("new"))
+    woven = F.array_join(F.transform("parts", lambda p, i: F.when(i % 2 == 1, F.get("new", F.floor(i / 2).cast("int"))).otherwise(_unescaped(p))), "")
+    with_some = rows.where(some).join(news, "row").select("doc_id", woven.alias("text"), F.size("new").alias("n_entities"))
+    return with_some.unionByName(rows.where(~F.coalesce(some, F.lit(False))).select("doc_id", _unescaped(F.col("parts")[0]).alias("text"), F.lit(0).alias("n_entities")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from nimbusvec.llm import embeddings, exact, licences, mixing, packing, pii, qua
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+#: The setting that holds the key of PII surrogates.
+PII_KEY = "spark.nimbusvec.pii.key"
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -43,7 +48,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(_table(spark, sf_dir, "documents"))
+    # the key is a setting of the session; where it has none, it gets one that nobody knows
+    key = spark.conf.get(PII_KEY, None)
+    if not key:
+        spark.conf.set(PII_KEY, key := secrets.token_hex(32))
+    return pii.replace(_table(spark, sf_dir, "documents"), key)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

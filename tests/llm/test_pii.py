@@ -7,7 +7,7 @@ from tests.llm.common import NASTY, docs, nasty
 
 
 def out(spark, texts, **more):
-    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace(docs(spark, texts), **more).collect()}
+    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace(docs(spark, texts), **{"key": "k"} | more).collect()}
 
 
 def luhn(digits):
@@ -29,6 +29,15 @@ FORMS = [
     ("Frau Müller", r"Frau \w+"),
     ("Mary Jones", r"\w+ \w+"),
     ("Ольга Петрова", r"[А-Яа-я]+ [А-Яа-я]+"),
+    ("fe80::1ff:fe23:4567:890a", r"[0-9a-f]{4}::[0-9a-f]{3}:[0-9a-f]{4}:[0-9a-f]{4}:[0-9a-f]{4}"),
+    ("2001:DB8:0:0:8:800:200C:417A", r"(?:[0-9A-F]{1,4}:){7}[0-9A-F]{4}"),
+    ("GB29 NWBK 6016 1331 9268 19", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"),
+    ("DE89370400440532013000", r"DE\d{20}"),
+    ("иван.петров@почта.рф", r"[а-я]{4}\.[а-я]{6}@[а-я]{5}\.рф"),
+    ("Dr. Alice Brown", r"Dr\. \w+ \w+"),
+    ("John Carter", r"\w+ \w+"),
+    ("Wei Zhang", r"\w+ \w+"),
+    ("王小明先生", r"[\u4e00-\u9fff]{3}先生"),
 ]
 
 
@@ -48,7 +57,8 @@ def test_every_kind_implies_the_hint(spark):
     alone = [
         "a@b.c", "1.2.3.4", "(12)123 4567", "123-123-4567", "+1 (12)123 4567", "+49 30 12 34 56 78", "+7-12-34-56-78", "+1 22 33", "+12233", "123-45-6789", "1234 1234 1234 1", "1234567890123",
         "ab" * 16, "AB" * 16, "AKIA" + "Z" * 16, "password=abcdef", "password=******",
-        *(f"{t}{dot} Xy" for ts in pii.TITLES.values() for t in ts for dot in ("", ".")), *(f"{n} Xy" for ns in pii.FIRST.values() for n in ns),
+        *(f"{t}{dot} Xy" for ts in pii.TITLES.values() for t in ts for dot in ("", ".")), *(f"{n} Xy" for (script, _), ns in pii.FIRST.items() if script != "han" for n in ns), *(f"{cue}Xy Ab" for cue in pii.CUES), *(f"王{a}" for x in pii.ADDRESSES.values() for a in x),
+        "::1", "1:2:3:4:5:6:7:8", "a::b1", "NO9386011117947", "XK05 ABCD EFGH IJKL",
     ]
     got = out(spark, [*alone, "+49 30 12 34 56 78 or 555-123-4567"])
     assert [alone[i] for i in range(len(alone)) if got[i][1] != 1 or got[i][0] == alone[i]] == []
@@ -104,7 +114,7 @@ def test_entities_without_letters_or_digits(spark):
 
 def test_forms_that_run_out_widen(spark, monkeypatch):
     monkeypatch.setattr(pii, "DRAWS", 2)
-    monkeypatch.setattr(pii, "_SYLLABLES", {"latin": ("ba",) * 15 + ("del",), "cyrillic": ("ба",) * 16})
+    monkeypatch.setattr(pii, "_SYLLABLES", {"latin": ("ba",) * 15 + ("del",), "cyrillic": ("ба",) * 16, "han": pii._SYLLABLES["han"]})
     names = [f"Mr {a}{b}son" for a in "ABCDEFGH" for b in "aeiou"]
     rest = [f"{a}@x.com" for a in "0123456789abcdefghijklmnopqrstuvwxyz"] + [f"password={c}....." for c in "0123456789"]
     phones = [f"+1{i:04d}" for i in range(0, 10_000, 1)]
@@ -126,10 +136,10 @@ def test_clean_texts_stay(spark):
 
 def test_nasty_rows(spark):
     df = nasty(spark)
-    got = pii.replace(df)
+    got = pii.replace(df, "k")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(((i, t) for i, t, _ in NASTY), key=repr)
-    assert pii.replace(docs(spark, [])).collect() == []
-    twice = pii.replace(docs(spark, [(1, "a@b.com", "s"), (1, "a@b.com", "s"), (None, "a@b.com a@b.com", "s")])).collect()
+    assert pii.replace(docs(spark, []), "k").collect() == []
+    twice = pii.replace(docs(spark, [(1, "a@b.com", "s"), (1, "a@b.com", "s"), (None, "a@b.com a@b.com", "s")]), "k").collect()
     assert len({w for r in twice for w in r.text.split()}) == 1
 
 
@@ -147,3 +157,79 @@ def test_query_leaves_nothing_it_knows(spark):
         assert got[r.doc_id].n_entities >= len(old) and (old or got[r.doc_id].n_entities or got[r.doc_id].text == r.text)
         assert len(got[r.doc_id].text.split()) == len(r.text.split())
     assert n > 20
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_check_digits_scripts_and_genders(spark):
+    got = out(spark, ["GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00", "γιάννης@ελ.gr", "李娜女士 and 李伟先生", "My name is Zoltan Kovacs, not near New York.", "Name: Anna-Lena O'Brien Smith"])
+    assert mod97(got[0][0]) == 1 and mod97(got[1][0].replace(" ", "")) == 1
+    assert re.fullmatch(r"[\u03b1-\u03c9]{7}@[\u03b1-\u03c9]{2}\.gr", got[2][0].replace("ά", "α"))
+    woman, man = got[3][0].split(" and ")
+    assert woman[1] in pii.FIRST["han", "f"] and woman.endswith("女士") and man[1] in pii.FIRST["han", "m"] and man.endswith("先生")
+    assert "Zoltan" not in got[4][0] and "Kovacs" not in got[4][0] and got[4][0].endswith(", not near New York.") and got[4][1] == 1
+    assert got[5][1] == 1
+
+
+def test_a_key_is_needed(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        pii.replace(docs(spark, ["x"]), "")
+
+
+def test_digest_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    for key in ("short", "long" * 50):
+        got = spark.range(1).select(pii._digest(key, F.lit("email"), F.lit("a@b.c"), F.lit(3)).alias("h")).first().h
+        assert got == hmac.new(key.encode(), "email\na@b.c\n3".encode(), hashlib.sha512).hexdigest()
+
+
+def test_texts_with_the_marks_themselves(spark):
+    odd = "".join(map(chr, range(0xFDD0, 0xFDD6)))
+    texts = [odd, f"{odd}a@b.com{odd}", f"a@b.com {odd}{odd} 1.2.3.4", "a@b.com"]
+    got = out(spark, texts)
+    new = got[3][0]
+    assert got[0] == (odd, 0) and got[1] == (f"{odd}{new}{odd}", 1) and got[2][0].startswith(f"{new} {odd}{odd} ") and got[2][1] == 2
+
+
+def test_an_entity_of_most_rows(spark):
+    got = out(spark, ["write to a@b.com"] * 2000 + ["c@d.com"])
+    assert len({got[i] for i in range(2000)}) == 1 and got[2000][0] != "c@d.com"
+
+
+def plain_find(text):
+    """(kind, start, end) of the entities of a text, by one pattern of all kinds."""
+    import regex
+
+    every = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in pii.KINDS.items()))
+    return [(m.lastgroup, *m.span()) for m in every.finditer(text)]
+
+
+def test_output_against_brute_force(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += [f"before {e}, after {e}." for e, _ in FORMS] + [f"{a} | {b}" for a, _ in FORMS for b, _ in FORMS] + [t for _, t, _ in NASTY if t] + ["password=GB29NWBK60161331926819 std::1a ::x 12:30:45 GB29 then Dear Sir"]
+    got = out(spark, texts)
+    new_of = {}
+    for i, text in enumerate(texts):
+        places = plain_find(text)
+        new, n = got[i]
+        assert n == len(places), text[:200]
+        # what stands between the entities is found again in order; the rest are the replacements
+        at = 0
+        for k, (kind, start, end) in enumerate(places):
+            gap = text[places[k - 1][2] if k else 0 : start]
+            assert new.startswith(gap, at), text[:200]
+            at += len(gap)
+            nxt = text[end : places[k + 1][1] if k + 1 < len(places) else len(text)]
+            stop = new.index(nxt, at + 1) if nxt and k + 1 < len(places) else len(new) - len(nxt) if k + 1 == len(places) else at + end - start
+            old = text[start:end]
+            assert new_of.setdefault((kind, old), new[at:stop]) == new[at:stop] != old
+            at = stop
+        assert new[at:] == text[places[-1][2] if places else 0 :]
+    assert len(new_of) > 60 and len(set(new_of.values())) == len(new_of)
+    assert not {v for v in new_of.values()} & {old for _, old in new_of}
