@@ -9,7 +9,8 @@ a range of keys. An owner walks its keys in order, chains texts that share a key
 bytes along the chain, and writes the index: for each holder, which document its group
 keeps and how many documents the group has. Documents then take their answer from their
 holder. A text that makes up much of the corpus has one holder for each task, not one for
-each copy, so no owner and no join sees the copies in one place.
+each copy; where a key has many holders, they are dealt to shares and folded there, as often
+as needed, so that no owner reads more than FAN_IN copies of a text.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import WHITE, bound_batches, column, drop, own_name, stored
+from nimbusvec.llm.shared import WHITE, InPlace, bound_batches, column, drop, stored
 
 #: Most bytes of texts that a task remembers for folding.
 FOLD_BYTES = 8 << 20
+#: Holders of one key that an owner reads, at most, but for texts whose keys collide; more are folded in shares of a quarter as many.
+FAN_IN = 64
+#: Keys of so many holders up to which their numbers, of 16 bytes each, are sent to every task.
+SENT_KEYS = 1 << 20
 #: A bucket with more bytes of distinct texts than this is split, unless the directory would be too deep.
 BUCKET_BYTES = 4 << 20
 #: Bytes of texts that an owner task reads, if there are more tasks than shuffle partitions.
@@ -36,6 +41,7 @@ MAX_DEPTH = 20
 FIRST_DEPTH = 8
 
 _ENTRY = "doc_id long, row long, holder long, key long, sha string, points long, norm binary, n long, best_points long, best_doc long, best_row long"
+_HOLDERS = "holder long, parent long, key long, norm binary, n long, best_points long, best_doc long, best_row long"
 _INDEX = "holder long, keep_id long, keep_row long, group_size long"
 
 
@@ -99,6 +105,59 @@ def _fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone, gone_bytes = [], 0
 
 
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holders by key and share: one stays for each text of a share, with the sums; the others name it as their parent."""
+    chain: list[list] = []  # norm, n, best, holder
+    now = None
+    out: list[tuple] = []
+    fields = [x.split() for x in _HOLDERS.split(", ")]
+
+    def made() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary() if kind == "binary" else pa.int64()) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
+        out.clear()
+        return b
+
+    for batch in batches:
+        for key, share, norm, holder, n, *best in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            if (key, share) != now:
+                out.extend((h, None, now[0], text, k, *top) for text, k, top, h in chain)
+                chain.clear()
+                now = (key, share)
+            for link in chain:
+                if link[0] == norm:
+                    link[1] += n
+                    link[2] = better(link[2], tuple(best))
+                    out.append((holder, link[3], None, None, None, None, None, None))
+                    break
+            else:
+                chain.append([norm, n, tuple(best), holder])
+        if out:
+            yield made()
+    out.extend((h, None, now[0], text, k, *top) for text, k, top, h in chain)
+    yield made()
+
+
+def folded(holders: DataFrame, fan_in: int = FAN_IN) -> tuple[DataFrame, list[DataFrame]]:
+    """holders with no key of more than fan_in of equal texts, and the tables (holder, parent) of what was folded, first round first."""
+    spark, links = holders.sparkSession, []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        counts = holders.groupBy("key").agg(F.count("*").alias("holders"))
+        hot, _ = stored(counts.where(F.col("holders") > fan_in), "hot")
+        n = hot.count()
+        if not n:
+            return holders, links
+        sent = F.broadcast(hot) if n <= SENT_KEYS else hot
+        shares = F.ceil(F.col("holders") * 4 / fan_in)
+        large = holders.join(sent, "key").withColumn("share", F.pmod(F.xxhash64("holder", F.lit(len(links))), shares)).repartition(parts, "key", "share").sortWithinPartitions("key", "share", "holder")
+        round_, _ = stored(large.select("key", "share", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_merge, _HOLDERS), "folded")
+        merged = round_.where("parent is null").drop("parent")
+        links.append(round_.where("parent is not null").select("holder", "parent"))
+        holders = holders.join(sent, "key", "left_anti").select(*merged.columns).unionByName(merged)
+        if links[-1].isEmpty():  # texts that differ and share a key: nothing more to fold
+            return holders, links
+
+
 def double_directory(weights: dict[int, int], depth: int, limit: int) -> dict[tuple[int, int], int]:
     """Buckets {(local depth, prefix): bytes} of a directory grown from one bucket until none is overfull.
 
@@ -191,7 +250,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(row).alias("row"), F.char_length(raw).cast("long").alias("points"), raw.cast("binary").alias("raw"))
     spark = docs.sparkSession
     log, path = stored(rows.mapInArrow(_fold, _ENTRY), "entries")
-    holders = log.where("norm is not null")
+    holders, links = folded(log.where("norm is not null").select("holder", "key", "norm", "n", "best_points", "best_doc", "best_row"))
     buckets = buckets_of(holders.select("key", "norm"))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()) // OWNER_BYTES)
     slots, depth = directory(spark, buckets, owners)
@@ -199,6 +258,8 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     placed = holders.withColumn("slot", F.shiftright("key", 63 - depth)).join(F.broadcast(slots), "slot")
     dealt = placed.repartitionById(owners, F.col("owner")).sortWithinPartitions("key", "holder")
     index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_own, _INDEX), "index")
+    for link in reversed(links):  # what was folded takes the answer of what it was folded into
+        index = index.unionByName(link.join(index.withColumnRenamed("holder", "parent"), "parent").select(*index.columns))
     bare, _ = stored(log.where("norm is null").select("doc_id", "row", "holder", "sha"), "bare")
     drop(spark, path)  # the texts aren't needed any more
     return bare.select("doc_id", "row", "holder", F.col("sha").alias("text_sha256")).join(index, "holder").drop("holder")
@@ -218,8 +279,10 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, columns unchanged, with the one row of each group of equal texts that exact_duplicates() keeps."""
-    row = own_name(docs, "_row")
-    rows, _ = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    keep = grouped(rows, doc_id, text, row).where("row = keep_row").select(F.col("row").alias(row))
-    return rows.join(keep, row, "left_semi").select(*(column(c) for c in docs.columns))
+    """docs, columns unchanged, with the one row of each group of equal texts that exact_duplicates() keeps.
+
+    Null and empty texts are one group like any other; of repeated rows one stays; texts of any
+    length count whole. An empty table gives an empty one.
+    """
+    rows = InPlace(docs, "rows")
+    return rows.kept(grouped(rows.rows, doc_id, text, rows.row).where("row = keep_row").select("row"))

@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes of one Arrow batch sent to Python, so that very long texts don't pile up in one batch.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
+#: Most buckets of a table.
+BUCKETS = 100_000
 #: A key that more than one in so many rows have is dealt to several tasks.
 HEAVY = 1024
 
@@ -94,3 +97,54 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], n: str, how: s
     dealt = rows.join(heavy, on, "left").withColumn(share, F.pmod(F.monotonically_increasing_id(), F.coalesce(shares, F.lit(1))).cast("int")).drop(shares)
     copies = facts.withColumn(share, F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(copies, [*on, share], how).drop(share)
+
+
+def bucket_keys(n: int) -> list[int]:
+    """For each of n buckets a whole number that Spark's hash, Murmur3 with seed 42, puts there."""
+    found = np.full(n, -1, np.int64)
+    at, rotated = 0, lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    while (found < 0).any():
+        numbers = np.arange(at, at + 8 * n + 64, dtype=np.uint32)
+        at += len(numbers)
+        h = np.uint32(42) ^ (rotated(numbers * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = rotated(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        h ^= h >> np.uint32(16)
+        bucket, first = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+        new = found[bucket] < 0
+        found[bucket[new]] = numbers[first[new]]
+    return found.tolist()
+
+
+class InPlace:
+    """df as a table that can lose rows without a shuffle of the others.
+
+    Every task writes its rows to a bucket of its own. rows: the table, with a unique long, row,
+    which says by its upper bits which task wrote it. kept() joins a narrow table of rows to it:
+    that table alone is dealt to the buckets, and the rows are read where they lie.
+    """
+
+    def __init__(self, df: DataFrame, label: str) -> None:
+        spark = df.sparkSession
+        self.columns, self.row = df.columns, own_name(df, "_row")
+        self.part = own_name(df, "_part")
+        self.buckets = max(1, min(BUCKETS, df.rdd.getNumPartitions()))
+        self.keys = F.split(F.lit(",".join(map(str, bucket_keys(self.buckets)))), ",").cast("array<int>")
+        numbered = df.withColumn(self.row, F.monotonically_increasing_id())
+        path = new_path(spark, label)
+        table = f"{label}_{path.rsplit('-', 1)[1]}"
+        writer = numbered.withColumn(self.part, self._part(F.col(self.row))).write.format("parquet").bucketBy(self.buckets, self.part)
+        writer.option("path", path).option("compression", "zstd").saveAsTable(table)
+        self.rows = spark.table(table)
+        # else Spark would deal both sides of the join anew by all of its columns
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+    def _part(self, row: Column) -> Column:
+        return F.element_at(self.keys, F.pmod(F.shiftright(row, 33), F.lit(self.buckets)).cast("int") + 1)
+
+    def kept(self, keep: DataFrame) -> DataFrame:
+        """The rows whose number is in keep (row), with the columns of df."""
+        wanted = keep.select(F.col("row").alias(self.row)).withColumn(self.part, self._part(F.col(self.row))).hint("shuffle_hash")
+        return self.rows.join(wanted, [self.part, self.row], "left_semi").select(*(column(c) for c in self.columns))

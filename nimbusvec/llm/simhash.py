@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nimbusvec.llm.graph import components
-from nimbusvec.llm.shared import bound_batches, column, own_name, stored
+from nimbusvec.llm.shared import InPlace, bound_batches, column, own_name, spread_join, stored
 
 SEED = 42
 SHINGLE = 3
@@ -336,15 +336,15 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, gro
 
 
 def classes(prints: DataFrame, key: str, distance: int = DISTANCE, parts: int = PARTS, group: int = GROUP) -> DataFrame:
-    """(fp, least): for each fingerprint, the smallest key of all rows linked to it, directly or not.
+    """(fp, least, n): for each fingerprint, the smallest key of all rows linked to it, directly or not, and how many rows have it.
 
     prints: columns fp and key. Null keys count only where a class has no other.
     """
-    distinct, _ = stored(prints.groupBy("fp").agg(F.min(column(key)).alias("least")), "distinct")
+    distinct, _ = stored(prints.groupBy("fp").agg(F.min(column(key)).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_edges(distinct.select("fp"), distance, parts, group)).withColumnRenamed("node", "fp")
-    rooted, _ = stored(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    return rooted.drop("least").join(least, "root").select("fp", "least")
+    rooted, _ = stored(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "rooted")
+    least, _ = stored(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("members")), "least")
+    return spread_join(rooted.drop("least"), least, ["root"], "members").select("fp", "least", "n")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -356,16 +356,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has another. Other columns are not read. An empty table gives an empty one.
     """
     prints, _ = stored(fingerprints(docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))).select("doc_id", "fp"), "prints")
-    found = classes(prints, "doc_id", distance)
-    return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+    found, _ = stored(classes(prints, "doc_id", distance), "classes")
+    return spread_join(prints, found, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """docs, columns unchanged, with one row of each class: that of the smallest doc_id (of equal ones, any one)."""
-    row, fp = own_name(docs, "_row"), own_name(docs, "_fp")
-    rows, _ = stored(fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, fp), "rows")
-    prints = rows.select(column(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    """docs, columns unchanged, with one row of each class: that of the smallest doc_id (null last; of equal ones, any one).
+
+    Rows without words are one class, or part of one, like any other; texts of any length count
+    whole. An empty table gives an empty one.
+    """
+    fp = own_name(docs, "_fp")
+    rows = InPlace(fingerprints(docs, text, fp), "rows")
+    prints = rows.rows.select(column(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(rows.row).alias("row"))
     # the smallest (doc_id, row) of a class stays: nulls last
     first = prints.select("fp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"))
-    keep = classes(first, "key", distance).select(F.col("least.row").alias(row)).distinct()
-    return rows.join(keep, row, "left_semi").select(*(column(c) for c in docs.columns))
+    return rows.kept(classes(first, "key", distance).select(F.col("least.row").alias("row")).distinct()).select(*(column(c) for c in docs.columns))

@@ -79,6 +79,38 @@ def test_texts_that_share_a_key_are_chained_and_compared():
     assert {r["holder"]: (r["keep_id"], r["group_size"]) for r in out} == {10: (9, 6), 12: (9, 6), 11: (1, 1), 13: (2, 1)}
 
 
+@pytest.mark.parametrize("fan_in", [4, 64])
+def test_a_text_that_every_task_holds(spark, monkeypatch, fan_in):
+    monkeypatch.setattr(exact, "FAN_IN", fan_in)
+    monkeypatch.setattr(exact, "folded", lambda holders, f=exact.folded: f(holders, fan_in))
+    monkeypatch.setattr(exact, "FOLD_BYTES", 20)  # many holders for each task
+    texts = [["hot text", "hot  text "][i % 2] if i % 10 else f"text {i % 70}" for i in range(1200)]
+    facts, rows = got(docs(spark, texts).repartition(9))
+    assert facts == brute(list(enumerate(texts)))
+
+
+def test_merging_compares_bytes_and_keeps_shares_apart():
+    rows = [(1, 0, b"x", 10, 2, 5, 3, 30), (1, 0, b"y", 11, 1, 9, 1, 31), (1, 0, b"x", 12, 4, 6, 9, 32), (1, 1, b"x", 13, 1, 1, 2, 33)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5]
+    b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(8)], list("abcdefgh"))
+    out = [r for x in exact._merge([b.slice(0, 2), b.slice(2)]) for r in x.to_pylist()]
+    assert {r["holder"]: r["parent"] for r in out if r["parent"] is not None} == {12: 10}
+    assert {r["holder"]: (r["n"], r["best_doc"]) for r in out if r["parent"] is None} == {10: (6, 9), 11: (1, 1), 13: (1, 2)}
+
+
+def test_rows_are_dropped_where_they_lie(spark):
+    from nimbusvec.llm.shared import InPlace, bucket_keys
+
+    n = 37
+    keys = spark.createDataFrame([(k,) for k in bucket_keys(n)], "k int")
+    assert [r[0] for r in keys.selectExpr(f"pmod(hash(k), {n})").collect()] == list(range(n))
+    rows = InPlace(docs(spark, [f"text {i}" for i in range(50)]).repartition(6), "rows")
+    kept = rows.kept(rows.rows.where("doc_id % 3 = 0").selectExpr(f"`{rows.row}` AS row"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 50, 3))
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+
+
 def test_folding_is_bounded_and_loses_nothing(monkeypatch):
     monkeypatch.setattr(exact, "FOLD_BYTES", 8)
     texts = [b"aaaa", b"bbbb", b"cccc", b"aaaa", b"aa aa", b""]
