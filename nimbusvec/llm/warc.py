@@ -9,10 +9,14 @@ and holds them against both their SHA-256 and the SHA-1 in the record's header.
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import column, new_path
+from nimbusvec.llm.shared import column, new_path, spread_join, stored
 
 #: Equal payloads of at least so many bytes are stored as revisits of one response.
 REVISIT_BYTES = 1000
@@ -20,8 +24,9 @@ DATE = "2024-01-01T00:00:00Z"
 _CRLF = "\r\n"
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.sha1(F.coalesce(page_id.cast("string"), F.lit("null")).cast("binary"))
+def _record_id(page_id: Column, row: Column) -> Column:
+    """A record's name; row tells records of one page_id apart."""
+    h = F.sha1(F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("null")), row.cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *(x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]), F.lit(">"))
 
 
@@ -40,45 +45,60 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     a response and the others revisit it; shorter ones are all responses. Rows that repeat the
     largest page_id with its payload are responses too; null page_ids come before all others.
     """
+    spark = pages.sparkSession
     raw = F.coalesce(column(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(column(page_id).cast("long").alias("page_id"), column(url).cast("string").alias("url"), raw.alias("payload"))
     # one row for each distinct payload of a task leaves it, however many copies there are
-    payloads = rows.groupBy(F.sha2("payload", 256).alias("digest"), "payload").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
-    payloads.select("digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), "last", "copies", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
-    spark = pages.sparkSession
-    store = spark.read.parquet(f"{path}/payloads").select("digest", "sha1", "bytes", "last")
-    facts = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest")).join(store, "digest")
-    revisit = (F.col("bytes") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    facts = facts.withColumn("refers", F.when(revisit, F.col("last"))).withColumn("revisit", revisit)
+    payloads = rows.groupBy(F.sha2("payload", 256).alias("digest"), "payload").agg(F.count("*").alias("copies"))
+    payloads.select("digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"), "copies", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    records, _ = stored(rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "records")
+    last = records.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("last"))
+    store, _ = stored(spark.read.parquet(f"{path}/payloads").select("digest", "sha1", "bytes", "copies").join(last, "digest"), "store")
+    facts = spread_join(records, store, ["digest"], "copies")
+    revisit = (F.col("bytes") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("last.page_id"))
+    facts = facts.withColumn("revisit", revisit)
     http = _http(F.col("bytes"))
     block = F.octet_length(http) + F.when(F.col("revisit"), F.lit(0)).otherwise(F.col("bytes"))
     header = F.concat(
         F.lit("WARC/1.1" + _CRLF),
         _line("WARC-Type", F.when(F.col("revisit"), F.lit("revisit")).otherwise(F.lit("response"))),
-        _line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("row"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
-        _line("WARC-Refers-To", F.when(F.col("revisit"), _record_id(F.col("refers")))),
+        _line("WARC-Refers-To", F.when(F.col("revisit"), _record_id(F.col("last.page_id"), F.col("last.row")))),
         _line("WARC-Profile", F.when(F.col("revisit"), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", block),
         F.lit(_CRLF),
         http,
     )
-    facts.select("page_id", F.col("refers").alias("refers_to"), "digest", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    facts.select("page_id", "digest", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+
+
+def _field(header: Column, name: str) -> Column:
+    """The value of a line of a record's header block; null if there is none."""
+    return F.nullif(F.regexp_extract(header.cast("string"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: page_id, header, payload (the full one, of revisits too), verified, refers_to.
+    """The records of an archive: page_id, header, payload (the full one, of revisits too), verified, refers_to, sha1.
 
     verified: the stored bytes hash to the digest they are filed under, and the digest in the
-    record's own header is theirs.
+    record's own header is theirs. refers_to: the page_id of the record that WARC-Refers-To in
+    the header names, found by that record's own WARC-Record-ID.
     """
     headers = spark.read.parquet(f"{path}/headers")
-    payloads = spark.read.parquet(f"{path}/payloads").select("digest", "payload", (F.sha2("payload", 256) == F.col("digest")).alias("sound"), F.sha1("payload").alias("sha1"))
-    named = F.regexp_extract(F.col("header").cast("string"), r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})\r\n", 1)
-    return headers.join(payloads, "digest").select("page_id", "header", "payload", (F.col("sound") & (named == F.col("sha1"))).alias("verified"), "refers_to", "sha1")
+    payloads = spark.read.parquet(f"{path}/payloads").select("digest", "copies", "payload", (F.sha2("payload", 256) == F.col("digest")).alias("sound"), F.sha1("payload").alias("sha1"))
+    records = headers.withColumn("refers", _field(F.col("header"), "WARC-Refers-To"))
+    named = records.where("refers is not null").groupBy("refers").agg(F.count("*").alias("n"))
+    targets = headers.select(_field(F.col("header"), "WARC-Record-ID").alias("refers"), F.col("page_id").alias("refers_to"))
+    targets, _ = stored(named.join(targets, "refers"), "targets")
+    revisits = spread_join(records.where("refers is not null"), targets, ["refers"], "n", "left").select("page_id", "digest", "header", "refers_to")
+    records = records.where("refers is null").select("page_id", "digest", "header", F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
+    digest = _field(F.col("header"), "WARC-Payload-Digest")
+    total = headers.count()
+    return spread_join(records, payloads, ["digest"], "copies", total=total).select("page_id", "header", "payload", (F.col("sound") & (digest == F.concat(F.lit("sha1:"), "sha1"))).alias("verified"), "refers_to", "sha1")
 
 
 def record_bytes(records: DataFrame) -> DataFrame:
@@ -95,6 +115,34 @@ def export_warc(records: DataFrame, path: str, compression: str = "none") -> Non
     record_bytes(records).select(end.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+def import_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of .warc files below path: record_id, type, target, digest, refers_to (a record_id), header, payload.
+
+    header is the record's header block with the one of its HTTP message, payload what follows.
+    A task reads whole files, plain or compressed by gzip, one after the other; a record that
+    ends early raises an error.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                at = 0
+                while at < len(raw):
+                    end = raw.index(b"\r\n\r\n", at) + 4
+                    fields = dict(line.split(": ", 1) for line in raw[at : end - 4].decode().split("\r\n")[1:])
+                    stop = end + int(fields["Content-Length"])
+                    if not raw.startswith(b"WARC/", at) or raw[stop : stop + 4] != b"\r\n\r\n":
+                        raise ValueError(f"no whole record at byte {at}")
+                    body = raw.find(b"\r\n\r\n", end, stop) + 4
+                    values = [fields.get(n) for n in ("WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To")]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.string()) for v in values), pa.array([raw[at:body]], pa.binary()), pa.array([raw[body:stop]], pa.binary())], ["record_id", "type", "target", "digest", "refers_to", "header", "payload"])
+                    at = stop + 4
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInArrow(run, "record_id string, type string, target string, digest string, refers_to string, header binary, payload binary")
+
+
 def roundtrip(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write pages as an archive and read it back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 

@@ -62,10 +62,46 @@ def test_exported_files_parse(spark, tmp_path):
     assert {t for k, _, t in seen if k == "revisit"} <= {i for k, i, _ in seen if k == "response"}
 
 
+def test_refers_to_comes_from_the_header(spark, tmp_path):
+    path = str(tmp_path / "a")
+    warc.write_archive(pages(spark, ROWS), path)
+    headers = spark.read.parquet(f"{path}/headers")
+    assert "refers_to" not in headers.columns
+    ids = [r.id for r in headers.select(warc._field(headers.header, "WARC-Record-ID").alias("id")).collect()]
+    assert len(set(ids)) == len(ROWS)
+    # where the headers name another record, so does what is read
+    other = next(i for i, r in zip(ids, headers.collect(), strict=True) if r.page_id == 4)
+    headers.selectExpr("page_id", "digest", rf"encode(regexp_replace(decode(header, 'utf-8'), 'WARC-Refers-To: [^\\r\\n]*', 'WARC-Refers-To: {other}'), 'utf-8') AS header").write.parquet(f"{path}2/headers")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{path}2/payloads")
+    assert {r.refers_to for r in warc.read_archive(spark, f"{path}2").collect()} == {None, 4}
+
+
+def test_exported_files_are_read_back(spark, tmp_path):
+    path = str(tmp_path / "a")
+    warc.write_archive(pages(spark, [*ROWS, (9, "http://long/", "<p>\r\n\r\nWARC/1.1\r\n" * 100_000)]), path)
+    for kind in ("none", "gzip"):
+        warc.export_warc(warc.read_archive(spark, path), str(tmp_path / kind), kind)
+        back = warc.import_warc(spark, str(tmp_path / kind)).collect()
+        assert len(back) == len(ROWS) + 1 and max(len(r.payload) for r in back) == 1_700_000
+        ids = {r.record_id: r for r in back}
+        for r in back:
+            assert len(ids) == len(back) and (r.refers_to is None) == (r.type == "response")
+            if r.type == "response":
+                assert r.digest == "sha1:" + hashlib.sha1(r.payload).hexdigest()
+            else:
+                assert ids[r.refers_to].digest == r.digest and not r.payload
+
+
+def test_a_payload_of_most_rows(spark):
+    rows = [(i, f"http://{i}/", None) for i in range(900)] + [(i, f"http://{i}/", BIG) for i in range(900, 1500)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.roundtrip(pages(spark, rows)).collect()}
+    assert got == {i: ("response", None) if i < 900 or i == 1499 else ("revisit", 1499) for i in range(1500)}
+
+
 def test_a_damaged_payload_is_noticed(spark, tmp_path):
     path = str(tmp_path / "a")
     warc.write_archive(pages(spark, ROWS[:1]), path)
-    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "sha1", "bytes", "last", "copies", "encode('other', 'utf-8') AS payload").write.parquet(f"{path}/bad")
+    spark.read.parquet(f"{path}/payloads").selectExpr("digest", "sha1", "bytes", "copies", "encode('other', 'utf-8') AS payload").write.parquet(f"{path}/bad")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}/b/headers")
     spark.read.parquet(f"{path}/bad").write.parquet(f"{path}/b/payloads")
     assert not warc.read_archive(spark, f"{path}/b").first().verified
