@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import column
+from nimbusvec.llm.shared import column, spread_join, stored
 
 #: Hex digits of the digest that the join uses.
 SHORT = 8
+#: Path lengths of rules up to which urls are cut at those alone; beyond, at every length.
+LENGTHS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -45,25 +47,29 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     characters wins, then the one with the longer host, then block. rule is host and path of
     the winner, null if none fits; then the verdict is default: a list that names what to
     block lets everything else pass. A url that is null or has no :// has an empty host and
-    path. Rules with nulls are ignored. Other columns are not read.
+    path; long ones count whole. Repeated rows, and repeated page_ids, get their row each. Rules
+    with nulls are ignored. Other columns are not read. An empty table gives an empty one.
     """
     urls = pages.select(column(page_id).alias("page_id"), host_of(column(url)).alias("host"), path_of(column(url)).alias("path"))
     known = rules.where("verdict is not null and host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    lengths = [r[0] for r in known.select(F.length("path")).distinct().orderBy(F.length("path")).limit(4097).collect()]
-    if len(lengths) > 4096:
-        raise ValueError("the rules have paths of more than 4096 lengths")
+    lengths = [r[0] for r in known.select(F.length("path")).distinct().orderBy(F.length("path")).limit(LENGTHS + 1).collect()]
     known = known.select(_digest(F.col("host"), F.col("path")).alias("rule_digest"), F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_len"))
     known = known.withColumn("short", F.substring("rule_digest", 1, SHORT))
 
-    # equal urls are looked up once
-    sites = urls.select("host", "path").distinct()
+    # equal urls are looked up once, and so is each expression of theirs
+    sites, _ = stored(urls.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("site", _digest(F.col("host"), F.col("path"))), "sites")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    prefixes = F.transform(F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    wide = sites.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-    wide = wide.select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-    asked = wide.select("host", "path", _digest(F.col("suffix"), F.col("prefix")).alias("digest")).withColumn("short", F.substring("digest", 1, SHORT))
-    fits = asked.join(known, "short").where("digest = rule_digest")
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("len"), "host_len", "verdict", "rule")).alias("best"))
-    out = urls.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # rules of more lengths than are worth a list: every prefix
+    wished = F.array(*(F.lit(n) for n in lengths)).cast("array<int>") if len(lengths) <= LENGTHS else F.sequence(F.lit(0), F.length("path"))
+    prefixes = F.transform(F.filter(wished, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
+    wide = sites.select("site", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+    wide = wide.select("site", "suffix", F.explode("prefixes").alias("prefix"))
+    asked = wide.select("site", _digest(F.col("suffix"), F.col("prefix")).alias("digest"))
+    each = asked.groupBy("digest").agg(F.count("*").alias("times")).withColumn("short", F.substring("digest", 1, SHORT))
+    hits, _ = stored(each.join(known, "short").where("digest = rule_digest").select("digest", "times", "rule", "verdict", "host_len"), "hits")
+    fits = spread_join(asked, hits, ["digest"], "times")
+    best = fits.groupBy("site").agg(F.max(F.struct(F.length("rule").alias("len"), "host_len", "verdict", "rule")).alias("best"))
+    facts, _ = stored(sites.select("site", "n").join(best, "site", "left").select("site", "n", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")), "facts")
+    out = spread_join(urls.withColumn("site", _digest(F.col("host"), F.col("path"))), facts, ["site"], "n")
+    return out.select("page_id", "host", "path", "rule", "verdict")

@@ -50,6 +50,20 @@ def test_short_prefix_collisions_are_confirmed(spark, monkeypatch):
     check(spark, URLS, URL_RULES)
 
 
+def test_more_lengths_than_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(urls, "LENGTHS", 2)
+    check(spark, URLS * 2, [*URL_RULES, ("block", "com", "/long/er/"), ("allow", "z.com", "/en/x")])
+
+
+def test_a_host_of_most_rows_and_long_ones(spark):
+    check(spark, [f"http://h{i}.example.com/en/{'p/' * i}" for i in range(60)] + ["http://a.com/"] * 1500 + [None] * 500 + ["http://" + "l." * 3000 + "com/" + "x/" * 5000], URL_RULES)
+
+
+def test_repeated_page_ids(spark):
+    page = spark.createDataFrame([(1, "http://example.com/en/", "", "", "")] * 2 + [(1, "http://a.com/", "", "", "")], PAGES)
+    assert sorted(r.verdict for r in urls.filter_urls(page, urls.rules_table(spark, URL_RULES)).collect()) == ["allow", "block", "block"]
+
+
 def test_empty_tables_and_two_verdicts(spark):
     assert urls.filter_urls(spark.createDataFrame([], PAGES), urls.rules_table(spark, URL_RULES)).collect() == []
     page = spark.createDataFrame([(None, "http://a.com/", "", "", "")], PAGES)
