@@ -84,6 +84,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WS = r"'[\x20\x09-\x0D]'"
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op2_sql() -> str:
+    """All texts, the known ones among them, through one canonical form."""
+    spelt = "s"
+    for pattern, to in licences.SPELLINGS:
+        spelt = f"regexp_replace({spelt}, {_quoted(pattern)}, {_quoted(to.replace('$1', chr(92) + '1'))}, 'g')"
+    rows = lambda kind, pairs: ", ".join(f"('{kind}', {_quoted(name)}, {_quoted(text)})" for name, text in pairs)
+    known = rows("text", licences.LICENCES.items()) + ", " + rows("line", ((v, k) for k, v in licences.notices().items()))
+    listed = ", ".join(f"({_quoted(name)}, '{d}')" for name, ds in licences.DIGESTS.items() for d in ds)
+    t = [f"coalesce(regexp_matches(c[{i + 1}], {_quoted(licences.TITLE)}), false)" for i in range(licences.TITLES)]
+    gone = f"CASE WHEN NOT {t[0]} THEN 0 WHEN NOT {t[1]} THEN 1 WHEN NOT {t[2]} THEN 2 ELSE 3 END"
+    return rf"""
+WITH k(kind, name, text) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, 'doc' AS kind, CAST(doc_id AS VARCHAR) AS name, doc_id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT -row_number() OVER (), kind, name, NULL, text FROM k),
+l AS (SELECT r, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT r, regexp_split_to_array(text, '
+|
+|
+') AS x FROM d)),
+w AS (SELECT r, pos, lower(line) AS low FROM l),
+p AS (SELECT r, pos, trim(regexp_replace(low, '[^\pL\pN]+', ' ', 'g')) AS s FROM w WHERE NOT regexp_matches(low, '^\W*(\(c\)|©|all rights reserved\W*$)') AND NOT (regexp_matches(low, '^\W*copyright') AND NOT regexp_matches(low, '^\W*copyright (holder|owner|notice)'))),
+q AS (SELECT r, pos, {spelt} AS s FROM p),
+c AS (SELECT r, list(s ORDER BY pos) AS c FROM q WHERE s <> '' GROUP BY r),
+f AS (SELECT d.*, coalesce(c.c, []) AS c FROM d LEFT JOIN c USING (r)),
+g AS (SELECT *, sha256(array_to_string(c, ' ')) AS whole, sha256(array_to_string(c[1 + {gone}:], ' ')) AS body FROM f),
+texts AS (SELECT body, min(name) AS licence FROM (SELECT body, name FROM g WHERE kind = 'text' UNION ALL SELECT digest, name FROM (VALUES {listed}) v(name, digest)) GROUP BY body),
+lines AS (SELECT array_to_string(c, ' ') AS line, min(name) AS licence FROM g WHERE kind = 'line' GROUP BY 1),
+n AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices FROM (SELECT r, unnest(c) AS line FROM g WHERE kind = 'doc') JOIN lines USING (line) GROUP BY r)
+SELECT doc_id, whole AS canonical_sha256, licence, coalesce(notices, '') AS notices FROM g LEFT JOIN texts USING (body) LEFT JOIN n USING (r) WHERE kind = 'doc'
+"""
+
+
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), {_WS}, '', 'g') AS norm FROM documents),
 k AS (SELECT doc_id, norm, sha256(norm) AS text_sha256,
@@ -140,4 +175,4 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
+    return {"op2_license_scan": op2_sql(), "op3_exact_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_mixing": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
