@@ -15,7 +15,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -99,19 +99,20 @@ def with_statistics(df: DataFrame, text: str, to: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """Means and Cholesky factors of the classes 0 and 1, log priors, and the scale of the score."""
+    """Means, Cholesky factors and their inverses of the classes 0 and 1, log priors, and the scale of the score."""
 
     means: list[np.ndarray]
     factors: list[np.ndarray]
     offsets: list[float]
     scale: float = 1.0
     shift: float = 0.0
+    inverses: list[np.ndarray] = field(default_factory=list)
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log p(1, x) - log p(0, x)."""
         out = []
-        for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, inverse, offset in zip(self.means, self.inverses, self.offsets, strict=True):
+            z = inverse @ (x - mean).T
             out.append(offset - 0.5 * (z * z).sum(0))
         return out[1] - out[0]
 
@@ -169,6 +170,7 @@ def fit(rows: DataFrame, to_pooled: float = TO_POOLED, to_sphere: float = TO_SPH
         factor = np.linalg.cholesky(cov)
         model.means.append(total / count if count else mean_all)
         model.factors.append(factor)
+        model.inverses.append(np.linalg.inv(factor))
         model.offsets.append(math.log((count + 1) / (n + 2)) - float(np.log(np.diag(factor)).sum()))
     if all(s[0] for s in sums):
         # rows whose hash falls below a share chosen for about so many, ten times that at most: tasks send no others
@@ -229,7 +231,11 @@ def quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, columns unchanged, without the rows whose score is below the threshold."""
+    """docs, columns unchanged, without the rows whose score is below the threshold.
+
+    A null or empty text has the score of no words, as has any text without words; repeated rows
+    stay or go together; texts of any length count whole. An empty table gives an empty one.
+    """
     x = own_name(docs, "_x")
     rows, _ = stored(with_statistics(docs, text, x), "rows")
     model = fit(_training(rows.select(column(doc_id).alias("doc_id"), F.col(x).alias("x")), labels))
