@@ -146,5 +146,7 @@ class InPlace:
 
     def kept(self, keep: DataFrame) -> DataFrame:
         """The rows whose number is in keep (row), with the columns of df."""
-        wanted = keep.select(F.col("row").alias(self.row)).withColumn(self.part, self._part(F.col(self.row))).hint("shuffle_hash")
+        wanted = keep.select(F.col("row").alias(self.row)).withColumn(self.part, self._part(F.col(self.row)))
+        # dealt as the rows lie, whatever keep was dealt by before
+        wanted = wanted.repartition(self.buckets, self.part).hint("shuffle_hash")
         return self.rows.join(wanted, [self.part, self.row], "left_semi").select(*(column(c) for c in self.columns))
