@@ -20,13 +20,19 @@ SAMPLES = "op string, queue_wait_ns long, service_ns long, end_to_end_ns long, s
 def percentiles(rows: DataFrame, by: str, value: str, ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """(by, p50, p95, ...): the value at place floor(p * (n - 1)) of each group in order, an exact rank.
 
-    Ranks come from counts of equal values, so no task holds more of a group than its
-    distinct values in a window, and nulls are left out.
+    Ranks come from counts of equal values, in ranges of values: counts run up inside each range,
+    and the sums of the ranges run up over the ranges, so no task holds more than a range of the
+    distinct values or one row for each range. Nulls are left out.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("k"), F.col(value).alias("x")).groupBy("k", "x").agg(F.count("*").alias("c"))
+    dealt = counts.repartitionByRange(parts, "k", "x").withColumn("range", F.spark_partition_id()).persist()
+    sums = dealt.groupBy("k", "range").agg(F.sum("c").alias("s"))
+    before = sums.select("k", "range", (F.sum("s").over(Window.partitionBy("k").orderBy("range")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy("k")).alias("n"))
+    run = dealt.withColumn("upto", F.sum("c").over(Window.partitionBy("range", "k").orderBy("x"))).join(before.withColumnRenamed("k", "k2"), ["range"]).where(F.col("k").eqNullSafe(F.col("k2")))
+    run = run.withColumn("upto", F.col("upto") + F.col("before"))
     name = lambda p: f"p{p * 100:g}".replace(".", "_")
-    return run.groupBy(by).agg(*(F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col(value))).alias(name(p)) for p in ps))
+    return run.groupBy(F.col("k").alias(by)).agg(*(F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("n") - 1)), F.col("x"))).alias(name(p)) for p in ps))
 
 
 def latency(samples: DataFrame, column: str = "end_to_end_ns") -> DataFrame:

@@ -15,6 +15,8 @@ from nimbusvec.functions.distance import Metric, to_many, to_own
 
 #: Extra room of the beam when distances are estimates.
 ESTIMATE_SLACK = 64
+#: Rows of a graph up to which a step of its build takes all distances at once, and rows that a build's search expands at a time.
+STEP_ROWS, EXPAND = 1 << 15, 4
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -43,47 +45,61 @@ def medoid_of(vectors: np.ndarray, ids: np.ndarray) -> int:
     return int(np.lexsort((ids, d))[0])
 
 
-def beam_search(graph: Graph, count: int, score: Score, width: int, visited_too: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _by_distance(dist: np.ndarray, ids: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The order of each row's distances, ties by the ids that are asked for the rows with any."""
+    order = np.argsort(dist, axis=1, kind="stable")
+    near = np.take_along_axis(dist, order, axis=1)
+    tied = np.flatnonzero(((near[:, 1:] == near[:, :-1]) & np.isfinite(near[:, 1:])).any(1))
+    if len(tied):
+        order[tied] = np.lexsort((ids(tied), dist[tied]), axis=1)
+    return order
+
+
+def beam_search(graph: Graph, count: int, score: Score, width: int, visited_too: bool = False, expand: int = 1) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """For queries 0 to count - 1 the width nearest rows found and their distances, nearest first (-1 and inf for none).
 
-    Every round expands the nearest row of each beam that isn't expanded yet, scores its
-    unseen neighbours and trims the beam; a query ends when all of its beam is expanded. With
-    visited_too, also all rows that each query scored.
+    Every round expands the nearest rows (expand of them) of each beam that aren't expanded yet,
+    scores their unseen neighbours and trims the beam; a query ends when all of its beam is
+    expanded. With visited_too, also all rows that each query scored.
     """
     n, r = graph.neighbours.shape
-    width = min(width, n)
+    width, room = min(width, n), expand * r
     seen = np.zeros((count, n), bool)
-    rows = np.full((count, width + r), -1, np.int64)
-    dist = np.full((count, width + r), np.inf)
-    done = np.ones((count, width + r), bool)
-    log: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(count)] if visited_too else []
+    rows = np.full((count, width + room), -1, np.int64)
+    dist = np.full((count, width + room), np.inf)
+    done = np.ones((count, width + room), bool)
     everyone = np.arange(count)
     first = np.full((count, 1), graph.medoid)
     rows[:, 0], dist[:, 0], done[:, 0] = graph.medoid, score(everyone, first)[:, 0], False
     seen[:, graph.medoid] = True
-    for q in range(count if visited_too else 0):
-        log[q].append((np.array([graph.medoid]), dist[q, :1].copy()))
     active = everyone
     while len(active):
-        at = np.argmin(np.where(done[active, :width], np.inf, np.arange(width)), axis=1)
-        done[active, at] = True
-        new = graph.neighbours[rows[active, at]]
+        own, own_done = rows[active], done[active]
+        nth = np.cumsum(~own_done[:, :width], axis=1)
+        front = ~own_done[:, :width] & (nth <= expand)
+        new = np.full((len(active), expand, r), -1, np.int64)
+        who, slot = np.nonzero(front)
+        new[who, nth[who, slot] - 1] = graph.neighbours[own[who, slot]]
+        own_done[who, slot] = True
+        new = new.reshape(len(active), room)
+        if expand > 1:  # two rows may share a neighbour
+            new.sort(axis=1)
+            new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
         fresh = (new >= 0) & ~seen[active[:, None], new]
         who, slot = np.nonzero(fresh)
         seen[active[who], new[who, slot]] = True
-        d = np.where(fresh, score(active, np.where(fresh, new, 0)), np.inf)
-        rows[active, width:], dist[active, width:], done[active, width:] = np.where(fresh, new, -1), d, ~fresh
-        if visited_too:
-            for k, q in enumerate(active):
-                if fresh[k].any():
-                    log[q].append((new[k][fresh[k]], d[k][fresh[k]]))
-        ids = np.where(rows[active] >= 0, graph.ids[rows[active]], np.iinfo(np.int64).max)
-        order = np.lexsort((ids, dist[active]), axis=1)
-        for table in (rows, dist, done):
-            table[active] = np.take_along_axis(table[active], order, axis=1)
-        rows[active, width:], dist[active, width:], done[active, width:] = -1, np.inf, True
-        active = active[~done[active, :width].all(1)]
-    visited = [(np.concatenate([a for a, _ in x]), np.concatenate([b for _, b in x])) for x in log]
+        own[:, width:], own_done[:, width:] = np.where(fresh, new, -1), ~fresh
+        own_dist = dist[active]
+        own_dist[:, width:] = np.where(fresh, score(active, np.where(fresh, new, 0)), np.inf)
+        order = _by_distance(own_dist, lambda tied, own=own: np.where(own[tied] >= 0, graph.ids[own[tied]], np.iinfo(np.int64).max))[:, :width]
+        rows[active, :width], dist[active, :width] = np.take_along_axis(own, order, axis=1), np.take_along_axis(own_dist, order, axis=1)
+        left = np.take_along_axis(own_done, order, axis=1)
+        done[active, :width] = left
+        active = active[~left.all(1)]
+    visited = []
+    for q in range(count if visited_too else 0):
+        at = np.flatnonzero(seen[q])
+        visited.append((at, score(np.array([q]), at[None])[0]))
     return rows[:, :width], dist[:, :width], visited
 
 
@@ -92,27 +108,26 @@ def prune(vectors: np.ndarray, ids: np.ndarray, source: int, candidates: np.ndar
 
     keep_all_if_small keeps every candidate if they are no more than degree, unexamined.
     """
-    best: dict[int, float] = {}
-    for c, d in zip(candidates.tolist(), distances.tolist(), strict=True):
-        if c != source and c >= 0 and d < best.get(c, np.inf):
-            best[c] = d
-    c = np.fromiter(best, np.int64, len(best))
-    d = np.fromiter(best.values(), float, len(best))
+    other = (candidates >= 0) & (candidates != source)
+    c, d = candidates[other], distances[other]
     order = np.lexsort((ids[c], d))
     c, d = c[order], d[order]
+    first = np.sort(np.unique(c, return_index=True)[1])  # of a repeated one, its least distance
+    c, d = c[first], d[first]
     if keep_all_if_small and len(c) <= degree:
         return c
-    kept: list[int] = []
-    alive = np.ones(len(c), bool)
-    for i in range(len(c)):
-        if not alive[i]:
-            continue
-        kept.append(int(c[i]))
+    l2, kept, v = Metric(metric) is Metric.L2, [], vectors[c]
+    while len(c):
+        kept.append(int(c[0]))
         if len(kept) == degree:
             break
-        rest = np.flatnonzero(alive[i + 1 :]) + i + 1
-        between = to_many(metric, vectors[c[i]][None], vectors[c[rest]])[0]
-        alive[rest[alpha * between <= d[rest]]] = False
+        if l2:
+            diff = v[1:] - v[0]
+            between = np.einsum("ij,ij->i", diff, diff)
+        else:
+            between = 1.0 - v[1:] @ v[0]
+        alive = alpha * between > d[1:]
+        c, d, v = c[1:][alive], d[1:][alive], v[1:][alive]
     return np.array(kept, np.int64)
 
 
@@ -134,15 +149,28 @@ def _add_reverse(graph: Graph, edges: list[tuple[int, int]], alpha: float, metri
     for s, t in edges:
         to.setdefault(t, []).append(s)
     for t, sources in to.items():
-        have = graph.neighbours[t][graph.neighbours[t] >= 0]
-        new = np.setdiff1d(np.array(sources), have)
-        both = np.concatenate([have, new])
+        both = [x for x in graph.neighbours[t].tolist() if x >= 0]
+        have = set(both)
+        both += sorted(set(sources) - have)
         if len(both) > graph.degree:
-            both = prune(graph.vectors, graph.ids, t, both, to_many(metric, graph.vectors[t][None], graph.vectors[both])[0], graph.degree, alpha, metric)
+            near = np.array(both)
+            both = prune(graph.vectors, graph.ids, t, near, to_many(metric, graph.vectors[t][None], graph.vectors[near])[0], graph.degree, alpha, metric)
         graph.neighbours[t] = -1
         graph.neighbours[t, : len(both)] = both
 
 
+def _step_score(graph: Graph, queries: np.ndarray, metric: Metric | str) -> Score:
+    """Distances for a step of a build: one matrix product where all rows fit, else as they are asked for."""
+    if len(graph.vectors) > STEP_ROWS:
+        return exact_score(graph, queries, metric)
+    near = queries @ graph.vectors.T
+    if Metric(metric) is Metric.L2:
+        near = np.maximum((queries * queries).sum(1)[:, None] + (graph.vectors * graph.vectors).sum(1)[None] - 2 * near, 0)
+    else:
+        near = 1.0 - near
+    return lambda q, at: near[q[:, None], at]
+
+
 def build_graph(ids: np.ndarray, vectors: np.ndarray, degree: int, width: int, alpha: float, seed: int, rounds: int = 2, step: int = 128, metric: Metric | str = Metric.L2) -> Graph:
     """A graph from random neighbours, every row inserted anew in a seeded random order, rounds times.
 
@@ -157,7 +185,7 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, degree: int, width: int, a
         order = rng.permutation(n)
         for i in range(0, n, step):
             rows = order[i : i + step]
-            _, _, seen = beam_search(graph, len(rows), exact_score(graph, vectors[rows], metric), width, visited_too=True)
+            _, _, seen = beam_search(graph, len(rows), _step_score(graph, vectors[rows], metric), width, visited_too=True, expand=EXPAND)
             edges = []
             for row, (near, d) in zip(rows.tolist(), seen, strict=True):
                 have = graph.neighbours[row][graph.neighbours[row] >= 0]
@@ -191,14 +219,12 @@ def reached(graph: Graph, limit: int | None = None) -> np.ndarray:
 
 def connect(graph: Graph, metric: Metric | str) -> int:
     """Make every row reachable: one that isn't takes the last slot of its nearest reached row that loses nothing by it."""
-    fixed = 0
-    while True:
-        ok = np.zeros(len(graph.ids), bool)
-        ok[reached(graph)] = True
-        lost = np.flatnonzero(~ok)
-        if not len(lost):
-            return fixed
-        row = int(lost[np.argmin(graph.ids[lost])])
+    ok, fixed = np.zeros(len(graph.ids), bool), 0
+    ok[reached(graph)] = True
+    lost = np.flatnonzero(~ok)
+    for row in lost[np.argsort(graph.ids[lost], kind="stable")].tolist():
+        if ok[row]:
+            continue
         near = np.flatnonzero(ok)
         near = near[np.lexsort((graph.ids[near], to_many(metric, graph.vectors[row][None], graph.vectors[near])[0]))]
         free = near[(graph.neighbours[near] < 0).any(1)]
@@ -215,21 +241,35 @@ def connect(graph: Graph, metric: Metric | str) -> int:
                 at = int(np.argmax(slots < 0)) if (slots < 0).any() else len(slots) - 1
                 graph.neighbours[row, at] = moved
         fixed += 1
+        front = np.array([row])  # what it reaches is reached now
+        while len(front):
+            ok[front] = True
+            front = np.unique(graph.neighbours[front])
+            front = front[front >= 0]
+            front = front[~ok[front]]
+    return fixed
 
 
 def insert_rows(graph: Graph, ids: np.ndarray, vectors: np.ndarray, width: int, alpha: float, metric: Metric | str = Metric.L2, keep_all_if_small: bool = True) -> Graph:
-    """The graph with new rows, one after the other: the final beam of a search, pruned, becomes the row's neighbours.
+    """The graph with new rows: the final beam of a search, pruned, becomes a row's neighbours, which get the edge back.
 
-    The first row of an empty graph becomes its medoid.
+    Rows go in steps of up to an eighth of the graph, each searched on the graph as it stood. The
+    first row of an empty graph becomes its medoid.
     """
     if not len(ids):
         return graph
     old = len(graph.ids)
     grown = Graph(np.concatenate([graph.ids, ids]), np.concatenate([graph.vectors, vectors]) if old else vectors, np.concatenate([graph.neighbours, np.full((len(ids), graph.degree), -1, np.int64)]), graph.medoid if old else 0)
-    for row in range(max(old, 1), len(grown.ids)):
-        rows, d, _ = beam_search(grown, 1, exact_score(grown, grown.vectors[row][None], metric), width)
-        kept = prune(grown.vectors, grown.ids, row, rows[0], d[0], grown.degree, alpha, metric, keep_all_if_small)
-        grown.neighbours[row, : len(kept)] = kept
-        _add_reverse(grown, [(row, t) for t in kept.tolist()], alpha, metric)
+    at, n = max(old, 1), len(grown.ids)
+    while at < n:
+        rows = np.arange(at, min(n, at + max(1, min(128, at // 8))))
+        found, d, _ = beam_search(grown, len(rows), exact_score(grown, grown.vectors[rows], metric), width)
+        edges = []
+        for i, row in enumerate(rows.tolist()):
+            kept = prune(grown.vectors, grown.ids, row, found[i], d[i], grown.degree, alpha, metric, keep_all_if_small)
+            grown.neighbours[row, : len(kept)] = kept
+            edges += [(row, t) for t in kept.tolist()]
+        _add_reverse(grown, edges, alpha, metric)
+        at = int(rows[-1]) + 1
     connect(grown, metric)
     return grown

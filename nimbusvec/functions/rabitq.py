@@ -20,12 +20,14 @@ _EPS = 1e-5
 
 @dataclass
 class Codec:
-    """What is shared by all codes: rotation, rotated centroid, bits and scale."""
+    """What is shared by all codes: rotation, rotated centroid, bits and scale; and by all shards that lie at centres: these, and each shard's."""
 
     rotation: np.ndarray
     centroid: np.ndarray
     bits: int
     scale: float
+    centres: np.ndarray | None = None
+    of_centre: np.ndarray | None = None
 
     @property
     def dim(self) -> int:
@@ -107,7 +109,8 @@ def prepare(codec: Codec, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def estimate(codec: Codec, prepared: tuple[np.ndarray, np.ndarray, np.ndarray], codes: Codes, at: np.ndarray) -> np.ndarray:
     """Estimated squared distances of query i to the codes at[i], an array (queries, candidates)."""
     turned, add, half_sum = prepared
-    inner = np.einsum("ik,ijk->ij", turned, codes.levels[at].astype(np.float64))
+    # levels are small whole numbers: gathered as bytes, multiplied in single precision
+    inner = np.matmul(codes.levels[at].astype(np.float32), turned.astype(np.float32)[:, :, None])[:, :, 0].astype(np.float64)
     return codes.add[at] + add[:, None] + codes.rescale[at] * (inner + half_sum[:, None] * ((1 << codec.bits) - 1))
 
 

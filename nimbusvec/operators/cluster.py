@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -108,6 +110,16 @@ def balanced(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2", s
     return centres, own
 
 
+def centres_of(vectors: DataFrame, k: int, seed: int = 1234, most: int = SAMPLE_ROWS) -> np.ndarray:
+    """k centres by some rounds of k-means on about so many rows at most, those whose hash falls below a share."""
+    share = math.ceil(min(1.0, min(most, 200 * k) / max(1, vectors.count())) * (1 << 30))
+    rows = vectors.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < share).orderBy("id").limit(2 * most).select("vec").collect()
+    points = np.array([r.vec for r in rows or vectors.orderBy("id").select("vec").limit(k).collect()], float)
+    if not len(points):
+        return np.zeros((1, 1))
+    return lloyd(points, min(k, len(points)), seed, rounds=20)[0]
+
+
 def _nth(rows: DataFrame, n: int) -> Row:
     """The n-th (from 1) of rows (gap, id) in their order, found in its part of a dealing by range."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

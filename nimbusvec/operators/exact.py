@@ -1,21 +1,28 @@
-"""Exact nearest neighbours: brute force over all vectors, for a set of queries in blocks."""
+"""Exact nearest neighbours: brute force over all vectors, blocks of queries against blocks of vectors.
+
+Queries stay a DataFrame: each task packs its own into blocks, which meet the blocks of vectors
+by a product of the two tables. Their table goes to every task only where its rows are counted
+and few; else Spark pairs partitions of both, and nothing but k rows for each query and task is
+shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nimbusvec.functions.distance import Metric, distance
-from nimbusvec.schema import RESULTS
 
-#: Most bytes of queries that one pass over the vectors sends to every task.
+#: Most bytes of queries that are sent to every task.
 QUERY_BYTES = 64 << 20
+#: Rows of a block of queries and of one of vectors, at most.
+QUERY_ROWS, VECTOR_ROWS = 2048, 4096
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -24,18 +31,36 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")
 
 
-def query_blocks(queries: DataFrame, most: int = QUERY_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, a bounded number at a time."""
-    ids, vecs, size = [], [], 0
-    for row in queries.select("qid", "vec").toLocalIterator():
-        ids.append(row.qid)
-        vecs.append(row.vec)
-        size += 8 * len(row.vec)
-        if size >= most:
-            yield np.array(ids, np.int64), np.array(vecs, float)
-            ids, vecs, size = [], [], 0
-    if ids:
-        yield np.array(ids, np.int64), np.array(vecs, float)
+def packed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(block, keys, vecs, dim): rows (key, vec) as packed arrays, at most so many a block; blocks are numbered by their task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for i in range(0, b.num_rows, most):
+                part = b.slice(i, most)
+                v = matrix(part.column(1))
+                keys = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([keys.tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], ["block", "keys", "vecs", "dim"])
+                at += 1
+
+    return rows.select(F.col(key).cast("long").alias("k"), "vec").mapInArrow(run, "block long, keys binary, vecs binary, dim int")
+
+
+def unpacked(keys: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(keys, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim)
+
+
+def with_queries(rows: DataFrame, queries: DataFrame, most: int = QUERY_ROWS) -> DataFrame:
+    """Each of rows with each block of queries (qid, vec), as columns block, qids, qvecs, qdim."""
+    spark = rows.sparkSession
+    # a row holds megabytes: few of them may go to Python at once
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    blocks = packed(queries, "qid", most).select("block", F.col("keys").alias("qids"), F.col("vecs").alias("qvecs"), F.col("dim").alias("qdim"))
+    counted = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
+    return rows.crossJoin(F.broadcast(blocks) if 8 * counted[0] * (counted[1] or 0) <= QUERY_BYTES else blocks)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -75,60 +100,49 @@ def nearest_of(q: np.ndarray, qids: np.ndarray, v: np.ndarray, ids: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _block(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric: Metric | str, without_self: bool) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((qids, q))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = sent.value
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, v = b.column(0).to_numpy(), matrix(b.column(1))
-            if v.shape[1] != q.shape[1]:
-                raise ValueError("queries and vectors differ in dimension")
-            found = nearest_of(q, qids, v, ids, k, metric, without_self)
-            row, i, d = (np.concatenate(c) for c in zip(best, found, strict=True))
-            order = np.lexsort((i, d, row))
-            row, i, d = row[order], i[order], d[order]
-            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
-            best = (row[kept], i[kept], d[kept])
-        row, i, d = best
-        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(i), pa.array(d)], ["qid", "id", "distance"])
-
-    return vectors.select("id", "vec").mapInArrow(run, "qid long, id long, distance double")
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric | str = Metric.L2, without_self: bool = False) -> DataFrame:
     """(qid, rank, id, distance): the k nearest vectors (id, vec) of each query (qid, vec), nearest first, ties by id.
 
-    Each task keeps k rows for each query, so k rows for each query and task are all that is
-    shuffled. Queries are sent in blocks of bounded size, one pass over the vectors each.
+    Each task keeps k rows for each of its queries, so k rows for each query and task are all
+    that is shuffled.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    parts = [top_k(_block(vectors, qids, q, k, metric, without_self), k) for qids, q in query_blocks(queries)]
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], RESULTS)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
 
-def distances(vectors: DataFrame, queries: DataFrame, metric: Metric | str = Metric.L2) -> DataFrame:
-    """(qid, id, distance) of a bounded set of queries to all vectors, by column expressions alone.
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, ...]] = {}
+        asked: dict[int, np.ndarray] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                (ids, v), (qids, q) = unpacked(r["keys"], r["vecs"], r["dim"]), unpacked(r["qids"], r["qvecs"], r["qdim"])
+                if v.shape[1] != q.shape[1]:
+                    raise ValueError("queries and vectors differ in dimension")
+                found = nearest_of(q, qids, v, ids, k, metric, without_self)
+                if r["block"] in best:
+                    row, i, d = (np.concatenate(c) for c in zip(best[r["block"]], found, strict=True))
+                    order = np.lexsort((i, d, row))
+                    row, i, d = row[order], i[order], d[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    found = (row[kept], i[kept], d[kept])
+                best[r["block"]], asked[r["block"]] = found, qids
+        for block, (row, i, d) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(asked[block][row]), pa.array(i), pa.array(d)], ["qid", "id", "distance"])
+
+    pairs = with_queries(packed(vectors, "id", VECTOR_ROWS).select("keys", "vecs", "dim"), queries)
+    return top_k(pairs.mapInArrow(run, "qid long, id long, distance double"), k)
+
+
+def distances(vectors: DataFrame, queries: DataFrame, metric: Metric | str | Callable[[Column, Column], Column] = Metric.L2) -> DataFrame:
+    """(qid, id, distance) of a set of queries to all vectors, by column expressions alone; metric may be one.
 
     The readable form of what knn() computes, and the one to filter by radius. The queries
-    are sent to every task in blocks whose size is checked.
+    are sent to every task if they are counted and few; else partitions of both are paired.
     """
-    spark, out = vectors.sparkSession, None
-    for qids, q in query_blocks(queries):
-        block = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(qids, q, strict=True)], "qid long, qvec array<double>")
-        part = vectors.select("id", "vec").join(F.broadcast(block))
-        part = part.select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "qid long, id long, distance double")
+    asked = queries.select("qid", F.col("vec").alias("qvec"))
+    n, dim = asked.agg(F.count("*"), F.max(F.size("qvec"))).first()
+    pairs = vectors.select("id", "vec").crossJoin(F.broadcast(asked) if 8 * n * (dim or 0) <= QUERY_BYTES else asked)
+    of = metric if callable(metric) else lambda a, b: distance(metric, a, b)
+    return pairs.select("qid", "id", of(F.col("qvec"), F.col("vec")).alias("distance"))
 
 
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: Metric | str = Metric.L2) -> DataFrame:

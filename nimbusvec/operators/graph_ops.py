@@ -50,7 +50,7 @@ def prune_table(pairs: DataFrame, vectors: DataFrame, degree: int, alpha: float,
     return rows.groupBy("src").applyInPandas(run, "src long, pos int, dst long")
 
 
-def frontier_search(nodes: DataFrame, entry: DataFrame, queries: DataFrame, width: int, k: int, metric: str = "l2", rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
+def frontier_search(nodes: DataFrame, entry: DataFrame, queries: DataFrame, width: int, k: int, metric: str = "l2", checkpoint_every: int = 4) -> DataFrame:
     """(qid, rank, id, distance): best-first search of one global graph, one join for each round and all queries together.
 
     A round expands every unexpanded node of every beam, joins their neighbours' vectors,
@@ -63,7 +63,8 @@ def frontier_search(nodes: DataFrame, entry: DataFrame, queries: DataFrame, widt
     first = q.join(entry.select("id"), how="cross").join(vec, "id").select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("distance"), F.lit(False).alias("expanded"))
     beam, seen = first.checkpoint(), first.select("qid", "id").checkpoint()
     w = Window.partitionBy("qid").orderBy("distance", "id")
-    for step in range(rounds):
+    step = 0
+    while True:
         front = beam.where(~F.col("expanded")).select("qid", "id")
         if front.isEmpty():
             break
@@ -72,6 +73,7 @@ def frontier_search(nodes: DataFrame, entry: DataFrame, queries: DataFrame, widt
         both = beam.withColumn("expanded", F.lit(True)).unionByName(scored)
         beam = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= width).drop("r").checkpoint()
         seen = seen.unionByName(new.select("qid", "id"))
-        if step % checkpoint_every == checkpoint_every - 1:
+        step += 1
+        if step % checkpoint_every == 0:
             seen = seen.checkpoint()
     return beam.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "distance")

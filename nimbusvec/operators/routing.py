@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nimbusvec.functions.distance import distance, to_many
+from nimbusvec.sources.index_files import numbered
 
 # Weight of a query in flight, queries in a batch for each client.
 LOAD_WEIGHT = 0.2
@@ -42,9 +43,11 @@ def limits(loads: DataFrame, batch: int = BATCH) -> DataFrame:
 
 
 def route_batches(queries: DataFrame, clients: DataFrame, limit: DataFrame, batch: int = BATCH, metric: str = "l2") -> DataFrame:
-    """(qid, client): queries (qid, vec) in order of qid, in batches of batch * clients, each to its nearest client with room left.
+    """(qid, client): queries (qid, vec) in order of qid, batch * clients of them a batch, each to its nearest client with room left.
 
-    Batches are independent: each is one group, and the order within it is the order of qid.
+    Where no client has room left, a query goes to the farthest one, the last that was asked.
+    Batches count places, not ids. They are independent: each is one group, and the order
+    within it is the order of qid. More than 4096 clients are refused.
     """
     rows = clients.join(limit, "client").orderBy("client").limit(4097).collect()
     if len(rows) > 4096:
@@ -52,7 +55,8 @@ def route_batches(queries: DataFrame, clients: DataFrame, limit: DataFrame, batc
     names = np.array([r.client for r in rows])
     centres = np.array([r.vec for r in rows], float)
     room = np.array([r.capacity for r in rows])
-    numbered = queries.withColumn("batch", F.floor(F.col("qid") / F.lit(max(1, batch * len(rows)))))
+    places = numbered(queries, "qid").select("qid", F.floor(F.col("place") / F.lit(max(1, batch * len(rows)))).alias("batch"))
+    dealt = queries.select("qid", "vec").join(places, "qid")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("qid")
@@ -60,13 +64,13 @@ def route_batches(queries: DataFrame, clients: DataFrame, limit: DataFrame, batc
         used, out = np.zeros(len(names), int), []
         for near in order:
             free = near[used[near] < room[near]]
-            pick = free[0] if len(free) else near[0]
+            pick = free[0] if len(free) else near[-1]
             used[pick] += 1
             out.append(names[pick])
         return pd.DataFrame({"qid": g.qid.to_numpy(), "client": out})
 
     kind = clients.schema["client"].dataType
-    return numbered.groupBy("batch").applyInPandas(run, T.StructType([T.StructField("qid", T.LongType()), T.StructField("client", kind)]))
+    return dealt.groupBy("batch").applyInPandas(run, T.StructType([T.StructField("qid", T.LongType()), T.StructField("client", kind)]))
 
 
 def routing_centroid(index_nodes: DataFrame, dim: int) -> DataFrame:

@@ -4,7 +4,9 @@ An index is one row for each shard, holding that shard's graph and codes as pack
 rows are immutable, and every change makes a new version. Shards are built and searched
 independently, one task each, and their answers merged by distance, so a search over many
 shards is a union of graph searches. With one shard it is a search of one global graph.
-Unless their number is given, shards are bounded in rows (about SHARD_ROWS), queries are sent in blocks of bounded bytes.
+Unless their number is given, shards are bounded in rows (about SHARD_ROWS). Rows are placed by
+a hash of their id, or, with placement "centroid", near the centres of a sample, so that a query
+need visit only the probe nearest of them. Queries stay a DataFrame of blocks.
 """
 
 from __future__ import annotations
@@ -18,16 +20,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nimbusvec.functions import rabitq
 
+from nimbusvec.functions.distance import Metric, to_many
 from nimbusvec.functions.layout import aligned, node_size, pack_pointer
 from nimbusvec.functions.proximity import ESTIMATE_SLACK, Graph, beam_search, build_graph, exact_score, insert_rows, reached
-from nimbusvec.operators.exact import matrix, query_blocks, top_k
-from nimbusvec.schema import NODES, RESULTS, SHARDS, Params, check_dim
+from nimbusvec.operators.cluster import centres_of
+from nimbusvec.operators.exact import matrix, top_k, unpacked, with_queries
+from nimbusvec.schema import NODES, SHARDS, Params, check_dim
 
 #: Rows of a shard beyond which building and inserting ask for more shards.
 SHARD_ROWS = 100_000
+#: Queries that go to a shard at once.
+QUERY_ROWS = 32_768
 
 
 def _pack(shard: int, graph: Graph, codes: rabitq.Codes, bits: int) -> dict:
@@ -90,6 +97,65 @@ def _counted(params: Params, n: int) -> Params:
     return params if params.shards else replace(params, shards=default_shards(n), more_shards=True)
 
 
+def _nearest(vectors: DataFrame, centres: np.ndarray, take: int) -> DataFrame:
+    """(id, vec, centre): each vector with its nearest centres, a row for each."""
+    spark = vectors.sparkSession
+    sent = spark.sparkContext.broadcast(centres)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(to_many(Metric.L2, matrix(b.column(1)), sent.value), axis=1, kind="stable")[:, :take]
+                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["id", "vec", "centre"])
+
+    return vectors.select("id", "vec").mapInArrow(run, T.StructType([*vectors.select("id", "vec").schema.fields, T.StructField("centre", T.IntegerType())]))
+
+
+def _placed(vectors: DataFrame, codec: rabitq.Codec, params: Params) -> tuple[rabitq.Codec, Params]:
+    """The codec with the centres that shards lie at, and params with as many shards as those make.
+
+    A centre with more rows than two shards are meant for has several of them, dealt by hash.
+    """
+    centres = centres_of(vectors, params.shards, params.seed)
+    sizes = {r.centre: r["count"] for r in _nearest(vectors, centres, 1).groupBy("centre").count().collect()}  # one row for each centre
+    shares = [max(1, -(-sizes.get(c, 0) // (2 * SHARD_ROWS))) for c in range(len(centres))]
+    of_centre = np.repeat(np.arange(len(centres)), shares)
+    return replace(codec, centres=centres, of_centre=of_centre), replace(params, shards=len(of_centre))
+
+
+def _with_shard(vectors: DataFrame, codec: rabitq.Codec, params: Params) -> DataFrame:
+    """(id, vec, shard)."""
+    if codec.centres is None:
+        return vectors.select("id", "vec").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(params.shards)).cast("int"))
+    first = np.searchsorted(codec.of_centre, np.arange(len(codec.centres)))
+    shares = np.bincount(codec.of_centre, minlength=len(codec.centres))
+    pick = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("centre") + 1)
+    return _nearest(vectors, codec.centres, 1).select("id", "vec", (pick(first) + F.pmod(F.xxhash64("id"), pick(shares))).cast("int").alias("shard"))
+
+
+def stitched(vectors: DataFrame, params: Params, parts: int, copies: int = 2) -> DataFrame:
+    """(id, vec, neighbors, is_entry): one graph over all vectors, for any number of them, of degree params.degree at most.
+
+    Every vector goes to the parts of its copies nearest centres; each part's graph is built by
+    one task, and the edges of a vector's copies are put together. is_entry marks the medoid of
+    each part: searches start from all of them, and reach every vector. ids must be distinct.
+    """
+    clean = check_dim(vectors.select("id", "vec"), params.dim)
+    centres = centres_of(clean, parts, params.seed)
+    own = replace(params, degree=max(1, params.degree // copies))
+
+    def make(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        ids = g.id.to_numpy()
+        graph = build_graph(ids, np.stack(g.vec).astype(float), own.degree, own.beam_width_construction, own.build_alpha, own.seed + int(key[0]), own.rounds, metric=own.metric)
+        return pd.DataFrame({"id": ids, "neighbors": [ids[x[x >= 0]] for x in graph.neighbours], "is_entry": np.arange(len(ids)) == graph.medoid})
+
+    built = _nearest(clean, centres, copies).groupBy("centre").applyInPandas(make, "id long, neighbors array<long>, is_entry boolean")
+    lists = built.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("neighbors")))).alias("neighbors"), F.max("is_entry").alias("is_entry"))
+    return clean.join(lists, "id")
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     """An index version. shards: table of SHARDS rows; codec: rotation, centroid and scale of its codes."""
@@ -109,6 +175,8 @@ class VectorIndex:
         params = params if params.shards else _counted(params, clean.count())
         mean = mean_vector(clean, params.dim) if mean is None else mean
         codec = rabitq.make_codec(mean, params.bits, params.seed)
+        if params.placement == "centroid" and params.shards > 1:
+            codec, params = _placed(clean, codec, params)
         sent = spark.sparkContext.broadcast((params, codec))
 
         def make(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +188,7 @@ class VectorIndex:
             graph = build_graph(g.id.to_numpy(), v, p.degree, p.beam_width_construction, p.build_alpha, p.seed + int(key[0]), p.rounds, metric=p.metric)
             return pd.DataFrame([_pack(int(key[0]), graph, rabitq.quantize(c, v), p.bits)])
 
-        placed = clean.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(params.shards)).cast("int"))
+        placed = _with_shard(clean, codec, params)
         return VectorIndex(params, placed.groupBy("shard").applyInPandas(make, SHARDS).persist(), codec)
 
     @staticmethod
@@ -143,22 +211,17 @@ class VectorIndex:
             raise ValueError("k must be at least 1 and at most the beam width")
         if mode not in ("exact", "quantized"):
             raise ValueError("mode is exact or quantized")
-        parts = [top_k(self._search_block(ids, q, k, mode, width, rerank), k) for ids, q in query_blocks(check_dim(queries, p.dim))]
-        if not parts:
-            return spark.createDataFrame([], RESULTS)
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
-
-    def _search_block(self, qids: np.ndarray, q: np.ndarray, k: int, mode: str, width: int, rerank: bool) -> DataFrame:
-        spark = self.shards.sparkSession
-        sent = spark.sparkContext.broadcast((self.params, self.codec, qids, q))
+        sent = spark.sparkContext.broadcast((p, self.codec))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p, codec, qids, q = sent.value
+            p, codec = sent.value
             for b in batches:
                 for row in b.to_pylist():
+                    qids, q = unpacked(row["qids"], row["qvecs"], row["qdim"])
+                    if codec.centres is not None and 0 < p.probe < len(codec.centres):
+                        near = np.argsort(to_many(Metric.L2, q, codec.centres), axis=1, kind="stable")[:, : p.probe]
+                        asks = (near == codec.of_centre[row["shard"]]).any(1)
+                        qids, q = qids[asks], q[asks]
                     graph = _unpack(row, p.dim, p.degree)
                     codes = _unpack_codes(row, p.dim, p.bits) if mode == "quantized" else None
                     step = max(1, (1 << 24) // max(1, row["n"]))
@@ -178,29 +241,23 @@ class VectorIndex:
                         at, slot = np.nonzero(np.isfinite(d))
                         yield pa.RecordBatch.from_arrays([pa.array(qids[i + at]), pa.array(ids[at, slot]), pa.array(d[at, slot])], ["qid", "id", "distance"])
 
-        return self.shards.mapInArrow(run, "qid long, id long, distance double")
+        pairs = with_queries(self.shards, check_dim(queries, p.dim), QUERY_ROWS)
+        return top_k(pairs.mapInArrow(run, "qid long, id long, distance double"), k)
 
     def visited(self, queries: DataFrame, width: int) -> DataFrame:
         """(qid, id, distance) of every vector that a search of that beam width scores: the builder's candidates."""
-        p, spark = self.params, self.shards.sparkSession
-        parts = []
-        for qids, q in query_blocks(check_dim(queries, p.dim)):
-            sent = spark.sparkContext.broadcast((qids, q))
-
-            def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                qids, q = sent.value
-                for b in batches:
-                    for row in b.to_pylist():
-                        graph = _unpack(row, p.dim, p.degree)
-                        _, _, seen = beam_search(graph, len(q), exact_score(graph, q, p.metric), width, visited_too=True)
-                        for qid, (rows, d) in zip(qids, seen, strict=True):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(graph.ids[rows]), pa.array(d)], ["qid", "id", "distance"])
-
-            parts.append(self.shards.mapInArrow(run, "qid long, id long, distance double"))
-        out = parts[0] if parts else spark.createDataFrame([], "qid long, id long, distance double")
-        for x in parts[1:]:
-            out = out.unionByName(x)
-        return out
+        p = self.params
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    qids, q = unpacked(row["qids"], row["qvecs"], row["qdim"])
+                    graph = _unpack(row, p.dim, p.degree)
+                    _, _, seen = beam_search(graph, len(q), exact_score(graph, q, p.metric), width, visited_too=True)
+                    for qid, (rows, d) in zip(qids, seen, strict=True):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), qid)), pa.array(graph.ids[rows]), pa.array(d)], ["qid", "id", "distance"])
+
+        return with_queries(self.shards, check_dim(queries, p.dim)).mapInArrow(run, "qid long, id long, distance double")
 
     # ---- maintenance ----
 
@@ -210,12 +267,12 @@ class VectorIndex:
         An index whose shards were not given is built anew on more of them where the rows ask for more.
         """
         p, spark = self.params, self.shards.sparkSession
-        known = self.nodes().select("id")
+        known = self.ids()
         new = check_dim(vectors.select("id", "vec"), p.dim).groupBy("id").agg(F.min("vec").alias("vec")).join(known, "id", "left_anti")
         if p.more_shards and default_shards(n := self.count() + new.count()) > p.shards:
             rows = self.nodes().select("id", "vec").unionByName(new)
             return replace(VectorIndex.build(rows, replace(p, shards=default_shards(n))), version=self.version + 1)
-        new = new.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(p.shards)).cast("int"))
+        new = _with_shard(new, self.codec, p)
         sent = spark.sparkContext.broadcast((p, self.codec))
 
         def grow(key: tuple, old: pd.DataFrame, add: pd.DataFrame) -> pd.DataFrame:
@@ -232,6 +289,16 @@ class VectorIndex:
 
     # ---- views ----
 
+    def ids(self) -> DataFrame:
+        """(id) of all nodes; vectors and edges are not read."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for raw in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, "<i8"))], ["id"])
+
+        return self.shards.select("ids").mapInArrow(run, "id long")
+
     def nodes(self) -> DataFrame:
         """One row for each node, as NODES; neighbours by id, offsets by place in the shard."""
         p = self.params
@@ -299,8 +366,8 @@ class VectorIndex:
         """Write the index below path, one Parquet partition for each shard; params and codec as one row."""
         p = self.params
         self.shards.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/shards")
-        row = (json.dumps(p.as_dict()), self.version, self.codec.rotation.T.ravel().tolist(), self.codec.centroid.tolist(), self.codec.scale)
-        self.shards.sparkSession.createDataFrame([row], "params string, version int, rotation array<double>, centroid array<double>, scale double").coalesce(1).write.mode("overwrite").parquet(f"{path}/codec")
+        row = (json.dumps(p.as_dict()), self.version, self.codec.rotation.T.ravel().tolist(), self.codec.centroid.tolist(), self.codec.scale, None if self.codec.centres is None else self.codec.centres.ravel().tolist(), None if self.codec.of_centre is None else self.codec.of_centre.tolist())
+        self.shards.sparkSession.createDataFrame([row], "params string, version int, rotation array<double>, centroid array<double>, scale double, centres array<double>, of_centre array<long>").coalesce(1).write.mode("overwrite").parquet(f"{path}/codec")
 
     @staticmethod
     def load(spark: SparkSession, path: str, expect: Params | None = None) -> VectorIndex:
@@ -313,6 +380,8 @@ class VectorIndex:
         if not np.allclose(turn @ turn.T, np.eye(p.dim), atol=1e-6):
             raise ValueError("the stored rotation is not orthogonal")
         codec = rabitq.Codec(turn, np.array(row.centroid), p.bits, row.scale)
+        if row.centres is not None:
+            codec = replace(codec, centres=np.array(row.centres).reshape(-1, p.dim), of_centre=np.array(row.of_centre))
         return VectorIndex(p, spark.read.schema(SHARDS).parquet(f"{path}/shards"), codec, row.version)
 
 

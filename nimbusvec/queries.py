@@ -14,12 +14,12 @@ from pyspark.sql.window import Window
 
 from nimbusvec.functions import breakdown as B
 from nimbusvec.functions import layout as L
-from nimbusvec.functions.distance import ip_negative
+from nimbusvec.functions.distance import ip_negative, l2_squared
 from nimbusvec.operators import cluster, exact, graph_ops, routing
 from nimbusvec.plans import index as ix
 from nimbusvec.plans.index import VectorIndex
 from nimbusvec.schema import Params
-from nimbusvec.sources import index_files, scratch, synthetic, vector_files
+from nimbusvec.sources import config, index_files, scratch, synthetic, vector_files
 from nimbusvec.streaming.inserts import IndexFolder
 
 K = 10
@@ -59,8 +59,7 @@ def dist_ip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dist_ip_negative(spark: SparkSession, d: str) -> DataFrame:
-    v, q = _vectors(spark, d), F.broadcast(_queries(spark, d).withColumnRenamed("vec", "qvec"))
-    return v.join(q).select("qid", "id", F.round(ip_negative(F.col("qvec"), F.col("vec")), 6).alias("distance"))
+    return _rounded(exact.distances(_vectors(spark, d), _queries(spark, d), ip_negative), "distance")
 
 
 def knn_exact_l2(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +140,9 @@ def medoid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _knn_graph(spark: SparkSession, d: str) -> DataFrame:
-    """(id, neighbors): the ten nearest others of every query row."""
-    near = exact.knn(_vectors(spark, d), _queries(spark, d), K, without_self=True)
+    """(id, neighbors): the ten nearest others of every row."""
+    v = _vectors(spark, d)
+    near = exact.knn(v, v.withColumnRenamed("id", "qid"), K, without_self=True)
     return near.groupBy(F.col("qid").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda p: p["id"]).alias("neighbors"))
 
 
@@ -161,15 +161,15 @@ def reverse_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def degree_stats(spark: SparkSession, d: str) -> DataFrame:
-    """In-degrees of the nearest-neighbour graph of the query rows."""
-    edges = _knn_graph(spark, d).select(F.explode("neighbors").alias("dst"))
-    degrees = edges.groupBy("dst").count()
+    """In-degrees of the nearest-neighbour graph, of rows that are nobody's neighbour too."""
+    edges = _knn_graph(spark, d).select(F.explode("neighbors").alias("dst")).groupBy("dst").count()
+    degrees = _vectors(spark, d).select(F.col("id").alias("dst")).join(edges, "dst", "left").select(F.coalesce("count", F.lit(0)).alias("count"))
     return degrees.agg(F.count("*").alias("n"), F.round(F.avg("count"), 6).alias("avg_degree"), F.max("count").alias("max_degree"), F.min("count").alias("min_degree"))
 
 
 def prune_l2(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    pairs = exact.knn(v, _queries(spark, d), 64, without_self=True).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
+    pairs = exact.knn(v, v.withColumnRenamed("id", "qid"), 64, without_self=True).select(F.col("qid").alias("src"), F.col("id").alias("dst"))
     return graph_ops.prune_table(pairs, v, 16, 1.2)
 
 
@@ -242,6 +242,132 @@ def stream_insert(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(folder.index().search(_queries(spark, d), K, beam_width=_n(spark, d)), "distance")
 
 
+def _quality(found: DataFrame, v: DataFrame, q: DataFrame, least: float) -> DataFrame:
+    """(queries, rows, distances_exact, recall_reached) of a search's answers against brute force."""
+    exact_too = found.join(v, "id").join(q.withColumnRenamed("vec", "qvec"), "qid").select("qid", (F.abs(F.col("distance") - l2_squared(F.col("vec"), F.col("qvec"))) < 1e-9).alias("same"))
+    rows = exact_too.agg(F.countDistinct("qid").alias("queries"), F.count("*").alias("rows"), F.bool_and("same").alias("distances_exact"))
+    got = exact.recall(found, exact.knn(v, q, K), (K,)).select((F.col("recall") >= least).alias("recall_reached"))
+    return rows.crossJoin(got)
+
+
+def beam_32_recall(spark: SparkSession, d: str) -> DataFrame:
+    q = _queries(spark, d)
+    return _quality(_index(spark, d).search(q, K), _vectors(spark, d), q, 0.9)
+
+
+def rabitq_4bit_recall(spark: SparkSession, d: str) -> DataFrame:
+    q = _queries(spark, d)
+    return _quality(_index(spark, d).search(q, K, "quantized"), _vectors(spark, d), q, 0.9)
+
+
+def probed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Eight shards at centres, of which a query visits three."""
+    q = _queries(spark, d)
+    return _quality(_index(spark, d, shards=8, placement="centroid", probe=3).search(q, K), _vectors(spark, d), q, 0.6)
+
+
+def stitched_full(spark: SparkSession, d: str) -> DataFrame:
+    """One graph put together from four overlapping parts, searched by joins; the beam holds every row."""
+    scratch.root(spark)
+    nodes = ix.stitched(_vectors(spark, d), _params(), 4).persist()
+    return _rounded(graph_ops.frontier_search(nodes, nodes.where("is_entry"), _queries(spark, d), _n(spark, d), K), "distance")
+
+
+def graph_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What a built graph may not have: rows too many, slots too many, edges to oneself or twice, edges to nowhere, rows out of reach."""
+    i = _index(spark, d)
+    nodes = i.nodes().persist()
+    near = F.col("neighbors")
+    out = nodes.agg(
+        F.count("*").alias("nodes"), F.sum(F.col("is_medoid").cast("long")).alias("medoids"), F.sum((F.size(near) > DEGREE).cast("long")).alias("overfull"),
+        F.sum(F.array_contains(near, F.col("id")).cast("long")).alias("loops"), F.sum((F.size(F.array_distinct(near)) < F.size(near)).cast("long")).alias("repeats"),
+    )
+    nowhere = nodes.select(F.explode(near).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti").agg(F.count("*").alias("nowhere"))
+    return out.crossJoin(nowhere).crossJoin(i.unreachable().agg(F.sum("n").alias("unreached")))
+
+
+def visited_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Each scored row once a query, at its true distance, the query's own row among them."""
+    v, q = _vectors(spark, d), _queries(spark, d)
+    seen = _index(spark, d).visited(q, 64)
+    both = seen.join(v, "id").join(q.withColumnRenamed("vec", "qvec"), "qid")
+    return both.groupBy("qid").agg(
+        (F.count("*") == F.countDistinct("id")).alias("once"), F.bool_and(F.abs(F.col("distance") - l2_squared(F.col("vec"), F.col("qvec"))) < 1e-9).alias("exact"), F.bool_or(F.col("id") == F.col("qid")).alias("found")
+    )
+
+
+def bfs_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """A breadth-first sample of a hundred: how many, how often the medoid, and whether all are rows of the index."""
+    i = _index(spark, d)
+    return i.bfs_sample(100).join(i.nodes().select("id", "is_medoid"), "id", "left").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum(F.col("is_medoid").cast("long")).alias("medoids"), F.bool_and(F.col("is_medoid").isNotNull()).alias("known"))
+
+
+def node_read(spark: SparkSession, d: str) -> DataFrame:
+    """Whole nodes of the query rows: vector, code and factors of the right sizes."""
+    keys = _queries(spark, d).withColumnRenamed("qid", "id")
+    read = graph_ops.lookup(_index(spark, d).nodes(), keys, "vec", "code", "add", "rescale", "neighbors")
+    whole = F.col("add").isNotNull() & (F.col("rescale") < 0) & F.size("neighbors").between(1, DEGREE)
+    return read.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"), F.octet_length("code").alias("code_bytes"), whole.alias("whole"))
+
+
+def medoid_pointer(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d, shards=1).medoids()
+
+
+def neighbor_update(spark: SparkSession, d: str) -> DataFrame:
+    """The lists of the query rows written anew: themselves and their id's successor."""
+    g = _vectors(spark, d).select("id", F.array((F.col("id") + 1), (F.col("id") + 2)).alias("neighbors"))
+    new = _queries(spark, d).select(F.col("qid").alias("id"), F.array("qid").alias("neighbors"))
+    return graph_ops.neighbours(graph_ops.with_neighbours(g, new), g.select("id"))
+
+
+def code_estimates(spark: SparkSession, d: str) -> DataFrame:
+    """Per bits of a code: that its levels are stored in the right number of bytes and that estimates have hardly a bias and no more than a given error."""
+    v, q = _vectors(spark, d), _queries(spark, d)
+    most = {1: 0.4, 2: 0.15, 4: 0.05, 8: 0.006}
+    parts = []
+    for bits, error in most.items():
+        i = VectorIndex.build(v, Params(dim=DIM, degree=8, bits=bits, rounds=1, beam_width_construction=8, shards=1))
+        found = i.search(q, K, "quantized", 32, rerank=False).join(v, "id").join(q.withColumnRenamed("vec", "qvec"), "qid")
+        true = l2_squared(F.col("vec"), F.col("qvec"))
+        off = found.where("id <> qid").agg((F.avg(F.abs(F.col("distance") - true)) < error).alias("near"))
+        parts.append(i.nodes().agg(F.lit(bits).alias("bits"), F.count("*").alias("n"), F.min(F.octet_length("code")).alias("least_bytes"), F.max(F.octet_length("code")).alias("most_bytes")).crossJoin(off))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def typed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Small whole components through the files of unsigned and of signed bytes."""
+    parts = []
+    for ending, low in ((".u8bin", 0), (".i8bin", 100)):
+        path = f"{scratch.new_folder(spark, 'typed')}/base{ending}"
+        rows = _vectors(spark, d).select("id", F.array(*(((F.col("id") * 7 + j * 13) % 100 - low).cast("float") for j in range(5))).alias("vec"))
+        vector_files.write_vectors(rows, path)
+        parts.append(vector_files.read_vectors(spark, path).select(F.lit(ending).alias("kind"), "id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("int")))
+    return parts[0].unionByName(parts[1])
+
+
+def meta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata and rotation files as written and read again, and whether they are refused for another index."""
+    prefix = f"{scratch.new_folder(spark, 'meta')}/index"
+    i = _index(spark, d, shards=SHARDS)
+    index_files.save_meta(index_files.write_shards(i.nodes(), i.params, prefix), i.codec, prefix)
+    meta, codec = index_files.load_meta(prefix, i.params)
+    try:
+        index_files.load_meta(prefix, Params(dim=DIM, bits=8))
+        refused = False
+    except ValueError:
+        refused = True
+    row = (meta["num_vectors"], meta["dim"], meta["R"], meta["rabitq_bits"], meta["num_memory_nodes"], meta["node_size"], bool(np.allclose(codec.rotation, i.codec.rotation, atol=1e-6)), refused)
+    return spark.createDataFrame([row], "n long, dim int, degree int, bits int, shards int, node_size int, same_rotation boolean, refused boolean")
+
+
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    """A settings file, read."""
+    s = config.service("# a service\nservers = a b c\nclients=d\ndim = 64 ; wide\nR = 24\nbeam-width=48\nk = 10\nip-dist = yes\nsearch-mode = exact_gpu\nrouting = on\n")
+    row = (",".join(s.servers), ",".join(s.clients), s.params.dim, s.params.degree, s.params.beam_width, s.k, s.params.metric, s.mode, s.routing)
+    return spark.createDataFrame([row], "servers string, clients string, dim int, degree int, beam_width int, k int, metric string, mode string, routing boolean")
+
+
 # ---- clustering and routing ----
 
 
@@ -265,6 +391,11 @@ def lloyd_step(spark: SparkSession, d: str) -> DataFrame:
     return cluster.lloyd_table(_vectors(spark, d), _centres(spark, d), rounds=1).select("cluster", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+def kmeans_2(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds of k-means from the label means."""
+    return cluster.lloyd_table(_vectors(spark, d), _centres(spark, d), rounds=2, tolerance=-1.0).select("cluster", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return cluster.lloyd_table(_vectors(spark, d), _centres(spark, d)).select("cluster", F.posexplode("vec").alias("pos", "x"))
 
@@ -287,6 +418,12 @@ def balanced_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return cluster.balanced_table(_vectors(spark, d), centres)
 
 
+def balanced_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The sizes of balanced clusters, largest first."""
+    sizes = balanced_kmeans(spark, d).groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return sizes.select((F.row_number().over(Window.orderBy(F.desc("n"), "cluster")) - 1).alias("place"), "n", "ids")
+
+
 def odd_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return cluster.odd_table(_vectors(spark, d), _sample(spark, d)[1], 3)
 
@@ -311,12 +448,24 @@ def route_limits(spark: SparkSession, d: str) -> DataFrame:
     return routing.limits(_loads(spark, d))
 
 
+def route_full(spark: SparkSession, d: str) -> DataFrame:
+    """Batches where every client has room for all: each query at its nearest."""
+    room = _clients(spark, d).select("client", F.lit(1 << 20).alias("capacity"))
+    return routing.route_batches(_vectors(spark, d).withColumnRenamed("id", "qid"), _clients(spark, d), room)
+
+
+def route_none(spark: SparkSession, d: str) -> DataFrame:
+    """Batches where no client has room: each query at its farthest."""
+    room = _clients(spark, d).select("client", F.lit(0).alias("capacity"))
+    return routing.route_batches(_vectors(spark, d).withColumnRenamed("id", "qid"), _clients(spark, d), room)
+
+
 def route_batches(spark: SparkSession, d: str) -> DataFrame:
     return routing.route_batches(_vectors(spark, d).withColumnRenamed("id", "qid"), _clients(spark, d), routing.limits(_loads(spark, d)))
 
 
 def routing_centroid(spark: SparkSession, d: str) -> DataFrame:
-    return routing.routing_centroid(_index(spark, d).nodes(), DIM).select(F.posexplode("vec").alias("pos", "x"))
+    return _rounded(routing.routing_centroid(_index(spark, d, shards=1).nodes(), DIM).select(F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), "x")
 
 
 # ---- files ----
@@ -344,14 +493,18 @@ def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def shard_files_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     prefix = f"{scratch.new_folder(spark, 'shards')}/index"
     i = _index(spark, d, shards=SHARDS)
-    index_files.save_meta(index_files.write_shards(i.nodes(), i.params, prefix), i.codec, prefix)
-    index_files.load_meta(prefix, i.params)
+    nodes = i.nodes().persist()
+    index_files.save_meta(index_files.write_shards(nodes, i.params, prefix), i.codec, prefix)
     back = index_files.read_shards(spark, prefix, i.params)
-    return back.select("id", "shard", "offset", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+    as_built = nodes.select("id", *(F.col(c).alias("built_" + c) for c in ("code", "add", "rescale", "neighbors", "is_medoid")))
+    same = lambda c: F.col(c).eqNullSafe(F.col("built_" + c))
+    return back.join(as_built, "id").select(
+        "id", "shard", "offset", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"), (same("code") & same("add") & same("rescale")).alias("same_code"), same("neighbors").alias("same_neighbors")
+    )
 
 
 def synthetic_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.synthetic(spark, 256, 128).select("id", F.posexplode("vec").alias("pos", "x"))
+    return _rounded(synthetic.synthetic(spark, 256, 128).select("id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("double")), "x")
 
 
 # ---- reports ----
@@ -407,6 +560,7 @@ _ALL = (
     partition_read, centroid, medoid, neighbor_lookup, point_lookup, reverse_edges, degree_stats, prune_l2, beam_full, beam_32, beam_sharded, builder_visited, frontier_full, graph_degrees, bfs_sample, rabitq_rerank_full,
     rabitq_4bit, rabitq_codes, insert_then_search, stream_insert, assign_nearest_centroid, rank_centroids, lloyd_step, kmeans, balanced_kmeans, odd_kmeans, farthest_first, route_score, route_limits, route_batches,
     routing_centroid, vector_file_roundtrip, ground_truth_roundtrip, index_roundtrip, shard_files_roundtrip, synthetic_vectors, latency_percentiles, op_latency, latency_breakdown, stage_ranking, text_summary, counters, throughput,
+    beam_32_recall, rabitq_4bit_recall, probed_recall, stitched_full, graph_invariants, visited_invariants, bfs_invariants, node_read, medoid_pointer, neighbor_update, code_estimates, typed_files, meta_roundtrip, settings, kmeans_2, balanced_sizes, route_full, route_none,
 )
 
 
@@ -427,6 +581,7 @@ def _knn_sql(expression: str = _L2, more: str = "", k: int = K, take: str = "qid
     return f"SELECT {take} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS INTEGER) AS rank FROM ({_dist(expression, more)})) WHERE rank <= {k}"
 
 
+_QUALITY = f"SELECT count(*) AS queries, {K} * count(*) AS rows, true AS distances_exact, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0"
 _NOSELF = " AND q.vec_id <> e.vec_id"
 _PLACE = f"SELECT vec_id AS id, CAST(p % {SHARDS} AS INTEGER) AS shard, CAST(16 + (p // {SHARDS}) * {{size}} AS BIGINT) AS \"offset\" FROM (SELECT vec_id, {{p}} AS p FROM embeddings)"
 _CENTRES = "WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(x) AS x FROM x GROUP BY label, pos), c AS (SELECT label AS cluster, list(x ORDER BY pos) AS vec FROM m GROUP BY label)"
@@ -453,12 +608,18 @@ def _hash_sql(start: str, steps: list[tuple[str, int]]) -> str:
 def oracle_sql() -> dict[str, str]:
     size = L.aligned(_size())
     knn = _knn_sql()
-    near = _knn_sql(more=_NOSELF, take="qid, rank, id")
+    near = _knn_sql(more=_NOSELF, take="qid, rank, id").replace("q.vec_id % 50 = 0", "true")
     assign = _L2.format(a="e.embedding", b="c.vec")
     own = f"{_CENTRES}, a AS (SELECT e.vec_id AS id, c.cluster, {assign} AS distance FROM embeddings e, c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, cluster) AS INTEGER) AS rank FROM a)"
     place = _PLACE.format(size=size, p="vec_id")
     by_order = _PLACE.format(size=size, p="row_number() OVER (ORDER BY vec_id) - 1")
-    out = {k: knn for k in ("knn_exact_l2", "knn_expressions", "beam_full", "beam_sharded", "frontier_full", "rabitq_rerank_full", "insert_then_search", "stream_insert", "index_roundtrip")}
+    out = {k: knn for k in ("knn_exact_l2", "knn_expressions", "beam_full", "beam_sharded", "frontier_full", "rabitq_rerank_full", "insert_then_search", "stream_insert", "index_roundtrip", "stitched_full")}
+    out |= {k: _QUALITY for k in ("beam_32_recall", "rabitq_4bit_recall", "probed_recall")}
+    medoid = f"WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT list(x ORDER BY pos) AS vec FROM (SELECT pos, avg(x) AS x FROM x GROUP BY pos)), b AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), n AS (SELECT b.* FROM b, m ORDER BY {_L2.format(a='embedding', b='m.vec')}, vec_id LIMIT 1)"
+    step = lambda c, k: f"a{k} AS (SELECT e.vec_id AS id, e.embedding, arg_min(c.cluster, {_L2.format(a='e.embedding', b='c.vec')}) AS cluster FROM embeddings e, {c} c GROUP BY e.vec_id, e.embedding), o{k} AS (SELECT cluster, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM a{k}), n{k} AS (SELECT cluster, pos, avg(x) AS x FROM o{k} GROUP BY cluster, pos), c{k} AS (SELECT c.cluster, coalesce(l.vec, c.vec) AS vec FROM {c} c LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS vec FROM n{k} GROUP BY cluster) l USING (cluster))"
+    shift = lambda x, n: f"xor({x}, {x} // {1 << n})"
+    up = lambda x, n: f"xor({x}, (({x} % {1 << (64 - n)}) * {1 << n}))"
+    mul = f"CAST({_mul('s::HUGEINT', synthetic.FACTOR)} AS UBIGINT)"
     return out | {
         "dist_l2": f"SELECT qid, id, round(distance, 6) AS distance FROM ({_dist(_L2)})",
         "dist_ip": f"SELECT qid, id, round(1.0 - distance, 6) AS distance FROM ({_dist(_DOT)})",
@@ -480,7 +641,7 @@ def oracle_sql() -> dict[str, str]:
         "neighbor_lookup": f"SELECT qid AS id, rank - 1 AS pos, id AS neighbor FROM ({near})",
         "point_lookup": "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id % 50 = 0",
         "reverse_edges": f"SELECT id, string_agg(qid, ',' ORDER BY qid) AS sources FROM ({near}) GROUP BY id",
-        "degree_stats": f"SELECT count(*) AS n, round(avg(c), 6) AS avg_degree, max(c) AS max_degree, min(c) AS min_degree FROM (SELECT id, count(*) AS c FROM ({near}) GROUP BY id)",
+        "degree_stats": f"SELECT count(*) AS n, round(avg(c), 6) AS avg_degree, max(c) AS max_degree, min(c) AS min_degree FROM (SELECT vec_id, count(id) AS c FROM embeddings LEFT JOIN ({near}) ON vec_id = id GROUP BY vec_id)",
         "assign_nearest_centroid": f"{own} SELECT id, cluster, round(distance, 6) AS distance FROM r WHERE rank = 1",
         "rank_centroids": f"{own} SELECT id, rank, cluster, round(distance, 6) AS distance FROM r",
         "lloyd_step": f"{own}, o AS (SELECT r.cluster, unnest(e.embedding)::DOUBLE AS x, generate_subscripts(e.embedding, 1) AS pos FROM r JOIN embeddings e ON r.id = e.vec_id WHERE rank = 1), n AS (SELECT cluster, pos, avg(x) AS x FROM o GROUP BY cluster, pos) SELECT m.label AS cluster, CAST(m.pos - 1 AS INTEGER) AS pos, round(coalesce(n.x, m.x), 6) AS x FROM m LEFT JOIN n ON m.label = n.cluster AND m.pos = n.pos",
@@ -488,11 +649,31 @@ def oracle_sql() -> dict[str, str]:
         "route_limits": "WITH l AS (SELECT label AS client, sum(vec_id % 7) AS pending FROM embeddings GROUP BY label), s AS (SELECT client, count(*) OVER () AS n, (sum(pending) OVER () - pending)::DOUBLE AS f, (sum(pending) OVER () * (count(*) OVER () - 1))::DOUBLE AS a FROM l), t AS (SELECT client, n, CAST(CASE WHEN a > 0 THEN floor(f * 200 * n / a) ELSE 200 END AS BIGINT) AS share FROM s), u AS (SELECT client, n, share, 200 * n - sum(share) OVER () AS rest, row_number() OVER (ORDER BY client) - 1 AS place FROM t) SELECT client, CAST(share + rest // n + CASE WHEN place < rest % n THEN 1 ELSE 0 END AS BIGINT) AS capacity FROM u",
         "vector_file_roundtrip": "SELECT r AS id, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) AS x FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, embedding FROM embeddings) t, LATERAL (SELECT unnest(t.embedding)::DOUBLE AS x, generate_subscripts(t.embedding, 1) AS pos)",
         "ground_truth_roundtrip": _knn_sql(take="qid, rank, id"),
-        "shard_files_roundtrip": f"SELECT p.id, p.shard, p.\"offset\", round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM ({by_order}) p JOIN embeddings e ON p.id = e.vec_id",
+        "shard_files_roundtrip": f"SELECT p.id, p.shard, p.\"offset\", round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, true AS same_code, true AS same_neighbors FROM ({by_order}) p JOIN embeddings e ON p.id = e.vec_id",
         "latency_percentiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, min(value) FILTER (i = floor(0.5::DOUBLE * (n - 1))) AS p50, min(value) FILTER (i = floor(0.95::DOUBLE * (n - 1))) AS p95, min(value) FILTER (i = floor(0.99::DOUBLE * (n - 1))) AS p99 FROM r GROUP BY event_type",
         "op_latency": f"{_SAMPLES}, r AS (SELECT op, total, row_number() OVER (PARTITION BY op ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY op) AS n FROM s) SELECT op, count(*) AS count, CAST(sum(total) AS BIGINT) AS sum, round(avg(total), 6) AS mean, min(total) FILTER (i = floor(0.5::DOUBLE * (n - 1))) AS p50, min(total) FILTER (i = floor(0.95::DOUBLE * (n - 1))) AS p95, min(total) FILTER (i = floor(0.99::DOUBLE * (n - 1))) AS p99 FROM r GROUP BY op",
         "latency_breakdown": f"{_SAMPLES}, c AS (SELECT op, CAST(sum(service) AS BIGINT) AS service, CAST(sum(service // 4) AS BIGINT) AS gpu, CAST(sum(service // 5) AS BIGINT) AS rdma, CAST(sum(service // 8) AS BIGINT) AS transfer, CAST(sum(service // 10) AS BIGINT) AS explicit FROM s GROUP BY op), d AS (SELECT *, greatest(service - gpu - rdma - transfer, 0) AS cpu FROM c), u AS (SELECT op, service, unnest(['gpu', 'rdma', 'transfer', 'cpu', 'cpu_overhead']) AS category, unnest([gpu, rdma, transfer, cpu, greatest(cpu - explicit, 0)]) AS ns FROM d) SELECT op, category, ns, round(CASE WHEN service > 0 THEN ns / service ELSE 0 END, 6) AS share FROM u",
         "stage_ranking": f"{_SAMPLES}, u AS (SELECT op, unnest(['gpu.kernel', 'rdma.read', 'transfer.upload', 'cpu.sort']) AS stage, unnest([service // 4, service // 5, service // 8, service // 10]) AS ns FROM s), g AS (SELECT op, stage, count(*) AS count, CAST(sum(ns) AS BIGINT) AS ns FROM u GROUP BY op, stage) SELECT *, CAST(row_number() OVER (PARTITION BY op ORDER BY ns DESC, stage) AS INTEGER) AS place FROM g",
+        "graph_invariants": "SELECT count(*) AS nodes, 1 AS medoids, 0 AS overfull, 0 AS loops, 0 AS repeats, 0 AS nowhere, 0 AS unreached FROM embeddings",
+        "visited_invariants": "SELECT vec_id AS qid, true AS once, true AS exact, true AS found FROM embeddings WHERE vec_id % 50 = 0",
+        "bfs_invariants": "SELECT least(100, count(*)) AS n, least(100, count(*)) AS ids, 1 AS medoids, true AS known FROM embeddings",
+        "node_read": f"SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total, {L.code_bytes(DIM, BITS)} AS code_bytes, true AS whole FROM embeddings WHERE vec_id % 50 = 0",
+        "medoid_pointer": f"{medoid} SELECT 0 AS shard, vec_id AS id, 16 + place * {size} AS pointer FROM n",
+        "routing_centroid": f"{medoid} SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, round(unnest(embedding)::DOUBLE, 6) AS x FROM n",
+        "neighbor_update": "SELECT vec_id AS id, 0 AS pos, CASE WHEN vec_id % 50 = 0 THEN vec_id ELSE vec_id + 1 END AS neighbor FROM embeddings UNION ALL SELECT vec_id, 1, vec_id + 2 FROM embeddings WHERE vec_id % 50 <> 0",
+        "code_estimates": f"SELECT b AS bits, (SELECT count(*) FROM embeddings) AS n, b * {DIM} // 8 AS least_bytes, b * {DIM} // 8 AS most_bytes, true AS near FROM (VALUES (1), (2), (4), (8)) v(b)",
+        "typed_files": "SELECT kind, r AS id, CAST(j AS INTEGER) AS pos, CAST((vec_id * 7 + j * 13) % 100 - low AS INTEGER) AS x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings), range(5) t(j), (VALUES ('.u8bin', 0), ('.i8bin', 100)) k(kind, low)",
+        "meta_roundtrip": f"SELECT count(*) AS n, {DIM} AS dim, {DEGREE} AS degree, {BITS} AS bits, {SHARDS} AS shards, {_size()} AS node_size, true AS same_rotation, true AS refused FROM embeddings",
+        "settings": "SELECT 'a,b,c' AS servers, 'd' AS clients, 64 AS dim, 24 AS degree, 48 AS beam_width, 10 AS k, 'ip' AS metric, 'exact' AS mode, true AS routing",
+        "kmeans_2": f"{_CENTRES}, {step('c', 1)}, {step('c1', 2)} SELECT cluster, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 6) AS x FROM c2",
+        "balanced_sizes": "SELECT CAST(i AS INTEGER) AS place, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS n, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS ids FROM (SELECT count(*) AS n FROM embeddings), range(5) t(i)",
+        "route_full": f"{own} SELECT id AS qid, cluster AS client FROM r WHERE rank = 1",
+        "route_none": f"{own} SELECT id AS qid, arg_max(cluster, rank) AS client FROM r GROUP BY id",
+        "synthetic_vectors": f"""WITH RECURSIVE g(k, j, s) AS (SELECT k::UBIGINT, 0, xor({synthetic.START}::UBIGINT, k::UBIGINT) FROM range(1, 257) t(k)
+            UNION ALL SELECT k, j + 1, {shift('b', 27)} FROM (SELECT k, j, {up('a', 25)} AS b FROM (SELECT k, j, {shift('s', 12)} AS a FROM g WHERE j < 128))),
+            v AS (SELECT k, j - 1 AS pos, (({mul} // 4294967296) % 10000) AS r FROM g WHERE j > 0)
+            SELECT CAST(k AS BIGINT) AS id, CAST(pos AS INTEGER) AS pos, round(((r::FLOAT / 10000::FLOAT) + CASE WHEN pos = k % 128 THEN 4 ELSE 0 END::FLOAT + CASE WHEN pos = (k * 17 + 3) % 128 THEN 1 ELSE 0 END::FLOAT)::DOUBLE, 6) AS x FROM v""",
+        "text_summary": f"{_SAMPLES}, c AS (SELECT op, CAST(sum(service) AS DOUBLE) AS service, sum(service // 4) AS gpu, sum(service // 5) AS rdma, sum(service // 8) AS transfer FROM s GROUP BY op), u AS (SELECT op, service, unnest(['gpu', 'rdma', 'transfer', 'cpu']) AS category, unnest([gpu, rdma, transfer, greatest(CAST(service AS BIGINT) - gpu - rdma - transfer, 0)]) AS ns FROM c), h AS (SELECT op, category, CASE WHEN service > 0 THEN ns / service ELSE 0 END AS share FROM u) SELECT op, CAST(row_number() OVER (PARTITION BY op ORDER BY share DESC, category) AS INTEGER) AS line, format('{{:<10}} {{:6.2f}} %', category, share * 100) AS text FROM h",
         "counters": "WITH s AS (SELECT user_id, event_type AS counter, max(event_id) - min(event_id) AS delta FROM events GROUP BY user_id, event_type) SELECT counter, CAST(CASE WHEN counter = 'click' THEN max(delta) ELSE sum(delta) END AS BIGINT) AS value FROM s GROUP BY counter",
         "throughput": "SELECT event_type, round(count(*) / 60.0::DOUBLE, 6) AS per_second FROM events GROUP BY event_type",
     }

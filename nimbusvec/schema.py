@@ -33,11 +33,16 @@ class Params:
     seed: int = 1234
     rounds: int = 2
     keep_all_if_small: bool = True
+    #: Where shards lie: "hash" of the ids, or "centroid"; then a search visits the probe nearest, 0 for all.
+    placement: str = "hash"
+    probe: int = 0
     #: Set by a build whose shards were not given: inserts may ask for more.
     more_shards: bool = False
 
     def __post_init__(self) -> None:
         Metric(self.metric)
+        if self.placement not in ("hash", "centroid") or self.probe < 0:
+            raise ValueError("placement is hash or centroid, probe 0 or more")
         if self.dim < 1 or (self.shards is not None and self.shards < 1) or self.beam_width < 1 or self.beam_width_construction < 1:
             raise ValueError("dim, shards and beam widths must be at least 1")
         if not 1 <= self.degree <= MAX_DEGREE:
