@@ -37,9 +37,9 @@ FAN_IN = 8
 #: Items that a task packs together, at most: many times the capacity, so that even items of one id fill bins.
 TASK_ROWS = 100_000
 #: Words of a generation of those whose ids a worker remembers.
-WORDS = 400_000
+WORDS = 200_000
 #: Words of a batch whose ids are put together at once.
-STEP = 1 << 21
+STEP = 1 << 20
 
 # Characters of one code point each, whose lower case and normal form stay so in every version of Unicode.
 _PLAIN = re.compile(r"[\t-\r\x20-\x7e¡-įı-žƀ-ǃ]*+")
