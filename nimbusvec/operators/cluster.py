@@ -13,10 +13,14 @@ from nimbusvec.functions.distance import Metric, distance, to_many
 
 #: Rows that the in-memory forms accept; they are for samples.
 SAMPLE_ROWS = 50_000
+#: Rows that balanced() is fitted on for a table: it moves points one after the other.
+BALANCED_ROWS = 4_000
 
 
 def farthest_first(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2") -> np.ndarray:
-    """Row numbers of k starts: a seeded first one, then always the point farthest from all chosen."""
+    """Row numbers of k starts: a seeded first one, then always the point farthest from all chosen; none of no points."""
+    if not len(points):
+        return np.zeros(0, int)
     chosen = [int(np.random.default_rng(seed).integers(len(points)))]
     near = to_many(metric, points[chosen], points)[0]
     while len(chosen) < min(k, len(points)):
@@ -46,8 +50,10 @@ def _fixed(vec) -> Column:
 
 
 def lloyd(points: np.ndarray, k: int, seed: int = 1234, rounds: int = 1000, tolerance: float = 1e-3, metric: str = "l2") -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and each point's cluster; an empty cluster keeps its centroid; ends when the centroids hardly move."""
+    """Centroids and each point's cluster; an empty cluster keeps its centroid; ends when the centroids hardly move. No points make no clusters."""
     centres = points[farthest_first(points, k, seed, metric)].copy()
+    if not len(centres):
+        return centres, np.zeros(0, int)
     for _ in range(rounds):
         own = to_many(metric, points, centres).argmin(1)
         new = centres.copy()
@@ -87,6 +93,8 @@ def balanced(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2", s
     """
     centres, own = lloyd(points, k, seed, metric=metric)
     k = len(centres)
+    if not k:
+        return centres, own
     sizes = np.bincount(own, minlength=k)
     penalty = strength * float(to_many(metric, points, centres).min(1).mean() + 1e-12) / max(1, len(points) / k)
     for _ in range(rounds):
@@ -138,9 +146,12 @@ def balanced_table(vectors: DataFrame, centres: np.ndarray, metric: str = "l2")
     """(id, cluster) of every vector, to the nearest of a few centres whose cluster has room; sizes differ by at most one.
 
     What a cluster has beyond its share goes where room is left, first those that lose least by
-    the move; at most one move for each cluster. ids are taken to be distinct.
+    the move; at most one move for each cluster. ids are taken to be distinct. Without centres
+    there are no rows.
     """
     k = len(centres)
+    if not k:
+        return vectors.select("id", F.lit(0).alias("cluster")).limit(0)
     d = F.array(*(distance(metric, F.col("vec"), _fixed(c)) for c in centres))
     rows = vectors.select("id", d.alias("d")).persist()
     own = rows.withColumn("cluster", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
@@ -185,8 +196,10 @@ def odd_clusters(points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2
 
 
 def odd_table(vectors: DataFrame, points: np.ndarray, k: int, seed: int = 1234, metric: str = "l2") -> DataFrame:
-    """(id, cluster) of every vector in the clusters that odd_clusters finds on a sample (points)."""
+    """(id, cluster) of every vector in the clusters that odd_clusters finds on a sample (points); no rows without points."""
     centres, own = lloyd(points, 2 * k, seed, metric=metric)
+    if not len(centres):
+        return vectors.select("id", F.lit(0).alias("cluster")).limit(0)
     to = _merged(centres, own, k, metric)[1]
     table = vectors.sparkSession.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(centres)], "cluster int, vec array<double>")
     return assign(vectors, table, metric).select("id", F.element_at(F.array(*(F.lit(int(x)) for x in to)), F.col("cluster") + 1).alias("cluster"))

@@ -400,22 +400,14 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return cluster.lloyd_table(_vectors(spark, d), _centres(spark, d)).select("cluster", F.posexplode("vec").alias("pos", "x"))
 
 
-def _sample(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    """Up to SAMPLE_ROWS rows of the smallest hashes, for fitting in memory; every row of the table is assigned."""
-    rows = _vectors(spark, d).orderBy(F.xxhash64("id"), "id").limit(cluster.SAMPLE_ROWS).collect()
-    return np.array([r.id for r in rows]), np.array([r.vec for r in rows], float)
-
-
-def _clusters(spark: SparkSession, ids: np.ndarray, own: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, own, strict=True)], "id long, cluster int")
+def _sample(spark: SparkSession, d: str, most: int) -> np.ndarray:
+    """The rows of the smallest hashes, so many at most, for fitting in memory; every row of the table is assigned."""
+    rows = _vectors(spark, d).orderBy(F.xxhash64("id"), "id").limit(most).collect()
+    return np.array([r.vec for r in rows], float).reshape(-1, DIM)
 
 
 def balanced_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    ids, v = _sample(spark, d)
-    centres, own = cluster.balanced(v, 5)
-    if len(ids) < cluster.SAMPLE_ROWS:  # the whole table
-        return _clusters(spark, ids, own)
-    return cluster.balanced_table(_vectors(spark, d), centres)
+    return cluster.balanced_table(_vectors(spark, d), cluster.balanced(_sample(spark, d, cluster.BALANCED_ROWS), 5)[0])
 
 
 def balanced_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -425,7 +417,7 @@ def balanced_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def odd_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.odd_table(_vectors(spark, d), _sample(spark, d)[1], 3)
+    return cluster.odd_table(_vectors(spark, d), _sample(spark, d, cluster.SAMPLE_ROWS), 3)
 
 
 def farthest_first(spark: SparkSession, d: str) -> DataFrame:

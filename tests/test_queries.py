@@ -38,10 +38,17 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 100
 
 
+def test_clusters_of_no_rows(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/embeddings.parquet").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("balanced_kmeans", "odd_kmeans", "farthest_first"):
+        assert q.queries()[name](spark, str(tmp_path)).count() == 0
+
+
 def test_clusters_of_a_sample_take_every_row(spark, monkeypatch):
     v = q._vectors(spark, DATA).toPandas().set_index("id").vec.map(lambda x: np.array(x, float))
     whole = q.odd_kmeans(spark, DATA).toPandas()
     monkeypatch.setattr(cluster, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(cluster, "BALANCED_ROWS", 40)
     assert len(v) > 100
     balanced, odd = q.balanced_kmeans(spark, DATA).toPandas(), q.odd_kmeans(spark, DATA).toPandas()
     for got in (balanced, odd, whole):
