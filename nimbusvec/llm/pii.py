@@ -177,8 +177,15 @@ def _remainder97(body: Column) -> Column:
     return F.aggregate(_chars(body), F.lit(0), step)
 
 
-def _surrogate(key: str) -> Column:
-    """The canonical replacement of columns kind, canon and draw.
+def _drawn(entities: DataFrame, key: str) -> DataFrame:
+    """entities with a new surrogate where again is set; the digest is a column on the way, so that it is computed once a row."""
+    digest = F.when(F.col("again"), _digest(key, F.col("kind"), F.col("canon"), F.col("draw")))
+    new = F.when(F.col("digest").isNotNull(), _surrogate()).otherwise(F.col("surrogate"))
+    return entities.withColumn("digest", digest).withColumn("surrogate", new).drop("digest", "again")
+
+
+def _surrogate() -> Column:
+    """The canonical replacement of columns kind, canon, draw and digest.
 
     From DRAWS draws on it has with each draw a digit, letter or syllable more, or octets above
     255; a password then has letters for its signs too. A password or address without letters
@@ -187,7 +194,7 @@ def _surrogate(key: str) -> Column:
     kind, canon = F.col("kind"), F.col("canon")
     bare = ~F.when(kind == "email", F.regexp_replace(canon, r"\.[^.]+$", "")).when(kind == "key", canon).otherwise("0").rlike(r"[0-9\p{L}]")
     level = F.when(bare, F.col("draw") + 1).otherwise(F.greatest(F.col("draw") - (DRAWS - 1), F.lit(0)))
-    h = _digest(key, kind, canon, F.col("draw"))
+    h = F.col("digest")
     digit = lambda i: F.pmod(_nibble(h, i), F.lit(10)).cast("string")
     places = F.sequence(F.lit(0), F.greatest(F.length(canon), F.lit(1)) - 1 + level)
     number = F.array_join(F.transform(places, digit), "")
@@ -263,16 +270,19 @@ def _written(kind: Column, token: Column, surrogate: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon), each once, other columns go along: plus surrogate, different for each and none of them an entity itself."""
     spark = entities.sparkSession
-    now, path = stored(entities.withColumn("draw", F.lit(0)).withColumn("surrogate", _surrogate(key)), "draw")
+    # few bytes, but much work a row: dealt to all tasks, which Spark would join to few by their bytes
+    dealt = entities.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
+    first = dealt.select("*", F.lit(0).alias("draw"), F.lit(True).alias("again"), F.lit(None).cast("string").alias("surrogate"))
+    now, path = stored(_drawn(first, key), "draw")
     while True:
         taken = now.select("kind", F.col("canon").alias("surrogate"), F.lit("").alias("canon"))
         # of those that share a replacement the first keeps it; one that is an entity goes to nobody
         owner = now.select("kind", "surrogate", "canon").unionByName(taken).groupBy("kind", "surrogate").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
-        lost, lost_path = stored(now.join(owner.where("n > 1"), ["kind", "surrogate"]).where("canon <> owner").select("kind", "canon", F.lit(1).alias("again")), "lost")
+        lost, lost_path = stored(now.join(owner.where("n > 1"), ["kind", "surrogate"]).where("canon <> owner").select("kind", "canon", F.lit(True).alias("again")), "lost")
         if lost.isEmpty():
             return now
-        then = now.join(lost, ["kind", "canon"], "left").select(*entities.columns, (F.col("draw") + F.coalesce("again", F.lit(0))).alias("draw"))
-        after, after_path = stored(then.withColumn("surrogate", _surrogate(key)), "draw")
+        then = now.join(lost, ["kind", "canon"], "left").withColumn("draw", F.col("draw") + F.coalesce(F.col("again").cast("int"), F.lit(0)))
+        after, after_path = stored(_drawn(then, key).select(*now.columns), "draw")
         drop(spark, path, lost_path)
         now, path = after, after_path
 
