@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import argparse
 import json
+import math
 import time
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from itertools import count, repeat
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,13 +33,14 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--shard-files", action="store_true", help="also write shard, rotation and metadata files")
     b.add_argument("--queries")
     b.add_argument("--ground-truth")
-    m = sub.add_parser("bench", help="insert and search in turn, and report latencies")
+    m = sub.add_parser("bench", help="insert and search, in turn or at once, and report latencies")
     m.add_argument("--index")
     m.add_argument("--queries")
     m.add_argument("--batches", type=int, default=4)
     m.add_argument("--batch", type=int, default=64)
     m.add_argument("--seconds", type=float, help="run for so long instead of for a number of batches")
     m.add_argument("--read-ratio", type=float, default=0.5)
+    m.add_argument("--readers", type=int, default=0, help="threads that search while one inserts; 0: in turn")
     m.add_argument("--report")
     s = sub.add_parser("search", help="search an index for the vectors of a file")
     s.add_argument("--index", required=True)
@@ -101,26 +106,51 @@ def _steps(batches: int, seconds: float | None, usual: list[float]) -> Iterator[
 
 
 def bench(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """Batches of searches and of inserts, in the proportion of read_ratio; latencies are of whole batches."""
+    """Batches of searches and of inserts, in the proportion of read_ratio; latencies are of whole batches.
+
+    Without readers they take turns. With readers so many threads search, each the version that
+    is newest as it begins, while one thread inserts: versions have one writer. queue_wait_ns is the
+    time that a batch of a thread waits after the start or the thread's batch before.
+    """
     index = VectorIndex.load(spark, a.index) if a.index else VectorIndex.build(synthetic(spark, 4 * a.batch, a.dim), _params(a, a.dim))
-    dim, samples, reads, start, usual = index.dimension, [], 0, time.perf_counter(), [0.0]
-    for k in _steps(a.batches, a.seconds, usual):
+    newest, dim, samples, start = [index], index.dimension, [], time.perf_counter()
+    reads = round(a.batches * a.read_ratio)
+
+    def one(read: bool, k: int, ready: int) -> float:
         fresh = synthetic(spark, a.batch, dim, first_id=10**9 + k * a.batch, first_seed=10**6 + k * a.batch)
         begun = time.perf_counter_ns()
-        read = reads < a.read_ratio * (k + 1)
         if read:
-            reads += 1
-            q = vector_files.read_vectors(spark, a.queries).withColumnRenamed("id", "qid") if a.queries else fresh.withColumnRenamed("id", "qid")
-            index.search(q, a.k, a.mode, max(a.k, a.beam_width)).write.format("noop").mode("overwrite").save()
+            q = (vector_files.read_vectors(spark, a.queries) if a.queries else fresh).withColumnRenamed("id", "qid")
+            newest[0].search(q, a.k, a.mode, max(a.k, a.beam_width)).write.format("noop").mode("overwrite").save()
         else:
-            index = index.insert(fresh)
-            index.count()
-        took = time.perf_counter_ns() - begun
-        usual[0] = usual[0] * 7 / 8 + took / 8e9 if usual[0] else took / 1e9
-        samples.append(("query" if read else "insert", 0, took, took, {"cpu.batch": took}))
+            grown = newest[0].insert(fresh)
+            grown.count()
+            newest[0] = grown
+        done = time.perf_counter_ns()
+        samples.append(("query" if read else "insert", begun - ready, done - begun, done - ready, {"cpu.batch": done - begun}))
+        return (done - begun) / 1e9
+
+    def work(reading: Iterator[bool], numbers: Iterator[int], usual: list[float]) -> None:
+        ready = time.perf_counter_ns()
+        for k in numbers:
+            took = one(next(reading), k, ready)
+            usual[0] = usual[0] * 7 / 8 + took / 8 if usual[0] else took
+            ready = time.perf_counter_ns()
+
+    if a.readers:
+        shares = [(True, reads // a.readers + (i < reads % a.readers)) for i in range(a.readers)] + [(False, a.batches - reads)]
+        with ThreadPoolExecutor(len(shares)) as pool:
+            usual = [[0.0] for _ in shares]
+            threads = [pool.submit(inheritable_thread_target(spark)(work), repeat(read), _steps(n, a.seconds, u), u) for (read, n), u in zip(shares, usual, strict=True)]
+        for t in threads:
+            t.result()
+    else:
+        usual = [0.0]
+        work((math.ceil((k + 1) * a.read_ratio) > math.ceil(k * a.read_ratio) for k in count()), _steps(a.batches, a.seconds, usual), usual)
     seconds = time.perf_counter() - start
     table = spark.createDataFrame(samples, breakdown.SAMPLES)
-    out = json.loads(breakdown.report(table, {"dim": dim, "batch": a.batch, "read_ratio": a.read_ratio, "seconds": seconds, "throughput": len(samples) * a.batch / seconds, **index.status()}))
+    meta = {"dim": dim, "batch": a.batch, "read_ratio": a.read_ratio, "readers": a.readers, "seconds": seconds, "throughput": len(samples) * a.batch / seconds}
+    out = json.loads(breakdown.report(table, {**meta, **newest[0].status()}))
     if a.report:
         with open(a.report, "w") as f:
             json.dump(out, f, indent=2)

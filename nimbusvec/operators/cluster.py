@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nimbusvec.functions.distance import Metric, distance, to_many
+from nimbusvec.operators.exact import distances, least
 
 #: Rows that the in-memory forms accept; they are for samples.
 SAMPLE_ROWS = 50_000
@@ -206,19 +207,12 @@ def odd_table(vectors: DataFrame, points: np.ndarray, k: int, seed: int = 1234,
 
 
 def ranked(vectors: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
-    """(id, rank, cluster, distance): the centroids (cluster, vec), a checked few, in order of distance from each vector."""
-    if centres.limit(4097).count() > 4096:
-        raise ValueError("more than 4096 centroids")
-    c = F.broadcast(centres.select("cluster", F.col("vec").alias("cvec")))
-    scored = vectors.select("id", "vec").join(c).select("id", "cluster", distance(metric, F.col("vec"), F.col("cvec")).alias("distance"))
+    """(id, rank, cluster, distance): all centroids (cluster, vec) in order of distance from each vector, ties to the smaller cluster."""
+    scored = distances(vectors, centres.select(F.col("cluster").alias("qid"), "vec"), metric).select("id", F.col("qid").alias("cluster"), "distance")
     w = Window.partitionBy("id").orderBy("distance", "cluster")
     return scored.withColumn("rank", F.row_number().over(w)).select("id", "rank", "cluster", "distance")
 
 
 def assign(vectors: DataFrame, centres: DataFrame, metric: str = "l2") -> DataFrame:
-    """(id, cluster, distance) of the nearest centroid, ties to the smaller cluster; no shuffle of vectors but one row for each."""
-    if centres.limit(4097).count() > 4096:
-        raise ValueError("more than 4096 centroids")
-    pairs = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("cluster", "vec"))).alias("cs")))
-    best = F.array_min(F.transform("cs", lambda c: F.struct(distance(metric, F.col("vec"), c["vec"]).alias("distance"), c["cluster"].alias("cluster"))))
-    return vectors.select("id", "vec").join(pairs).select("id", best.alias("b")).select("id", "b.cluster", "b.distance")
+    """(id, cluster, distance) of the nearest of any number of centroids (cluster, vec), ties to the smaller cluster."""
+    return least(vectors, "id", centres.select("cluster", "vec"), "cluster", lambda v, c: distance(metric, v, c["vec"]))

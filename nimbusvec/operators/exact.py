@@ -23,6 +23,8 @@ from nimbusvec.functions.distance import Metric, distance
 QUERY_BYTES = 64 << 20
 #: Rows of a block of queries and of one of vectors, at most.
 QUERY_ROWS, VECTOR_ROWS = 2048, 4096
+#: Rows that least() puts in one array, about.
+ARRAY_ROWS = 4096
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -145,6 +147,26 @@ def distances(vectors: DataFrame, queries: DataFrame, metric: Metric | str | Cal
     return pairs.select("qid", "id", of(F.col("qvec"), F.col("vec")).alias("distance"))
 
 
+def least(vectors: DataFrame, key: str, others: DataFrame, name: str, score: Callable[[Column, Column], Column], score_name: str = "distance") -> DataFrame:
+    """(key, name, score): for each of vectors (key, vec) the one of others (name, vec, ...) of the least score, ties to the smaller name; nulls where others is empty.
+
+    others are put together in arrays of about ARRAY_ROWS rows, which meet each vector; they go
+    to every task if they are counted and few, else partitions of both are paired. With one
+    array nothing of vectors is shuffled, with more a row for each vector and task is.
+    """
+    n, dim = others.agg(F.count("*"), F.max(F.size("vec"))).first()
+    blocks = max(1, -(-n // ARRAY_ROWS))
+    arrays = others.groupBy(F.pmod(F.xxhash64(name), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*others.columns)).alias("cs")).select("cs")
+    if not n:
+        arrays = others.agg(F.collect_list(F.struct(*others.columns)).alias("cs"))
+    best = F.array_min(F.transform("cs", lambda x: F.struct(score(F.col("vec"), x).alias(score_name), x[name].alias(name))))
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "vec")
+    out = rows.crossJoin(F.broadcast(arrays) if 8 * n * (dim or 0) <= QUERY_BYTES else arrays).select("row", "key", best.alias("b"))
+    if blocks > 1:
+        out = out.groupBy("row", "key").agg(F.min("b").alias("b"))
+    return out.select(F.col("key").alias(key), f"b.{name}", f"b.{score_name}")
+
+
 def within(vectors: DataFrame, queries: DataFrame, radius: float, metric: Metric | str = Metric.L2) -> DataFrame:
     """All vectors closer to a query than radius."""
     return distances(vectors, queries, metric).where(F.col("distance") < radius)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from nimbusvec.functions.distance import distance, to_many
+from nimbusvec.operators.exact import least
 from nimbusvec.sources.index_files import numbered
 
 # Weight of a query in flight, queries in a batch for each client.
@@ -19,12 +20,8 @@ BATCH = 200
 
 def route(queries: DataFrame, clients: DataFrame, metric: str = "l2") -> DataFrame:
     """(qid, client, score): for each query (qid, vec) the client (client, vec, inflight) of the least distance * (1 + 0.2 * inflight), the first of equals."""
-    if clients.limit(4097).count() > 4096:
-        raise ValueError("more than 4096 clients")
-    c = F.broadcast(clients.agg(F.array_sort(F.collect_list(F.struct("client", "vec", "inflight"))).alias("cs")))
-    score = lambda x: distance(metric, F.col("vec"), x["vec"]) * (F.lit(1.0) + F.lit(LOAD_WEIGHT) * x["inflight"])
-    best = F.array_min(F.transform("cs", lambda x: F.struct(score(x).alias("score"), x["client"].alias("client"))))
-    return queries.select("qid", "vec").join(c).select("qid", best.alias("b")).select("qid", "b.client", "b.score")
+    score = lambda v, c: distance(metric, v, c["vec"]) * (F.lit(1.0) + F.lit(LOAD_WEIGHT) * c["inflight"])
+    return least(queries, "qid", clients.select("client", "vec", "inflight"), "client", score, "score")
 
 
 def limits(loads: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -60,13 +57,14 @@ def route_batches(queries: DataFrame, clients: DataFrame, limit: DataFrame, batc
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("qid")
-        order = np.argsort(to_many(metric, np.stack(g.vec).astype(float), centres), axis=1, kind="stable")
         used, out = np.zeros(len(names), int), []
-        for near in order:
-            free = near[used[near] < room[near]]
-            pick = free[0] if len(free) else near[-1]
-            used[pick] += 1
-            out.append(names[pick])
+        step = max(1, (1 << 22) // len(names))
+        for i in range(0, len(g), step):
+            for near in np.argsort(to_many(metric, np.stack(g.vec.iloc[i : i + step]).astype(float), centres), axis=1, kind="stable"):
+                free = near[used[near] < room[near]]
+                pick = free[0] if len(free) else near[-1]
+                used[pick] += 1
+                out.append(names[pick])
         return pd.DataFrame({"qid": g.qid.to_numpy(), "client": out})
 
     kind = clients.schema["client"].dataType

@@ -28,3 +28,9 @@ def test_no_batch_begins_that_would_end_late():
 def test_bench(spark, tmp_path):
     out = cli.main(["bench", "--dim", "8", "--batch", "16", "--batches", "2", "--report", str(tmp_path / "r.json")], spark)
     assert out["meta"]["throughput"] > 0 and "query_breakdown" in out and "insert_breakdown" in out
+
+
+def test_readers_and_writer_at_once(spark):
+    out = cli.main(["bench", "--dim", "8", "--batch", "16", "--batches", "5", "--readers", "2", "--read-ratio", "0.6"], spark)
+    assert out["query_breakdown"]["end_to_end_ns"]["count"] == 3 and out["insert_breakdown"]["end_to_end_ns"]["count"] == 2
+    assert out["meta"]["num_vectors"] == 4 * 16 + 2 * 16 and out["meta"]["version"] == 2

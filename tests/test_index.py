@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbusvec.functions import breakdown as B
-from nimbusvec.operators import exact, routing
+from nimbusvec.operators import cluster, exact, routing
 from nimbusvec.plans import index
 from nimbusvec.plans.index import VectorIndex, medoid, self_recall
 from nimbusvec.schema import Params
@@ -189,6 +189,19 @@ def test_batches_refuse_more_clients_than_they_take(spark):
     assert routing.route_batches(asked(table(spark, [[4095.0]])), few, few.selectExpr("client", "1 capacity")).first().client == 4095
 
 
+def test_any_number_of_centroids_and_clients(spark):
+    """More than one array of them: the same answers as brute force."""
+    many = spark.range(9000).selectExpr("cast(id as int) cluster", "array(cast(id as double), 0D) vec")
+    v = table(spark, [[4100.2, 0.0], [8999.0, 1.0], [0.4, 0.0], [17.5, 0.0]])
+    got = {r.id: (r.cluster, r.distance) for r in cluster.assign(v.unionByName(v), many).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {0: 4100, 1: 8999, 2: 0, 3: 17} and got[1][1] == 1.0
+    assert cluster.assign(v.unionByName(v), many).count() == 8
+    assert [r.cluster for r in cluster.ranked(v, many).where("id = 3 and rank <= 3").orderBy("rank").collect()] == [17, 18, 16]
+    clients = many.selectExpr("cluster client", "vec", "if(cluster = 4100, 1000L, 0L) inflight")
+    assert {r.qid: r.client for r in routing.route(asked(v), clients).collect()} == {0: 4101, 1: 8999, 2: 0, 3: 17}
+    assert [(r.cluster, r.distance) for r in cluster.assign(v, many.where("false")).collect()] == [(None, None)] * 4
+
+
 def test_config_files():
     s = config.service("# c\nservers = a b\nclients = c\ndim = 12 ; x\nR = 9\nbeam-width=20\nip-dist = yes\nsearch-mode = rabitq_gpu\nrouting = off\n")
     assert s.servers == ["a", "b"] and s.params.dim == 12 and s.params.degree == 9 and s.params.metric == "ip" and s.params.shards == 2 and s.mode == "quantized" and not s.routing
