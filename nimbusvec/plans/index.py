@@ -29,7 +29,7 @@ from nimbusvec.functions.layout import aligned, node_size, pack_pointer
 from nimbusvec.functions.proximity import ESTIMATE_SLACK, Graph, beam_search, build_graph, exact_score, insert_rows, reached
 from nimbusvec.operators.cluster import centres_of
 from nimbusvec.operators.exact import matrix, top_k, unpacked, with_queries
-from nimbusvec.schema import NODES, SHARDS, Params, check_dim
+from nimbusvec.schema import NODES, SHARDS, Params, check_dim, takes
 
 #: Rows of a shard beyond which building and inserting ask for more shards.
 SHARD_ROWS = 100_000
@@ -261,14 +261,31 @@ class VectorIndex:
 
     # ---- maintenance ----
 
-    def insert(self, vectors: DataFrame) -> VectorIndex:
+    def outcomes(self, vectors: DataFrame) -> DataFrame:
+        """(id, inserted, known, repeated, refused): what insert() would do with the rows (id, vec) of each id, as numbers of rows.
+
+        Refused are rows of a null id or vector, or of another dimension; of an id that the
+        index hasn't one row is inserted, and the others are repeated.
+        """
+        fits = takes(vectors, self.params.dim)
+        sums = vectors.select("id", fits.cast("long").alias("fits")).groupBy("id").agg(F.sum("fits").alias("good"), F.sum(1 - F.col("fits")).alias("refused"))
+        both = sums.join(self.ids().withColumn("has", F.lit(True)), "id", "left")
+        new = F.col("has").isNull()
+        one = F.least("good", F.lit(1).cast("long"))
+        zero = F.lit(0).cast("long")
+        return both.select("id", F.when(new, one).otherwise(zero).alias("inserted"), F.when(new, zero).otherwise(F.col("good")).alias("known"), F.when(new, F.col("good") - one).otherwise(zero).alias("repeated"), "refused")
+
+    def insert(self, vectors: DataFrame, strict: bool = True) -> VectorIndex:
         """The next version, with vectors (id, vec) added; ids that the index has, and repeats, are left out.
 
-        An index whose shards were not given is built anew on more of them where the rows ask for more.
+        Rows that outcomes() calls refused make the insert fail, or with strict=False are left out. An index whose shards were not given is built anew on more of them where the rows ask for more.
         """
         p, spark = self.params, self.shards.sparkSession
         known = self.ids()
-        new = check_dim(vectors.select("id", "vec"), p.dim).groupBy("id").agg(F.min("vec").alias("vec")).join(known, "id", "left_anti")
+        fits = takes(vectors, p.dim)
+        fails = F.raise_error(F.lit(f"a row has a null id, or a vector that is null, holds nulls or has another dimension than {p.dim}"))
+        vectors = vectors.withColumn("vec", F.when(fits, F.col("vec")).otherwise(fails)) if strict else vectors.where(fits)
+        new = vectors.select("id", "vec").groupBy("id").agg(F.min("vec").alias("vec")).join(known, "id", "left_anti")
         if p.more_shards and default_shards(n := self.count() + new.count()) > p.shards:
             rows = self.nodes().select("id", "vec").unionByName(new)
             return replace(VectorIndex.build(rows, replace(p, shards=default_shards(n))), version=self.version + 1)

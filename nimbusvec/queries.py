@@ -232,6 +232,13 @@ def insert_then_search(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(i.search(_queries(spark, d), K, beam_width=_n(spark, d)), "distance")
 
 
+def insert_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Into an index of the even ids: all rows, every fifth id twice, every seventh also with half a vector."""
+    v = _vectors(spark, d)
+    cut = v.where(F.col("id") % 7 == 0).withColumn("vec", F.slice("vec", 1, DIM // 2))
+    return VectorIndex.build(v.where(F.col("id") % 2 == 0), _params()).outcomes(v.unionByName(v.where(F.col("id") % 5 == 0)).unionByName(cut))
+
+
 def stream_insert(spark: SparkSession, d: str) -> DataFrame:
     """The even ids built, the odd ones streamed in."""
     v, at = _vectors(spark, d), scratch.new(spark, "stream")
@@ -553,6 +560,7 @@ _ALL = (
     rabitq_4bit, rabitq_codes, insert_then_search, stream_insert, assign_nearest_centroid, rank_centroids, lloyd_step, kmeans, balanced_kmeans, odd_kmeans, farthest_first, route_score, route_limits, route_batches,
     routing_centroid, vector_file_roundtrip, ground_truth_roundtrip, index_roundtrip, shard_files_roundtrip, synthetic_vectors, latency_percentiles, op_latency, latency_breakdown, stage_ranking, text_summary, counters, throughput,
     beam_32_recall, rabitq_4bit_recall, probed_recall, stitched_full, graph_invariants, visited_invariants, bfs_invariants, node_read, medoid_pointer, neighbor_update, code_estimates, typed_files, meta_roundtrip, settings, kmeans_2, balanced_sizes, route_full, route_none,
+    insert_outcomes,
 )
 
 
@@ -659,6 +667,7 @@ def oracle_sql() -> dict[str, str]:
         "settings": "SELECT 'a,b,c' AS servers, 'd' AS clients, 64 AS dim, 24 AS degree, 48 AS beam_width, 10 AS k, 'ip' AS metric, 'exact' AS mode, true AS routing",
         "kmeans_2": f"{_CENTRES}, {step('c', 1)}, {step('c1', 2)} SELECT cluster, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 6) AS x FROM c2",
         "balanced_sizes": "SELECT CAST(i AS INTEGER) AS place, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS n, n // 5 + CASE WHEN i < n % 5 THEN 1 ELSE 0 END AS ids FROM (SELECT count(*) AS n FROM embeddings), range(5) t(i)",
+        "insert_outcomes": "SELECT vec_id AS id, vec_id % 2 AS inserted, CASE WHEN vec_id % 2 = 1 THEN 0 WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END AS known, CASE WHEN vec_id % 2 = 1 AND vec_id % 5 = 0 THEN 1 ELSE 0 END AS repeated, CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS refused FROM embeddings",
         "route_full": f"{own} SELECT id AS qid, cluster AS client FROM r WHERE rank = 1",
         "route_none": f"{own} SELECT id AS qid, arg_max(cluster, rank) AS client FROM r GROUP BY id",
         "synthetic_vectors": f"""WITH RECURSIVE g(k, j, s) AS (SELECT k::UBIGINT, 0, xor({synthetic.START}::UBIGINT, k::UBIGINT) FROM range(1, 257) t(k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nimbusvec.functions.distance import Metric
@@ -63,6 +63,11 @@ class Params:
         return asdict(self)
 
 
+def takes(vectors: DataFrame, dim: int) -> Column:
+    """Whether an index of that dimension takes a row (id, vec)."""
+    return vectors["id"].isNotNull() & F.coalesce(F.size(vectors["vec"]) == dim, F.lit(False)) & ~F.coalesce(F.exists(vectors["vec"], lambda x: x.isNull()), F.lit(False))
+
+
 def check_dim(vectors: DataFrame, dim: int, vec: str = "vec") -> DataFrame:
     """vectors, failing at run time on a null vector or one of another length."""
     ok = F.coalesce(F.size(vec) == dim, F.lit(False))

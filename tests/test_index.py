@@ -189,6 +189,20 @@ def test_batches_refuse_more_clients_than_they_take(spark):
     assert routing.route_batches(asked(table(spark, [[4095.0]])), few, few.selectExpr("client", "1 capacity")).first().client == 4095
 
 
+def test_insert_tells_what_it_did(spark):
+    i = VectorIndex.build(synthetic(spark, 20, 8, first_id=0), SMALL)
+    rows = [(5, [1.0] * 8), (100, [1.0] * 8), (100, [2.0] * 8), (101, [1.0] * 7), (102, None), (None, [1.0] * 8), (103, [1.0] * 7 + [None]), (104, [3.0] * 8)]
+    new = spark.createDataFrame(rows, "id long, vec array<float>")
+    got = {r.id: (r.inserted, r.known, r.repeated, r.refused) for r in i.outcomes(new).collect()}
+    assert got == {5: (0, 1, 0, 0), 100: (1, 0, 1, 0), 101: (0, 0, 0, 1), 102: (0, 0, 0, 1), None: (0, 0, 0, 1), 103: (0, 0, 0, 1), 104: (1, 0, 0, 0)}
+    grown = i.insert(new, strict=False)
+    assert grown.count() == 22 and {r.id for r in grown.ids().collect()} == {*range(20), 100, 104}
+    assert i.outcomes(new.limit(0)).count() == 0 and i.insert(new.limit(0), strict=False).count() == 20
+    for bad in ("id = 101", "id = 102", "id is null", "id = 103"):
+        with pytest.raises(Exception, match="another dimension"):
+            i.insert(new.where(bad)).count()
+
+
 def test_any_number_of_centroids_and_clients(spark):
     """More than one array of them: the same answers as brute force."""
     many = spark.range(9000).selectExpr("cast(id as int) cluster", "array(cast(id as double), 0D) vec")
