@@ -164,6 +164,8 @@ class VectorIndex:
     shards: DataFrame
     codec: rabitq.Codec
     version: int = 0
+    #: The shards that an insert has written, where it left the others as they were.
+    changed: DataFrame | None = None
 
     # ---- build ----
 
@@ -301,8 +303,10 @@ class VectorIndex:
             graph = insert_rows(graph, add.id.to_numpy(), np.stack(add.vec).astype(float), p.beam_width_construction, p.alpha, p.metric, p.keep_all_if_small)
             return pd.DataFrame([_pack(int(key[0]), graph, rabitq.quantize(codec, graph.vectors), p.bits)])
 
-        grown = self.shards.groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(grow, SHARDS)
-        return replace(self, shards=grown.persist(), version=self.version + 1)
+        # only shards with new rows are read and written; their numbers are at most as many as the shards
+        touched = F.col("shard").isin([r.shard for r in new.select("shard").distinct().collect()])
+        grown = self.shards.where(touched).groupBy("shard").cogroup(new.groupBy("shard")).applyInPandas(grow, SHARDS).persist()
+        return replace(self, shards=self.shards.where(~touched).unionByName(grown).persist(), version=self.version + 1, changed=grown)
 
     # ---- views ----
 
@@ -381,14 +385,17 @@ class VectorIndex:
 
     def save(self, path: str) -> None:
         """Write the index below path, one Parquet partition for each shard; params and codec as one row."""
-        p = self.params
         self.shards.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/shards")
+        self.save_codec(path)
+
+    def save_codec(self, path: str) -> None:
+        p = self.params
         row = (json.dumps(p.as_dict()), self.version, self.codec.rotation.T.ravel().tolist(), self.codec.centroid.tolist(), self.codec.scale, None if self.codec.centres is None else self.codec.centres.ravel().tolist(), None if self.codec.of_centre is None else self.codec.of_centre.tolist())
         self.shards.sparkSession.createDataFrame([row], "params string, version int, rotation array<double>, centroid array<double>, scale double, centres array<double>, of_centre array<long>").coalesce(1).write.mode("overwrite").parquet(f"{path}/codec")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, expect: Params | None = None) -> VectorIndex:
-        """An index that save() wrote; expect's dim, bits and metric must be the stored ones."""
+    def load(spark: SparkSession, path: str, expect: Params | None = None, shards: DataFrame | None = None) -> VectorIndex:
+        """An index that save() wrote, or one of the given shards; expect's dim, bits and metric must be the stored ones."""
         row = spark.read.parquet(f"{path}/codec").first()
         p = Params(**json.loads(row.params))
         if expect and (expect.dim, expect.bits, expect.metric) != (p.dim, p.bits, p.metric):
@@ -399,7 +406,7 @@ class VectorIndex:
         codec = rabitq.Codec(turn, np.array(row.centroid), p.bits, row.scale)
         if row.centres is not None:
             codec = replace(codec, centres=np.array(row.centres).reshape(-1, p.dim), of_centre=np.array(row.of_centre))
-        return VectorIndex(p, spark.read.schema(SHARDS).parquet(f"{path}/shards"), codec, row.version)
+        return VectorIndex(p, spark.read.schema(SHARDS).parquet(f"{path}/shards") if shards is None else shards, codec, row.version)
 
 
 def self_recall(index: VectorIndex, vectors: DataFrame, queries: DataFrame, k: int) -> float:

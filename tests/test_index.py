@@ -189,6 +189,32 @@ def test_batches_refuse_more_clients_than_they_take(spark):
     assert routing.route_batches(asked(table(spark, [[4095.0]])), few, few.selectExpr("client", "1 capacity")).first().client == 4095
 
 
+def test_a_version_holds_what_its_batch_changed(spark, tmp_path):
+    many = replace(SMALL, shards=5)
+    folder = IndexFolder(spark, str(tmp_path / "i"), many)
+    v = synthetic(spark, 60, 8, first_id=0)
+    folder.start(VectorIndex.build(v.where("id < 50"), many))
+    for k, part in enumerate(("id = 50", "id < 20", "id > 50")):
+        folder.apply(v.where(part), k)
+    written = spark.read.parquet(str(tmp_path / "i" / "shards")).groupBy("version").count().collect()
+    assert {r.version: r["count"] for r in written}.items() >= {0: 5, 1: 1}.items() and 2 not in {r.version for r in written}
+    assert [folder.index(x).count() for x in range(4)] == [50, 51, 51, 60]
+    assert sorted(r.id for r in folder.index().ids().collect()) == list(range(60))
+    assert self_recall(folder.index(), v, asked(v), 5) > 0.9
+
+
+def test_a_rebuilt_version_hides_older_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SHARD_ROWS", 16)
+    own = replace(SMALL, shards=None)
+    folder = IndexFolder(spark, str(tmp_path / "i"), own)
+    v = synthetic(spark, 40, 8, first_id=0)
+    for k, part in enumerate(("id < 10", "id between 10 and 12", "id > 12")):
+        folder.apply(v.where(part), k)
+    assert folder.index().params.shards > folder.index(1).params.shards and folder._base(3) == 3
+    assert sorted(r.id for r in folder.index().ids().collect()) == list(range(40))
+    assert [folder.index(x).count() for x in range(4)] == [0, 10, 13, 40]
+
+
 def test_insert_tells_what_it_did(spark):
     i = VectorIndex.build(synthetic(spark, 20, 8, first_id=0), SMALL)
     rows = [(5, [1.0] * 8), (100, [1.0] * 8), (100, [2.0] * 8), (101, [1.0] * 7), (102, None), (None, [1.0] * 8), (103, [1.0] * 7 + [None]), (104, [3.0] * 8)]
