@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from nimbusvec.functions import rabitq
+from nimbusvec.functions import proximity, rabitq
 from nimbusvec.functions.distance import to_many, to_own
 from nimbusvec.functions.proximity import Graph, beam_search, build_graph, exact_score, insert_rows, medoid_of, prune, random_neighbours, reached
 from nimbusvec.operators import cluster
@@ -165,3 +165,38 @@ def test_synthetic_generator_against_plain_integers():
 
     got = vectors_of(np.arange(1, 9), 24)
     assert all((got[i] == one(i + 1, 24)).all() for i in range(8))
+
+
+def test_pruning_many_rows_is_pruning_each():
+    rng = np.random.default_rng(4)
+    v = np.round(rng.standard_normal((900, 6)), 1)
+    ids = rng.permutation(900)
+    for metric, between in (("l2", lambda p, at: ((v[p][:, None] - v[at]) ** 2).sum(2)), ("ip", lambda p, at: 1 - (v[p][:, None] * v[at]).sum(2))):
+        source = rng.permutation(900)[:40]
+        candidates = np.stack([rng.permutation(900)[:700] for _ in source])
+        candidates[:5, 6:] = -1
+        for small in (False, True):
+            got = proximity._prune_rows(between, ids, source, candidates, 12, 1.2, small)
+            for s, c, kept in zip(source, candidates, got, strict=True):
+                want = prune(v, ids, s, c, between(np.array([s]), np.maximum(c, 0)[None])[0], 12, 1.2, metric, small)
+                assert kept[kept >= 0].tolist() == want.tolist()
+
+
+def test_a_build_leaves_no_row_that_its_search_misses():
+    v = np.random.default_rng(5).standard_normal((900, 32))
+    g = build_graph(np.arange(900), v, 10, 16, 1.0, 2)
+    seen = beam_search(g, 900, exact_score(g, v, "l2"), 16)[2]
+    assert seen[np.arange(900), np.arange(900)].all()
+    assert (g.degrees() <= 10).all() and len(reached(g)) == 900
+
+
+def test_a_beam_of_every_row_scores_each_once():
+    v = np.random.default_rng(6).standard_normal((700, 8))
+    g = build_graph(np.arange(700), v, 8, 16, 1.0, 3)
+    scored = []
+    score = lambda q, at: scored.append(at.size) or exact_score(g, v[:3], "l2")(q, at)
+    rows, d, seen = beam_search(g, 3, score, 700)
+    assert sum(scored) == 3 * 700 and len(scored) < 10 and seen.all()
+    assert (rows[:, 0] == np.arange(3)).all() and (np.diff(d, axis=1) >= 0).all()
+    g.neighbours[:, :] = -1
+    assert beam_search(g, 3, score, 700)[2].sum() == 3
