@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from nimbusvec.functions.distance import distance, to_many
 from nimbusvec.functions.proximity import prune
+from nimbusvec.operators.exact import knn
 
 
 def lookup(nodes: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
@@ -50,14 +51,29 @@ def prune_table(pairs: DataFrame, vectors: DataFrame, degree: int, alpha: float,
     return rows.groupBy("src").applyInPandas(run, "src long, pos int, dst long")
 
 
+def reached(nodes: DataFrame, entry: DataFrame) -> DataFrame:
+    """(id): the nodes (id, neighbors) that edges lead to from entry (id), by one join for each round."""
+    edges = nodes.select("id", "neighbors")
+    front = entry.select("id").distinct().join(nodes.select("id"), "id", "left_semi").checkpoint()
+    seen = front
+    while not front.isEmpty():
+        new = front.join(edges, "id").select(F.explode("neighbors").alias("id")).distinct()
+        front = new.join(seen, "id", "left_anti").checkpoint()
+        seen = seen.unionByName(front)
+    return seen
+
+
 def frontier_search(nodes: DataFrame, entry: DataFrame, queries: DataFrame, width: int, k: int, metric: str = "l2", checkpoint_every: int = 4) -> DataFrame:
     """(qid, rank, id, distance): best-first search of one global graph, one join for each round and all queries together.
 
     A round expands every unexpanded node of every beam, joins their neighbours' vectors,
     keeps what wasn't seen and trims the beams. nodes: (id, vec, neighbors); entry: (id), the
-    medoid. It ends when no beam has an unexpanded node. The lineage is cut by checkpoint(),
-    for which the session needs a checkpoint folder.
+    medoid. It ends when no beam has an unexpanded node. Beams with room for all nodes drop none:
+    then all queries have one frontier, which is kept once, and score what it reaches. The lineage
+    is cut by checkpoint(), for which the session needs a checkpoint folder.
     """
+    if width >= nodes.count():
+        return knn(nodes.select("id", "vec").join(reached(nodes, entry), "id", "left_semi"), queries, k, metric)
     q = queries.select("qid", F.col("vec").alias("qvec"))
     vec = nodes.select("id", "vec")
     first = q.join(entry.select("id"), how="cross").join(vec, "id").select("qid", "id", distance(metric, F.col("qvec"), F.col("vec")).alias("distance"), F.lit(False).alias("expanded"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nimbusvec.functions import breakdown as B
-from nimbusvec.operators import cluster, exact, routing
+from nimbusvec.operators import cluster, exact, graph_ops, routing
 from nimbusvec.plans import index
 from nimbusvec.plans.index import VectorIndex, medoid, self_recall
 from nimbusvec.schema import Params
@@ -75,6 +75,32 @@ def test_shards_follow_the_rows(spark, monkeypatch, tmp_path):
     assert given.params.shards == 1 and sizes(given) == [100]
 
 
+def test_a_large_shard_is_built_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(index, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(index, "PART_ROWS", 60)
+    v = synthetic(spark, 300, 8)
+    i = VectorIndex.build(v.unionByName(v.where("id < 20")), replace(SMALL, shards=2))
+    nodes = i.nodes().persist()
+    assert nodes.count() == i.count() == 300 and nodes.where("is_medoid").count() == 2
+    assert {r.n for r in i.unreachable().collect()} == {0} and i.degree_stats().first().max_degree <= 6
+    near = nodes.select("id", "shard", F.explode("neighbors").alias("near"))
+    assert near.where("id = near").count() == 0 and near.distinct().count() == near.count()
+    assert near.join(nodes.select(F.col("id").alias("near"), F.col("shard").alias("other")), "near").where("shard = other").count() == near.count()
+    assert pairs(i.search(asked(v), 5, beam_width=300)) == pairs(exact.knn(v, asked(v), 5))
+    assert pairs(i.search(asked(v), 5, "quantized", 300)) == pairs(exact.knn(v, asked(v), 5))
+    assert self_recall(i, v, asked(v), 5) > 0.9
+
+
+def test_frontier_of_whole_beams(spark):
+    v = synthetic(spark, 12, 8, first_id=0)
+    chain = v.withColumn("neighbors", F.when(F.col("id") == 9, F.array().cast("array<long>")).otherwise(F.array(F.col("id") + 1)))
+    entry = chain.where("id = 3").select("id")
+    assert sorted(r.id for r in graph_ops.reached(chain, entry).collect()) == list(range(3, 10))
+    want = pairs(exact.knn(v.where("id between 3 and 9"), asked(v), 4))
+    assert pairs(graph_ops.frontier_search(chain, entry, asked(v), 12, 4)) == want
+    assert pairs(graph_ops.frontier_search(chain, entry, asked(v), 11, 4)) == want
+
+
 def test_repeated_ids_and_wrong_dimensions(spark):
     v = synthetic(spark, 30, 8)
     i = VectorIndex.build(v.unionByName(v), SMALL)
