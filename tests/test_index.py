@@ -290,3 +290,7 @@ def test_reports(spark):
     snaps = spark.createDataFrame([(1, "a", 0, 5), (2, "a", 1, 3), (1, "m", 0, 7), (2, "m", 0, 9)], "thread int, counter string, begin long, end long")
     assert {r.counter: r.value for r in B.counters(snaps, {"m": "max"}).collect()} == {"a": 7, "m": 9}
     assert s.select(B.throughput(F.count("*"), 5).alias("x")).first().x == 2
+
+
+def test_ten_thousand_rows_are_built_by_several_tasks():
+    assert index.default_shards(10_256) >= 5 and index.default_shards(0) == 1

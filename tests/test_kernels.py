@@ -200,3 +200,31 @@ def test_a_beam_of_every_row_scores_each_once():
     assert (rows[:, 0] == np.arange(3)).all() and (np.diff(d, axis=1) >= 0).all()
     g.neighbours[:, :] = -1
     assert beam_search(g, 3, score, 700)[2].sum() == 3
+
+
+def test_a_search_in_single_precision_scores_each_row_once_and_finds_what_a_double_one_does():
+    v = np.random.default_rng(7).standard_normal((900, 8)).astype(np.float32).astype(float)
+    v[450:] = v[:450]  # ties everywhere
+    g = build_graph(np.arange(900) * 3, v, 10, 16, 1.0, 4)
+    for metric in ("l2", "ip"):
+        for expand in (1, 4):
+            scored = []
+            single = proximity.single_score(g, v[:50], metric)
+            exact = exact_score(g, v[:50], metric)
+            rows, d, seen = beam_search(g, 50, lambda q, at: scored.append(at.size) or exact(q, at).astype(np.float32), 20, expand)  # noqa: B023
+            assert sum(scored) == seen.sum()
+            order = np.lexsort((np.where(rows >= 0, rows, 900), d), axis=1)
+            assert (order == np.arange(20)).all()
+            rounded = lambda q, at: exact(q, at).astype(np.float32).astype(float)  # noqa: E731, B023
+            want = beam_search(g, 50, rounded, 20, expand)
+            assert (rows == want[0]).all() and (d == want[1]).all() and (seen == want[2]).all()
+            at = np.tile(np.arange(900), (50, 1))
+            assert np.allclose(single(np.arange(50), at), exact(np.arange(50), at), rtol=1e-5, atol=1e-5)
+
+
+def test_pruning_compares_only_candidates_that_are_left():
+    v = np.random.default_rng(8).standard_normal((900, 8))
+    pairs = []
+    between = lambda p, at: pairs.append(at.size) or ((v[p][:, None] - v[at]) ** 2).sum(2)
+    got = proximity._prune_rows(between, np.arange(900), np.arange(40), np.tile(np.arange(900), (40, 1)), 32, 1.0)
+    assert (got >= 0).any(1).all() and sum(pairs) < 5 * 40 * 900
