@@ -294,3 +294,14 @@ def test_reports(spark):
 
 def test_ten_thousand_rows_are_built_by_several_tasks():
     assert index.default_shards(10_256) >= 5 and index.default_shards(0) == 1
+
+
+def _points(n):
+    return np.random.default_rng(n).standard_normal((n, 16))
+
+
+def test_queries_of_many_files_meet_a_shard_in_one_block(spark):
+    i = VectorIndex.build(table(spark, _points(90)), Params(dim=16, degree=8, shards=3))
+    q = table(spark, _points(40)).withColumnRenamed("id", "qid").repartition(16)
+    assert index.with_queries(i.shards, q).count() == 3
+    assert index.with_queries(i.shards, q.limit(0)).count() == 0
