@@ -305,3 +305,12 @@ def test_queries_of_many_files_meet_a_shard_in_one_block(spark):
     q = table(spark, _points(40)).withColumnRenamed("id", "qid").repartition(16)
     assert index.with_queries(i.shards, q).count() == 3
     assert index.with_queries(i.shards, q.limit(0)).count() == 0
+
+
+def test_a_beam_of_every_row_finds_what_edges_lead_to(spark):
+    v = _points(120)
+    i = VectorIndex.build(table(spark, v), Params(dim=16, degree=8, shards=2))
+    got = {(r.qid, r.rank): r.id for r in i.search(table(spark, v[:9]).withColumnRenamed("id", "qid"), 5, beam_width=120).collect()}
+    for q in range(9):
+        d = ((v[q].astype(np.float32).astype(float) - v.astype(np.float32).astype(float)) ** 2).sum(1)
+        assert [got[q, r] for r in range(1, 6)] == np.lexsort((np.arange(120), d))[:5].tolist()
