@@ -292,14 +292,18 @@ def test_reports(spark):
     assert s.select(B.throughput(F.count("*"), 5).alias("x")).first().x == 2
 
 
-def test_ten_thousand_rows_are_built_by_several_tasks():
-    assert index.default_shards(10_256) >= 5 and index.default_shards(0) == 1
-
-
 def _points(n):
     return np.random.default_rng(n).standard_normal((n, 16))
 
 
+def test_medoids_are_those_of_the_nodes_which_are_not_read(spark, monkeypatch):
+    i = VectorIndex.build(table(spark, _points(90)), Params(dim=16, degree=8, shards=3))
+    want = sorted((r.shard, r.id, (r.shard << 48) + r.offset) for r in i.nodes().where("is_medoid").collect())
+    monkeypatch.setattr(VectorIndex, "nodes", None)
+    assert sorted(map(tuple, i.medoids().collect())) == want and len(want) == 3
+    assert VectorIndex.empty(spark, Params(dim=16)).medoids().count() == 0
+
+
 def test_queries_of_many_files_meet_a_shard_in_one_block(spark):
     i = VectorIndex.build(table(spark, _points(90)), Params(dim=16, degree=8, shards=3))
     q = table(spark, _points(40)).withColumnRenamed("id", "qid").repartition(16)
@@ -307,6 +311,10 @@ def test_queries_of_many_files_meet_a_shard_in_one_block(spark):
     assert index.with_queries(i.shards, q.limit(0)).count() == 0
 
 
+def test_ten_thousand_rows_are_built_by_several_tasks():
+    assert index.default_shards(10_256) >= 5 and index.default_shards(0) == 1
+
+
 def test_a_beam_of_every_row_finds_what_edges_lead_to(spark):
     v = _points(120)
     i = VectorIndex.build(table(spark, v), Params(dim=16, degree=8, shards=2))
