@@ -42,7 +42,7 @@ class IndexFolder:
 
     def _shards(self, version: int) -> DataFrame:
         written = self.spark.read.schema(f"{SHARDS}, version int").parquet(f"{self.path}/shards").where(F.col("version").between(self._base(version), version))
-        # one narrow row for each shard, of which there is one in about 5,000 rows
+        # one narrow row for each shard, of which there is one in about 2,500 rows
         last = F.broadcast(written.groupBy("shard").agg(F.max("version").alias("version")))
         return written.join(last, ["shard", "version"], "left_semi").drop("version")
 
