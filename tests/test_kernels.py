@@ -228,3 +228,22 @@ def test_pruning_compares_only_candidates_that_are_left():
     between = lambda p, at: pairs.append(at.size) or ((v[p][:, None] - v[at]) ** 2).sum(2)
     got = proximity._prune_rows(between, np.arange(900), np.arange(40), np.tile(np.arange(900), (40, 1)), 32, 1.0)
     assert (got >= 0).any(1).all() and sum(pairs) < 5 * 40 * 900
+
+
+def test_a_build_with_a_table_of_distances_prunes_all_rows():
+    v = np.random.default_rng(9).standard_normal((1200, 32))
+    g = build_graph(np.arange(1200), v, 8, 8, 1.0, 5, settled=False)
+    dist = ((v[:, None] - v[None]) ** 2).sum(2)
+    np.fill_diagonal(dist, np.inf)
+    assert (g.neighbours == dist.argmin(1)[:, None]).any(1).all()
+    assert (build_graph(np.arange(1200), v, 8, 8, 1.0, 6, settled=False).neighbours == g.neighbours).all()
+
+
+def test_a_search_with_a_goal_ends_where_it_is_scored():
+    v = np.random.default_rng(10).standard_normal((900, 16))
+    g = build_graph(np.arange(900), v, 10, 16, 1.0, 7)
+    own = np.arange(900)
+    for score in (exact_score(g, v, "l2"), proximity.single_score(g, v, "l2")):
+        ended, whole = beam_search(g, 900, score, 16, goals=own)[2], beam_search(g, 900, score, 16)[2]
+        assert (ended <= whole).all() and (ended[own, own] == whole[own, own]).all()
+        assert 2 * ended.sum() < whole.sum()
