@@ -322,3 +322,24 @@ def test_a_beam_of_every_row_finds_what_edges_lead_to(spark):
     for q in range(9):
         d = ((v[q].astype(np.float32).astype(float) - v.astype(np.float32).astype(float)) ** 2).sum(1)
         assert [got[q, r] for r in range(1, 6)] == np.lexsort((np.arange(120), d))[:5].tolist()
+
+
+def test_nodes_of_the_medoids_alone_are_those_of_all(spark):
+    i = VectorIndex.build(table(spark, np.random.default_rng(3).standard_normal((120, 8))), replace(SMALL, shards=3))
+    assert sorted(i.nodes(medoids=True).collect()) == sorted(i.nodes().where("is_medoid").collect())
+    assert i.nodes(medoids=True).count() == 3 and i.nodes().count() == 120
+
+
+def test_kept_shards_have_few_empty_partitions(spark, monkeypatch):
+    monkeypatch.setattr(index, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(index, "PART_ROWS", 80)
+    v = np.random.default_rng(4).standard_normal((300, 8))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        parts = VectorIndex.build(table(spark, v), replace(SMALL, shards=2))
+        grown = VectorIndex.build(table(spark, v[:90]), replace(SMALL, shards=2)).insert(table(spark, v[90:], 90))
+        assert parts.shards.rdd.getNumPartitions() <= 8 and grown.changed.rdd.getNumPartitions() <= 8
+        assert parts.count() == grown.count() == 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
