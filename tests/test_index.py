@@ -343,3 +343,11 @@ def test_kept_shards_have_few_empty_partitions(spark, monkeypatch):
         assert parts.count() == grown.count() == 300
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_mean_and_number_are_those_of_the_vectors(spark):
+    v = np.random.default_rng(6).standard_normal((70, 8)).astype(np.float32)
+    mean, n = index.mean_and_count(table(spark, v), 8)
+    assert n == 70 and np.allclose(mean, v.astype(float).mean(0), atol=1e-12)
+    mean, n = index.mean_and_count(table(spark, v).limit(0), 8)
+    assert n == 0 and not mean.any()
