@@ -351,3 +351,14 @@ def test_mean_and_number_are_those_of_the_vectors(spark):
     assert n == 70 and np.allclose(mean, v.astype(float).mean(0), atol=1e-12)
     mean, n = index.mean_and_count(table(spark, v).limit(0), 8)
     assert n == 0 and not mean.any()
+
+
+def test_files_of_one_row_are_written_without_python(spark, tmp_path, monkeypatch):
+    kind, plans = type(spark.range(1)), []
+    coalesce = kind.coalesce
+    monkeypatch.setattr(kind, "coalesce", lambda df, n: plans.append(df._jdf.queryExecution().toString()) or coalesce(df, n))
+    i = VectorIndex.build(table(spark, np.eye(8)), replace(SMALL, shards=2, placement="centroid"))
+    i.save(str(tmp_path / "index"))
+    assert len(plans) == 1 and all("LocalTableScan" in p or "LocalRelation" in p for p in plans)
+    again = VectorIndex.load(spark, str(tmp_path / "index"), SMALL)
+    assert (again.codec.rotation == i.codec.rotation).all() and (again.codec.centres == i.codec.centres).all() and again.params == i.params
