@@ -247,3 +247,12 @@ def test_a_search_with_a_goal_ends_where_it_is_scored():
         ended, whole = beam_search(g, 900, score, 16, goals=own)[2], beam_search(g, 900, score, 16)[2]
         assert (ended <= whole).all() and (ended[own, own] == whole[own, own]).all()
         assert 2 * ended.sum() < whole.sum()
+
+
+def test_estimates_of_the_same_rows_are_one_product(monkeypatch):
+    v = points(50)
+    codec = rabitq.make_codec(v.mean(0), 4)
+    codes, asked, at = rabitq.quantize(codec, v), rabitq.prepare(codec, v[:7]), np.arange(3, 40)
+    want = rabitq.estimate(codec, asked, codes, np.tile(at, (7, 1)))
+    monkeypatch.setattr(rabitq.np, "einsum", None)
+    assert np.allclose(rabitq.estimate(codec, asked, codes, np.broadcast_to(at, (7, len(at)))), want, atol=1e-5)
