@@ -7,6 +7,7 @@ and none from before it is read any more.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,7 +50,7 @@ class IndexFolder:
     def _write(self, index: VectorIndex, version: int, base: int) -> None:
         changed = index.shards if base == version else index.changed
         changed.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/shards/version={version}")
-        self.spark.createDataFrame([(base,)], "base int").coalesce(1).write.mode("overwrite").parquet(f"{self._at(version)}/base")
+        self.spark.createDataFrame(pa.table({"base": pa.array([base], pa.int32())})).coalesce(1).write.mode("overwrite").parquet(f"{self._at(version)}/base")
         index.save_codec(self._at(version))
 
     def index(self, version: int | None = None) -> VectorIndex:

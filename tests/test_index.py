@@ -378,3 +378,16 @@ def test_inserted_rows_are_looked_up_once(spark):
         grown = base.insert(rows, strict=False) if shards else replace(base, params=replace(base.params, shards=0, more_shards=True)).insert(rows, strict=False)
         assert grown.count() == 60 and read.value <= 80  # one look is the count of the rows, which may not leave this function out
         assert pairs(grown.search(asked(table(spark, v)), 1).select("qid", "rank", "id")) == {(i, 1, i) for i in range(60)}
+
+
+def test_a_stream_writes_its_versions_without_python_and_keeps_no_rows(spark, tmp_path, monkeypatch):
+    kind, plans = type(spark.range(1)), []
+    coalesce = kind.coalesce
+    monkeypatch.setattr(kind, "coalesce", lambda df, n: plans.append(df._jdf.queryExecution().toString()) or coalesce(df, n))
+    v = np.random.default_rng(11).standard_normal((40, 8))
+    folder = IndexFolder(spark, str(tmp_path / "index"), replace(SMALL, shards=2))
+    folder.start(VectorIndex.build(table(spark, v[:20]), replace(SMALL, shards=2)))
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    folder.apply(table(spark, v[20:], 20), 0)
+    assert folder.index().count() == 40 and spark.sparkContext._jsc.getPersistentRDDs().size() <= kept
+    assert len(plans) == 4 and all("LocalTableScan" in p or "LocalRelation" in p for p in plans)
