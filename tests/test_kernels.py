@@ -6,6 +6,7 @@ from nimbusvec.functions.distance import to_many, to_own
 from nimbusvec.functions.proximity import Graph, beam_search, build_graph, exact_score, insert_rows, medoid_of, prune, random_neighbours, reached
 from nimbusvec.operators import cluster
 from nimbusvec.operators.exact import nearest_of
+from nimbusvec.plans import index
 from nimbusvec.sources.synthetic import vectors_of
 
 
@@ -256,3 +257,14 @@ def test_estimates_of_the_same_rows_are_one_product(monkeypatch):
     want = rabitq.estimate(codec, asked, codes, np.tile(at, (7, 1)))
     monkeypatch.setattr(rabitq.np, "einsum", None)
     assert np.allclose(rabitq.estimate(codec, asked, codes, np.broadcast_to(at, (7, len(at)))), want, atol=1e-5)
+
+
+def test_codes_of_a_small_graph_are_estimated_by_one_product(monkeypatch):
+    v, q = points(300), points(20, seed=1)
+    codec = rabitq.make_codec(v.mean(0), 4)
+    codes = rabitq.quantize(codec, v)
+    few, many = index.code_score(codec, codes, q, 299), index.code_score(codec, codes, q, 300)
+    w, at = np.arange(20).repeat(2), np.random.default_rng(2).integers(0, 300, (40, 3))
+    want = few(w, at)
+    monkeypatch.setattr(rabitq.np, "einsum", None)
+    assert np.allclose(many(w, at), want, atol=1e-4) and many(w, at).dtype == np.float32
