@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbusvec.llm.shared import WHITE, InPlace, bound_batches, column, drop, stored
+from nimbusvec.llm.shared import WHITE, InPlace, bound_batches, column, drop, lean, small_table, stored
 
 #: Most bytes of texts that a task remembers for folding.
 FOLD_BYTES = 8 << 20
@@ -150,7 +150,7 @@ def folded(holders: DataFrame, fan_in: int = FAN_IN) -> tuple[DataFrame, list[Da
         sent = F.broadcast(hot) if n <= SENT_KEYS else hot
         shares = F.ceil(F.col("holders") * 4 / fan_in)
         large = holders.join(sent, "key").withColumn("share", F.pmod(F.xxhash64("holder", F.lit(len(links))), shares)).repartition(parts, "key", "share").sortWithinPartitions("key", "share", "holder")
-        round_, _ = stored(large.select("key", "share", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_merge, _HOLDERS), "folded")
+        round_, _ = stored(large.select("key", "share", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(lean(_merge), _HOLDERS), "folded")
         merged = round_.where("parent is null").drop("parent")
         links.append(round_.where("parent is not null").select("holder", "parent"))
         holders = holders.join(sent, "key", "left_anti").select(*merged.columns).unionByName(merged)
@@ -204,7 +204,7 @@ def directory(spark: SparkSession, buckets: dict[tuple[int, int], int], owners:
     for (d, p), w in sorted(buckets.items(), key=lambda b: b[0][1] << (depth - b[0][0])):
         rows.append((p << (depth - d), 1 << (depth - d), min(owners - 1, (before + w // 2) // each)))
         before += w
-    table = spark.createDataFrame(rows, "first long, slots long, owner int")
+    table = small_table(spark, rows, "first long, slots long, owner int")
     return table.select("owner", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot")), depth
 
 
@@ -249,7 +249,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     raw = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(column(doc_id).cast("long").alias("doc_id"), column(row).alias("row"), F.char_length(raw).cast("long").alias("points"), raw.cast("binary").alias("raw"))
     spark = docs.sparkSession
-    log, path = stored(rows.mapInArrow(_fold, _ENTRY), "entries")
+    log, path = stored(rows.mapInArrow(lean(_fold), _ENTRY), "entries")
     holders, links = folded(log.where("norm is not null").select("holder", "key", "norm", "n", "best_points", "best_doc", "best_row"))
     buckets = buckets_of(holders.select("key", "norm"))
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(buckets.values()) // OWNER_BYTES)
@@ -257,7 +257,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, row: str) -> DataFrame:
     # at most 2 ** MAX_DEPTH rows of two numbers
     placed = holders.withColumn("slot", F.shiftright("key", 63 - depth)).join(F.broadcast(slots), "slot")
     dealt = placed.repartitionById(owners, F.col("owner")).sortWithinPartitions("key", "holder")
-    index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(_own, _INDEX), "index")
+    index, _ = stored(dealt.select("key", "norm", "holder", "n", "best_points", "best_doc", "best_row").mapInArrow(lean(_own), _INDEX), "index")
     for link in reversed(links):  # what was folded takes the answer of what it was folded into
         index = index.unionByName(link.join(index.withColumnRenamed("holder", "parent"), "parent").select(*index.columns))
     bare, _ = stored(log.where("norm is null").select("doc_id", "row", "holder", "sha"), "bare")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nimbusvec.llm.shared import WORD, column, own_name, spread_join, stored
+from nimbusvec.llm.shared import WORD, column, own_name, small_table, spread_join, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -38,7 +38,7 @@ def _placed(sources: DataFrame) -> DataFrame:
     for r in dealt.groupBy("range").count().orderBy("range").collect():  # one row for each range
         starts.append((r["range"], before))
         before += r["count"]
-    table = sources.sparkSession.createDataFrame(starts, "range long, start long")
+    table = small_table(sources.sparkSession, starts, "range long, start long")
     return dealt.join(F.broadcast(table), "range").withColumn("place", F.col("start") + F.col("inside")).drop("range", "start", "inside")
 
 

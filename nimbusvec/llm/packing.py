@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbusvec.llm.shared import bound_batches, column, stored
+from nimbusvec.llm.shared import bound_batches, column, kept, lean, stored
 
 CAPACITY = 2048
 #: The id that ends every document.
@@ -123,7 +123,7 @@ class _Words:
         return [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
-_words: dict[str, _Words] = {}
+_words: dict[str, _Words] = kept.setdefault("packing", {})
 
 
 def _known(path: str) -> _Words:
@@ -192,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str, text: str, capacity: in
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     bound_batches(docs.sparkSession)
-    return docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(column(doc_id).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(lean(run, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,8 +278,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, task_
     out, n, level = whole, items.count(), 0
     tasks = -(-n // task_rows)
     while n:
-        met = items.repartition(tasks, F.xxhash64("item", F.lit(level))).sortWithinPartitions("item")
-        table, _ = stored(met.mapInArrow(_pack_task(capacity, slack, task_rows, level, tasks == 1), schema), f"level{level}")
+        met = (items.repartition(tasks, F.xxhash64("item", F.lit(level))) if tasks > 1 else items.repartition(1)).sortWithinPartitions("item")
+        table, _ = stored(met.mapInArrow(lean(_pack_task(capacity, slack, task_rows, level, tasks == 1), "packing"), schema), f"level{level}")
         goes = ~F.col("done")
         # a further level pays if fewer tasks can hold what goes there: if they can't, bins as full as the mean stay as they are
         while True:

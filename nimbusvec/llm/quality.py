@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nimbusvec.llm.shared import bound_batches, column, own_name, stored
+from nimbusvec.llm.shared import bound_batches, column, lean, own_name, stored
 
 #: Share of a class's covariance that is replaced by the pooled one, and of that by its mean variance.
 TO_POOLED, TO_SPHERE = 0.1, 0.02
@@ -88,8 +88,8 @@ def statistics(raw: bytes | None) -> list[float]:
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _statistics(raw: pd.Series) -> pd.Series:
-    return pd.Series([statistics(x) for x in raw])
+def _statistics(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return lean(lambda each: (pd.Series([statistics(x) for x in raw]) for raw in each))(parts)
 
 
 def with_statistics(df: DataFrame, text: str, to: str) -> DataFrame:

@@ -7,13 +7,19 @@ again, never by ``localCheckpoint``: a lost executor then costs a reread, not th
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: ASCII white space as the contracts write it: space and U+0009 to U+000D.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -47,6 +53,41 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What the operators of a Python worker keep from one task to the next, by operator.
+kept: dict[str, dict] = {}
+
+
+def forget_others(operator: str) -> None:
+    for name, held in kept.items():
+        if name != operator:
+            held.clear()
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterable], Iterator], operator: str = "") -> Callable[[Iterable], Iterator]:
+    """run, an Arrow or iterator function, in a worker that holds no more than it has to.
+
+    Workers live on, idle, next to the tasks of all later steps, and what they hold is taken
+    from the same executor. So what other operators keep is dropped as run begins, and free
+    memory goes back to the system as it ends.
+    """
+
+    def lean_run(batches: Iterable) -> Iterator:
+        forget_others(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return lean_run
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex[:12]}"
 
@@ -67,6 +108,12 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """rows as a table; by Arrow, as a list would start workers of another kind on the executors, which stay."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds))
+
+
 def own_name(df: DataFrame, wish: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

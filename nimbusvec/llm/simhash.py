@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nimbusvec.llm.graph import components
-from nimbusvec.llm.shared import InPlace, bound_batches, column, own_name, spread_join, stored
+from nimbusvec.llm.shared import InPlace, bound_batches, column, lean, own_name, spread_join, stored
 
 SEED = 42
 SHINGLE = 3
@@ -77,8 +77,8 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 @F.pandas_udf(T.LongType())
-def _fingerprints(raw: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(x) for x in raw], np.uint64).view(np.int64))
+def _fingerprints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return lean(lambda each: (pd.Series(np.array([fingerprint(x) for x in raw], np.uint64).view(np.int64)) for raw in each))(parts)
 
 
 def fingerprints(df: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
@@ -332,7 +332,7 @@ def near_edges(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, gro
     for r in ready[1:]:
         every = every.unionByName(r)
     dealt = every.repartition("mask", "key", "block").sortWithinPartitions("mask", "key", "block", "fp")
-    return dealt.mapInArrow(_verifier(distance), "u long, v long")
+    return dealt.mapInArrow(lean(_verifier(distance)), "u long, v long")
 
 
 def classes(prints: DataFrame, key: str, distance: int = DISTANCE, parts: int = PARTS, group: int = GROUP) -> DataFrame:
@@ -342,9 +342,11 @@ def classes(prints: DataFrame, key: str, distance: int = DISTANCE, parts: int =
     """
     distinct, _ = stored(prints.groupBy("fp").agg(F.min(column(key)).alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_edges(distinct.select("fp"), distance, parts, group)).withColumnRenamed("node", "fp")
-    rooted, _ = stored(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "rooted")
-    least, _ = stored(rooted.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("members")), "least")
-    return spread_join(rooted.drop("least"), least, ["root"], "members").select("fp", "least", "n")
+    # only fingerprints that have a link: each of the others is a class of its own
+    linked, _ = stored(roots.join(distinct.select("fp", "least"), "fp"), "linked")
+    least, _ = stored(linked.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("members")), "least")
+    moved = spread_join(linked.drop("least"), least, ["root"], "members").select("fp", F.col("least").alias("moved"))
+    return distinct.join(moved, "fp", "left").select("fp", F.coalesce("moved", "least").alias("least"), "n")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -136,6 +136,36 @@ def test_components(spark, kind):
     assert got == want
 
 
+@pytest.mark.parametrize("kind", ["chain", "star", "random", "empty"])
+def test_components_in_rounds(spark, kind, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    test_components(spark, kind)
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    rounds, star = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda *a: rounds.append(a) or star(*a))
+    test_components(spark, "random")
+    assert not rounds
+
+
+def test_classes_write_no_row_for_what_has_no_link(spark, monkeypatch):
+    wrote, put = {}, simhash.stored
+
+    def counted(df, label):
+        out = put(df, label)
+        wrote[label] = out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    fps = [0, 1, *(((1 << 40) - 1) * (2 * k + 1) << 5 & (1 << 63) - 1 for k in range(0, 3000, 97))]
+    want = plain_classes(fps)
+    got = {r.fp: r.least for r in simhash.classes(spark.createDataFrame([(f, f) for f in fps], "fp long, id long"), "id").collect()}
+    assert got == want and sum(want.values()) < sum(fps)
+    linked = sum(len([f for f in fps if want[f] == r]) for r in set(want.values()) if list(want.values()).count(r) > 1)
+    assert max(n for label, n in wrote.items() if label not in ("distinct", "hot", "split")) <= linked < len(fps)
+
+
 def test_spanning_forest_never_lists_pairs():
     x = np.array(sorted({int(f) for f in np.random.default_rng(0).integers(0, 64, 500)}), np.uint64)
     a, b = simhash.close_pairs(x, np.array([0]), np.array([len(x)]), 3)
